@@ -44,10 +44,9 @@ def daily_counts(cases: DataFrame, by: Sequence[str], dates: dict[str, str]) ->
     date it has. The counts are combined before the shuffle, so a group that holds most cases
     still sends at most one row per series and day from each task.
     """
-    marks = F.array(*[F.struct(F.lit(s).alias("series"), _col(c).alias("date")) for s, c in dates.items()])
+    rows = cases.select(*by, *[F.col(c).alias(s) for s, c in dates.items()])
     return (
-        cases.select(*by, F.explode(marks).alias("m"))
-        .select(*by, "m.series", "m.date")
+        rows.unpivot(list(by), list(dates), "series", "date")
         .where(F.col("date").isNotNull())
         .groupBy("series", *by, "date")
         .agg(row_count().alias("values"))

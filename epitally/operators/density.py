@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import counted, hinted, join_null_safe
+from ..session import materialize
+from .joins import join_null_safe
 from .quantiles import exact_quantiles
 
 # The reach of the bins beyond the data in bandwidths, and the grid size.
@@ -49,35 +50,39 @@ def density(draws: DataFrame, panel: Sequence[str], by: Sequence[str], value: st
             grid: int = GRID) -> DataFrame:
     """``x`` and ``density`` at ``grid`` points between the least and greatest value of the panel."""
     keys = [*panel, *by]
-    shape = hinted(*counted(bandwidths(draws, panel, by, value)))
-    span = (F.col("to") - F.col("from") + F.lit(2 * REACH) * F.col("bw")) / F.lit(float(grid - 1))
+    shape = materialize(bandwidths(draws, panel, by, value), "bandwidths")
+    last = F.lit(float(grid - 1))
+    shape = shape.withColumn("low", F.col("from") - F.lit(REACH) * F.col("bw")).withColumn(
+        "step", (F.col("to") - F.col("from") + F.lit(2 * REACH) * F.col("bw")) / last
+    )
     placed = (
         join_null_safe(draws.where(F.col(value).isNotNull()).select(*keys, value), shape, keys, "inner")
-        .withColumn("low", F.col("from") - F.lit(REACH) * F.col("bw"))
-        .withColumn("step", span)
         .withColumn("_pos", (F.col(value) - F.col("low")) / F.col("step"))
         .withColumn("bin", F.floor("_pos").cast("int"))
     )
-    params = ["n", "bw", "from", "to", "low", "step"]
-    bins = placed.groupBy(*keys, *params, "bin").agg(
+    bins = placed.groupBy(*keys, *[c for c in shape.columns if c not in keys], "bin").agg(
         F.count(F.lit(1)).alias("_c"), F.sum(F.col("_pos") - F.col("bin")).alias("_right")
     )
-    # The point lies between two bin centres; the density there is interpolated between theirs.
-    points = bins.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    points = points.withColumn(
-        "x", F.col("from") + F.col("point") * (F.col("to") - F.col("from")) / F.lit(float(grid - 1))
+    # A point lies between two bin centres; the density there is interpolated between theirs.
+    x = F.col("from") + F.col("point") * (F.col("to") - F.col("from")) / last
+    points = (
+        bins.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+        .withColumn("x", x)
+        .withColumn("_at", (F.col("x") - F.col("low")) / F.col("step"))
+        .withColumn("_share", F.col("_at") - F.floor("_at"))
+        .withColumn("_off", F.floor("_at") - F.col("bin"))
     )
-    points = points.withColumn("_at", (F.col("x") - F.col("low")) / F.col("step"))
-    points = points.withColumn("_near", F.floor("_at"))
 
     def kernel(steps):
         z = steps * F.col("step") / F.col("bw")
         return F.exp(F.lit(-0.5) * z * z) / (F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
 
-    share = F.col("_at") - F.col("_near")
-    left = F.col("_near") - F.col("bin")
-    # A draw at the right edge of its bin counts for the next one.
-    at_bin = (F.lit(1.0) - share) * kernel(left) + share * kernel(left + 1)
-    at_next = (F.lit(1.0) - share) * kernel(left - 1) + share * kernel(left)
-    weight = ((F.col("_c") - F.col("_right")) * at_bin + F.col("_right") * at_next) / F.col("n")
-    return points.groupBy(*keys, "point", "x").agg(F.sum(weight).alias("density"))
+    # A draw in the right part of its bin counts in part for the next one.
+    left, right = F.col("_c") - F.col("_right"), F.col("_right")
+    near, far = F.lit(1.0) - F.col("_share"), F.col("_share")
+    weight = (
+        right * near * kernel(F.col("_off") - 1)
+        + (left * near + right * far) * kernel(F.col("_off"))
+        + left * far * kernel(F.col("_off") + 1)
+    ) / F.col("n")
+    return points.groupBy(*keys, "point").agg(F.max("x").alias("x"), F.sum(weight).alias("density"))

@@ -1,4 +1,4 @@
-"""Joins that keep the rules for missing keys and check sizes before they broadcast."""
+"""Joins that keep the rules for missing keys and broadcast by measured size only."""
 
 from __future__ import annotations
 
@@ -8,29 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-
-# Above this many rows a lookup table is shuffled like any other table.
-BROADCAST_ROWS = 100_000
-
-
-def counted(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """The lookup table kept as a checkpoint, and whether its counted rows may be broadcast.
-
-    The checkpoint lets the count and every join read one result, and a lost executor does
-    not bring its scan back.
-    """
-    context = small.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(small.sparkSession))
-    kept = small.checkpoint()
-    return kept, kept.limit(max_rows + 1).count() <= max_rows
-
-
-def hinted(lookup: DataFrame, fits: bool) -> DataFrame:
-    """Marked for broadcast when it fits; otherwise shuffled, where skewed keys are split at run time."""
-    return F.broadcast(lookup) if fits else lookup
-
+from ..session import materialize
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark's own estimate of the table lies below its broadcast threshold."""
@@ -50,10 +28,11 @@ def group_statistic(df: DataFrame, by: Sequence[str], aggregates: Sequence) -> D
     """A statistic of each group set beside its rows.
 
     The statistic is aggregated first and joined back, so a group that holds most rows is
-    never gathered in one task, as it would be in a window.
+    never gathered in one task, as it would be in a window. It is written before the join, so
+    that its size decides whether it is broadcast.
     """
-    stats = df.groupBy(*by).agg(*aggregates)
-    return join_null_safe(df, hinted(*counted(stats)), by)
+    stats = materialize(df.groupBy(*by).agg(*aggregates), "statistic")
+    return join_null_safe(df, stats, by)
 
 
 def merge_series(series: DataFrame, keys: Sequence[str], tag: str, value: str, names: dict[str, str]) -> DataFrame:

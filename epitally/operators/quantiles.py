@@ -7,11 +7,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import counted, hinted, join_null_safe
+from ..session import materialize
+from .joins import join_null_safe
 
 
 def bounded_quantiles(value: Column | str, probs: dict[float, str]) -> list[Column]:
@@ -31,10 +33,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Quantiles of groups of any size, exact and without gathering a group.
 
-    The first pass sketches each group and brackets every wanted rank. The second counts the
-    values below each bracket and the distinct values inside it, both combined before the
-    shuffle. Only the inside of a bracket, about ``4 / accuracy`` of a group, is ordered.
-    ``extra`` aggregates ride along in the first pass.
+    The first pass sketches each group and brackets every wanted rank. The second keeps the
+    distinct values inside the brackets and only a count of the values in each gap between
+    them, all combined before the shuffle. What is ordered per group is this short table,
+    about ``4 / accuracy`` of the group for each probability. ``extra`` aggregates ride along
+    in the first pass.
 
     A rank outside its bracket would break the error bound of the sketch; it stops the job
     rather than give a wrong value.
@@ -45,70 +48,48 @@ def exact_quantiles(
         keys, rows = ["_all"], rows.withColumn("_all", F.lit(1))
 
     margin = 2.0 / accuracy
-    wanted = list(probs)
+    wanted = [float(p) for p in probs]
     ladder = [max(p - margin, 0.0) for p in wanted] + [min(p + margin, 1.0) for p in wanted]
-    sketch = F.percentile_approx("_v", [float(p) for p in ladder], accuracy)
-    brackets = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), sketch.alias("_ladder"), *extra
+    brackets = materialize(
+        rows.groupBy(*keys).agg(F.percentile_approx("_v", ladder, accuracy).alias("_ladder"), *extra), "brackets"
     )
-    brackets, fits = counted(brackets)
-    ranges = hinted(brackets.select(*keys, "_ladder"), fits)
-    sizes = hinted(brackets.select(*keys, "_n"), fits)
-
-    # Each row falls below, inside or above the bracket of each probability.
-    marks = F.array(*[
-        F.struct(
-            F.lit(i).alias("p"),
-            F.when(F.col("_v") < F.col("_ladder")[i], -1)
-            .when(F.col("_v") > F.col("_ladder")[i + len(wanted)], 1)
-            .otherwise(0).alias("zone"),
-        )
-        for i in range(len(wanted))
-    ])
-    tallied = (
-        join_null_safe(rows.select(*keys, "_v"), ranges, keys, "inner")
-        .select(*keys, "_v", F.explode(marks).alias("m"))
-        .groupBy(*keys, F.col("m.p").alias("_p"), F.col("m.zone").alias("_zone"),
-                 F.when(F.col("m.zone") == 0, F.col("_v")).alias("_inside"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_max"), F.min("_v").alias("_min"))
-        .withColumn("_x", F.when(F.col("_zone") == -1, F.col("_max")).otherwise(F.col("_min")))
-    )
-    ordered = Window.partitionBy(*keys, "_p").orderBy("_x")
-    cumulated = tallied.withColumn("_cum", F.sum("_c").over(ordered))
-
-    target = F.array(*[F.lit(float(p)) for p in wanted])[F.col("_p")] * (F.col("_n") - 1)
-    ranked = (
-        join_null_safe(cumulated, sizes, keys, "inner")
-        .withColumn("_low", F.floor(target))
-        .withColumn("_high", F.ceil(target))
-        .withColumn("_part", target - F.floor(target))
+
+    v, edges = F.col("_v"), F.col("_ladder")
+    within = [(v >= edges[i]) & (v <= edges[i + len(wanted)]) for i in range(len(wanted))]
+    beyond = [(v > edges[i + len(wanted)]).cast("int") for i in range(len(wanted))]
+    inside = reduce(lambda x, y: x | y, within)
+    # A value in a gap is known by the number of brackets that lie below it.
+    gap = reduce(lambda x, y: x + y, beyond)
+    group = Window.partitionBy(*keys)
+    steps = (
+        join_null_safe(rows.select(*keys, "_v"), brackets.select(*keys, "_ladder"), keys, "inner")
+        .groupBy(*keys, F.when(inside, v).alias("_exact"), F.when(~inside, gap).alias("_gap"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        .withColumns({
+            "_cum": F.sum("_c").over(group.orderBy("_least").rowsBetween(Window.unboundedPreceding, 0)),
+            "_n": F.sum("_c").over(group),
+        })
     )
 
-    def at(rank: str) -> Column:
-        # The value at a rank is the smallest one whose cumulative count exceeds it. Of the rows
-        # below a bracket only the largest is known, of those above only the smallest.
+    def at(rank: Column) -> Column:
+        # Of a gap only the two ends are known.
         start = F.col("_cum") - F.col("_c")
-        holds = (F.col("_cum") > F.col(rank)) & (start <= F.col(rank))
-        known = (
-            (F.col("_zone") == 0)
-            | ((F.col("_zone") == -1) & (F.col(rank) == F.col("_cum") - 1))
-            | ((F.col("_zone") == 1) & (F.col(rank) == start))
-        )
-        checked = F.when(known, F.col("_x")).otherwise(
-            F.raise_error(F.lit("rank outside its bracket")).cast("double")
+        found = (
+            F.when(F.col("_gap").isNull() | (rank == start), F.col("_least"))
+            .when(rank == F.col("_cum") - 1, F.col("_most"))
+            .otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("double"))
         )
-        return F.max(F.when(holds, checked))
+        return F.max(F.when((start <= rank) & (rank < F.col("_cum")), found))
 
-    values = ranked.groupBy(*keys, "_p").agg(
-        (at("_low") + F.max("_part") * (at("_high") - at("_low"))).alias("_q")
-    )
-    wide = values.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_p") == i, F.col("_q"))).alias(name) for i, name in enumerate(probs.values())]
-    )
+    def interpolate(prob: float) -> Column:
+        h = F.lit(prob) * (F.col("_n") - 1)
+        return at(F.floor(h)) + F.max(h - F.floor(h)) * (at(F.ceil(h)) - at(F.floor(h)))
+
+    out = steps.groupBy(*keys).agg(*[interpolate(p).alias(n) for p, n in zip(wanted, probs.values())])
     if extra:
-        riders = [c for c in brackets.columns if c not in (*keys, "_n", "_ladder")]
-        wide = join_null_safe(wide, hinted(brackets.select(*keys, *riders), fits), keys, "inner")
-    return wide if list(by) else wide.drop("_all")
+        riders = [c for c in brackets.columns if c not in (*keys, "_ladder")]
+        out = join_null_safe(out, brackets.select(*keys, *riders), keys, "inner")
+    return out if list(by) else out.drop("_all")
 
 
 def ordered_draws(draws: DataFrame, by: Sequence[str], value: str) -> DataFrame:

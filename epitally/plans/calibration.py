@@ -41,12 +41,15 @@ def with_wide_text(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     pairs = F.array_sort(F.collect_list(F.struct("times", "values")))
     grouped = series.groupBy(*keys).agg(pairs.alias("_rows"))
     cells = F.transform(F.col("_rows.values"), lambda v: number_text(v))
-    return grouped.select(
-        *keys,
+    # The texts are made once per group; in one step with the unrolling they would be made per row.
+    texts = grouped.select(
+        *keys, "_rows",
         joined_list(F.transform(F.col("_rows.times"), lambda t: t.cast("string"))).alias("times_wide"),
         bracketed_list(cells).alias("values_wide"),
-        F.explode("_rows").alias("_row"),
-    ).select(*keys, "_row.times", "_row.values", "times_wide", "values_wide")
+    )
+    return texts.select(*keys, "times_wide", "values_wide", F.explode("_rows").alias("_row")).select(
+        *keys, "_row.times", "_row.values", "times_wide", "values_wide"
+    )
 
 
 def padded_series(series: DataFrame, before: str = "     ", extra: Sequence[str] = (),
@@ -141,23 +144,19 @@ def imputed_daily(cases: DataFrame, by: Sequence[str] = ("region",)) -> DataFram
     counted by report date first and the counts are moved. The lag comes from sums that ride
     along with the counts. Nothing after the first aggregation sees a case.
     """
-    gap = lag_days("report", "admitted")
-    none = F.lit(None).cast("int")
-    marks = F.array(
-        F.struct(F.lit("deaths").alias("series"), F.col("died").alias("date"), none.alias("lag")),
-        F.struct(F.lit("admitted").alias("series"), F.col("admitted").alias("date"), gap.alias("lag")),
-        F.struct(
-            F.lit("unadmitted").alias("series"),
-            F.when(F.col("admitted").isNull(), F.col("report")).alias("date"),
-            none.alias("lag"),
-        ),
+    dates = cases.select(
+        *by,
+        lag_days("report", "admitted").alias("lag"),
+        F.col("died").alias("deaths"),
+        "admitted",
+        F.when(F.col("admitted").isNull(), F.col("report")).alias("unadmitted"),
     )
+    lag = F.when(F.col("series") == "admitted", F.col("lag"))
     counts = (
-        cases.select(*by, F.explode(marks).alias("m"))
-        .select(*by, "m.*")
+        dates.unpivot([*by, "lag"], ["deaths", "admitted", "unadmitted"], "series", "date")
         .where(F.col("date").isNotNull())
         .groupBy(*by, "series", "date")
-        .agg(row_count().alias("n"), F.sum("lag").alias("lag_sum"), F.count("lag").alias("lag_n"))
+        .agg(row_count().alias("n"), F.sum(lag).alias("lag_sum"), F.count(lag).alias("lag_n"))
     )
     region = Window.partitionBy(*by)
     lag = half_even(F.sum("lag_sum").over(region) / F.sum("lag_n").over(region)).cast("int")

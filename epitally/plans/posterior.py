@@ -12,6 +12,7 @@ from ..operators.density import GRID, density
 from ..operators.quantiles import exact_quantiles
 from ..operators.reshape import append
 from ..operators.sampling import prior_draws
+from ..session import materialize
 
 # The parameters, their priors and their labels, in display order.
 PRIORS = [
@@ -62,8 +63,12 @@ def prior_and_posterior(draws: DataFrame, region: str, seed: int, priors: Sequen
 
 def prior_posterior_density(draws: DataFrame, region: str, seed: int, priors: Sequence[Mapping] = PRIORS,
                             grid: int = GRID) -> DataFrame:
-    """Density of both kinds of draws per parameter, on the range of the two together."""
-    return density(prior_and_posterior(draws, region, seed, priors), ["name"], ["type"], grid=grid)
+    """Density of both kinds of draws per parameter, on the range of the two together.
+
+    The draws are passed over three times, so they are made once and written.
+    """
+    both = prior_and_posterior(draws, region, seed, priors).select("name", "type", "value")
+    return density(materialize(both, "draws"), ["name"], ["type"], grid=grid)
 
 
 def parameter_table(draws: DataFrame, region: str) -> DataFrame:

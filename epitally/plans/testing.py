@@ -21,13 +21,15 @@ SAMPLED_DRAWS = 500
 
 
 def test_totals(rows: DataFrame) -> DataFrame:
-    """Tests per day with the shares positive and negative, from texts with thousands commas."""
-    numbers = rows.select(
-        parse_long_date("date").alias("date"),
-        *[number_from_text(c).alias(c) for c in ("tested", "positive", "negative")],
+    """Tests per day with the shares positive and negative, from texts with thousands commas.
+
+    The rows are summed per date text first, so that each text is parsed once and not per row.
+    """
+    counts = ("tested", "positive", "negative")
+    by_text = rows.groupBy("date").agg(*[strict_sum(number_from_text(c)).alias(c) for c in counts])
+    totals = by_text.groupBy(parse_long_date("date").alias("date")).agg(
+        *[strict_sum(c).alias(f"total_{c}") for c in counts]
     )
-    totals = numbers.groupBy("date").agg(*[strict_sum(c).alias(f"total_{c}")
-                                           for c in ("tested", "positive", "negative")])
     return totals.withColumns({
         "percent_positive": half_even(F.col("total_positive") / F.col("total_tested"), 2),
         "percent_negative": half_even(F.col("total_negative") / F.col("total_tested"), 2),

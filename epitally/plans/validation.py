@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import EPOCH_DEC31, offset_date, weeks_after
@@ -54,7 +54,7 @@ def backfill_runs(runs: DataFrame, metrics: Sequence[str] = ("notifications", "i
     """
     local = [f"local_data_{m}" for m in metrics]
     dates = runs.select("model_run_date").distinct()
-    latest = dates.agg(F.max("model_run_date")).scalar()
+    latest = latest_run(runs)
     by = ["model_run_date", "region"] if per_region else ["model_run_date"]
     order = ["times"] if per_region else ["region", "times"]
 
@@ -96,27 +96,29 @@ def by_metric(runs: DataFrame, outputs: dict[str, str] | None = None) -> DataFra
     return runs.select(*keys, F.explode(rows).alias("m")).select(*keys, "m.*")
 
 
-def calibrated_split(runs: DataFrame, scenario: str, outputs: dict[str, str] | None = None,
+def latest_run(archive: DataFrame) -> Column:
+    """Date of the latest run; reads the run dates of the archive only."""
+    return archive.agg(F.max("model_run_date")).scalar()
+
+
+def calibrated_split(runs: DataFrame, scenario: str, latest: Column, outputs: dict[str, str] | None = None,
                      horizon: int = HORIZON_DAYS) -> DataFrame:
     """Rows within the horizon of their run, told apart by whether the model had seen the data.
 
     In the latest run the model is calibrated up to the last reported day of the metric in the
     region, in older runs where the data date is the run date.
     """
-    latest = runs.agg(F.max("model_run_date")).scalar()
     kept = by_metric(runs.where(F.col("scenario") == scenario), outputs).where(
         F.col("date") <= F.date_add("model_run_date", horizon)
     )
-    keys = ["model_run_date", "region", "metric"]
-    # Only the latest run needs the last reported day; one row per region and metric.
-    end = last_observed(
-        kept.where(F.col("model_run_date") == latest), keys, ["times"], "reported", "date", "_end"
-    )
+    # A panel is one scenario of one region, a row per day.
+    panel = Window.partitionBy("model_run_date", "region", "metric")
+    end = F.max(F.when(F.col("reported").isNotNull(), F.col("date"))).over(panel)
     seen = F.when(F.col("model_run_date") == latest, F.col("date") <= F.col("_end")).otherwise(
         F.col("model_run_date") == F.col("data_acquired_date")
     )
     return (
-        kept.join(end, keys, "left")
+        kept.withColumn("_end", end)
         .withColumn("model", F.when(seen, "calibrated").when(~seen, "uncalibrated"))
         .drop("_end")
     )

@@ -100,3 +100,8 @@ def read_model_jdbc(spark: SparkSession, url: str, table: str, region: str, **op
 def read_calibration_files(spark: SparkSession, root: str) -> DataFrame:
     """All calibration files at once; region and series are partition columns of the folder."""
     return read_table(spark, root, "times string, values string, series string, region string")
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """The archive of model runs; a filter on ``model_run_date`` reads only the runs it names."""
+    return spark.read.parquet(path)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.bands import AGE_LEVELS, BAND_STARTS
 from ..functions.labels import HOSPITAL_REGIONS, HOSPITAL_REGIONS_SHORT, INDICATOR_LABELS, recode
 from ..plans import ages, calibration, posterior, scenarios, structure, testing, validation
+from ..session import scratch_path
+from ..sources.readers import read_archive
+from ..sources.writers import append_run
 from . import views
 from .column_queries import AGE_BAND_SQL
 from .operator_queries import reported, uncertainty
@@ -273,6 +276,13 @@ def run_snapshot(spark, folder):
     return rounded(out, *SNAPSHOT_COLUMNS)
 
 
+def archive(spark, folder):
+    """The runs as they lie in the archive, one folder per run date."""
+    path = scratch_path(spark, "archive")
+    append_run(views.archived_runs(spark, folder), path)
+    return read_archive(spark, path)
+
+
 BACKFILL = f"""cut AS (SELECT model_run_date, arg_max(date, {{'region': region, 'times': times}}) AS cutoff
   FROM archived_runs WHERE local_data_notifications IS NOT NULL GROUP BY ALL),
 stale AS (SELECT a.* REPLACE (CASE WHEN a.model_run_date < DATE '2024-01-22' AND a.date >= cutoff
@@ -291,7 +301,7 @@ filled AS (SELECT * EXCLUDE ({", ".join(LOCAL)}, {", ".join(f"new_{c}" for c in
 WITH {BACKFILL} SELECT model_run_date, data_acquired_date, region, date, times, scenario, {", ".join(LOCAL)},
   round(notifications_q50, 6) AS notifications_q50 FROM filled""", ["archived_runs"])
 def run_backfill(spark, folder):
-    out = validation.backfill_runs(views.archived_runs(spark, folder))
+    out = validation.backfill_runs(archive(spark, folder))
     return rounded(out, "notifications_q50").select(
         "model_run_date", "data_acquired_date", "region", "date", "times", "scenario", *LOCAL, "notifications_q50"
     )
@@ -312,8 +322,10 @@ split AS (SELECT *, CASE WHEN model_run_date = DATE '2024-01-22'
 
 
 def split(spark, folder):
-    runs = validation.backfill_runs(views.archived_runs(spark, folder))
-    return validation.calibrated_split(runs, "S_0", views.OUTPUTS)
+    runs = archive(spark, folder)
+    return validation.calibrated_split(
+        validation.backfill_runs(runs), "S_0", validation.latest_run(runs), views.OUTPUTS
+    )
 
 
 @query("calibrated_split", f"""
@@ -563,10 +575,10 @@ bins AS (SELECT name, type, bin, sum(w) AS w FROM (
     SELECT name, type, floor(pos) AS bin, (1 - (pos - floor(pos))) / n AS w FROM p
     UNION ALL SELECT name, type, floor(pos) + 1, (pos - floor(pos)) / n FROM p) GROUP BY ALL),
 pts AS (SELECT g.*, CAST(i AS INTEGER) AS point, a + i * (b - a) / 511.0::DOUBLE AS px,
-    (a + i * (b - a) / 511.0::DOUBLE - low) / step AS at FROM g, generate_series(0, 511) t(i))
+    (a + i * (b - a) / 511.0::DOUBLE - low) / step AS place FROM g, generate_series(0, 511) t(i))
 SELECT pts.name, pts.type, point, round(max(px), 6) AS x, round(sum(w * (
-    (1 - (at - floor(at))) * exp(-0.5::DOUBLE * pow((floor(at) - bin) * step / bw, 2))
-    + (at - floor(at)) * exp(-0.5::DOUBLE * pow((floor(at) + 1 - bin) * step / bw, 2)))
+    (1 - (place - floor(place))) * exp(-0.5::DOUBLE * pow((floor(place) - bin) * step / bw, 2))
+    + (place - floor(place)) * exp(-0.5::DOUBLE * pow((floor(place) + 1 - bin) * step / bw, 2)))
     / (bw * sqrt(2 * pi()))), 6) AS density
 FROM pts JOIN bins ON pts.name = bins.name AND pts.type = bins.type GROUP BY pts.name, pts.type, point""", ["draws"])
 def prior_posterior_density(spark, folder):
@@ -594,10 +606,10 @@ def per_capita(spark, folder):
 
 
 @query("per_capita_tests", f"""
-WITH {PER_CAPITA} SELECT region, report_date, tests, round(per_capita, 6) AS per_capita, round(smoothed, 6) AS smoothed
+WITH {PER_CAPITA} SELECT region, report_date, tests, round(per_capita, 9) AS per_capita, round(smoothed, 9) AS smoothed
 FROM r""", DETECTION_VIEWS[:3])
 def per_capita_tests(spark, folder):
-    return rounded(per_capita(spark, folder), "per_capita", "smoothed")
+    return rounded(per_capita(spark, folder), "per_capita", "smoothed", digits=9)
 
 
 RATES = f"""{PER_CAPITA},

@@ -15,6 +15,7 @@ from ..sources import schemas
 from ..sources.readers import (
     file_part,
     newest_files,
+    read_archive,
     read_calibration_files,
     read_drop,
     read_drops,
@@ -170,7 +171,7 @@ def run_archive(spark, folder):
     runs = views.archived_runs(spark, folder)
     append_run(runs.where(F.col("model_run_date") < F.lit(views.RUN_DATES[2])), path)
     append_run(runs.where(F.col("model_run_date") > F.lit(views.RUN_DATES[0])), path)
-    out = spark.read.parquet(path).groupBy("model_run_date", "scenario").agg(
+    out = read_archive(spark, path).groupBy("model_run_date", "scenario").agg(
         row_count().alias("n"), F.count("local_data_notifications").alias("reported"),
         F.max("notifications_q50").alias("top"),
     )
