@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Parts into which the candidates of one group are split before the last choice.
 SALTS = 1024
+# Candidates, in pairs, for a normal cut off below.
+MORE_CANDIDATES = 1000
 
 
 def draw_hash(key: Column | str, seed: int, *parts: Column | str) -> Column:
@@ -49,12 +51,19 @@ def sample_rows(df: DataFrame, by: Sequence[str], n: int, key: str, seed: int, r
     )
 
 
+def _normals(u: Column, v: Column) -> list[Column]:
+    """Two draws from a normal with mean ``a`` and deviation ``b`` from two uniform ones."""
+    radius = F.sqrt(F.lit(-2.0) * F.log(u))
+    angle = F.lit(2.0 * math.pi) * v
+    return [F.col("a") + F.col("b") * radius * F.cos(angle), F.col("a") + F.col("b") * radius * F.sin(angle)]
+
+
 def prior_draws(anchors: DataFrame, key: str, priors: Sequence[dict], seed: int, name: str = "name",
                 value: str = "value") -> DataFrame:
     """One draw from each prior per anchor row.
 
     A prior is uniform (``low``, ``high``) or normal cut off below (``mean``, ``sd``, ``lower``).
-    A cut normal takes the first of eight candidates that is not below its bound.
+    A cut normal takes its first candidate that is not below the bound.
     """
     specs = F.array(*[
         F.struct(
@@ -74,14 +83,19 @@ def prior_draws(anchors: DataFrame, key: str, priors: Sequence[dict], seed: int,
         *[hash_uniform(F.col(f"_d{i}"), start).alias(f"_u{i}{part}")
           for i in range(4) for part, start in (("a", 1), ("b", 14))],
     )
-    candidates = []
-    for i in range(4):
-        radius = F.sqrt(F.lit(-2.0) * F.log(F.col(f"_u{i}a")))
-        angle = F.lit(2.0 * math.pi) * F.col(f"_u{i}b")
-        candidates += [F.col("a") + F.col("b") * radius * F.cos(angle), F.col("a") + F.col("b") * radius * F.sin(angle)]
+    candidates = [c for i in range(4) for c in _normals(F.col(f"_u{i}a"), F.col(f"_u{i}b"))]
+    # Rows whose eight candidates all fail, a few in a million for the usual priors, try many more.
+    def again(i: Column) -> Column:
+        digest = draw_hash(key, seed, F.col("name"), i.cast("string"))
+        return F.array(*_normals(hash_uniform(digest), hash_uniform(digest, 14)))
+
+    more = F.filter(
+        F.flatten(F.transform(F.sequence(F.lit(4), F.lit(MORE_CANDIDATES)), again)), lambda c: c >= F.col("lower")
+    )
     normal = F.coalesce(
         *[F.when(c >= F.col("lower"), c) for c in candidates],
-        F.raise_error(F.lit("eight candidates below the bound")).cast("double"),
+        F.get(more, 0),
+        F.raise_error(F.lit("the bound cuts off nearly all of the prior")).cast("double"),
     )
     drawn = F.when(F.col("uniform"), F.col("a") + F.col("b") * F.col("_u0a")).otherwise(normal)
     return uniforms.select(key, F.col("name").alias(name), drawn.alias(value))
