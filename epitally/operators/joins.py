@@ -43,3 +43,8 @@ def merge_series(series: DataFrame, keys: Sequence[str], tag: str, value: str, n
     """
     columns = [F.max(F.when(F.col(tag) == t, F.col(value))).alias(n) for t, n in names.items()]
     return series.where(F.col(tag).isin(list(names))).groupBy(*keys).agg(*columns)
+
+
+def with_labels(df: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """Label columns by key, null where there is none. The labels are a literal table, so they are broadcast."""
+    return df.join(F.broadcast(labels), key, "left")

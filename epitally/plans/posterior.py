@@ -7,12 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import ordinal, recode
+from ..functions.labels import ordinal
 from ..operators.density import GRID, density
+from ..operators.joins import with_labels
 from ..operators.quantiles import exact_quantiles
 from ..operators.reshape import append
 from ..operators.sampling import prior_draws
 from ..session import materialize
+from ..sources.readers import literal_table
 
 # The parameters, their priors and their labels, in display order.
 PRIORS = [
@@ -35,7 +37,6 @@ PRIORS = [
     {"name": "infection_fatality.multiplier",
      "kind": "normal", "mean": 1.0, "sd": 0.2, "lower": 0.5, "label": "Infection fatality rate\nadjuster for LMIC"},
 ]
-PARAMETER_LABELS = {p["name"]: p["label"] for p in PRIORS}
 DRAW_TYPES = ["Prior", "Posterior"]
 
 
@@ -53,12 +54,9 @@ def prior_and_posterior(draws: DataFrame, region: str, seed: int, priors: Sequen
         posterior.select("name", "value", F.lit("Posterior").alias("type")),
         prior_samples(posterior, seed, priors).select("name", "value", F.lit("Prior").alias("type")),
     )
-    labels = {p["name"]: p["label"] for p in priors}
-    return both.withColumns({
-        "label": recode("name", labels),
-        "position": ordinal("name", names),
-        "type_position": ordinal("type", DRAW_TYPES),
-    })
+    rows = [(p["name"], p["label"], i) for i, p in enumerate(priors, start=1)]
+    labels = literal_table(draws.sparkSession, rows, "name string, label string, position int")
+    return with_labels(both, "name", labels).withColumn("type_position", ordinal("type", DRAW_TYPES))
 
 
 def prior_posterior_density(draws: DataFrame, region: str, seed: int, priors: Sequence[Mapping] = PRIORS,

@@ -14,13 +14,14 @@ from ..functions.labels import (
     MODEL_REGIONS,
     SCENARIO_LABELS,
     SERIES_REGIONS,
-    ordinal,
     recode,
 )
 from ..operators.filters import offset_between, rows_at_max
+from ..operators.joins import with_labels
 from ..operators.quantiles import bounded_quantiles
 from ..operators.reshape import quantile_wide
 from ..operators.series import carry_forward
+from ..sources.readers import literal_table
 
 BAND_KEYS = ["region", "scenario", "type", "times", "date"]
 INTERVAL = {0.025: "q025", 0.5: "q50", 0.975: "q975"}
@@ -87,10 +88,9 @@ def scenario_comparison(uncertainty: DataFrame, after: int = 425, without: Seque
     kept = uncertainty.where(
         (F.col("type") == kind) & (F.col("times") > after) & ~F.col("scenario").isin(list(without))
     )
-    chain = F.lit(None).cast("string")
-    for number, label in labels.items():
-        chain = F.when(F.col("scenario") == number, F.lit(label)).otherwise(chain)
-    return bands(kept).withColumns({"label": chain, "position": ordinal("scenario", list(labels))})
+    rows = [(number, label, i) for i, (number, label) in enumerate(labels.items(), start=1)]
+    table = literal_table(uncertainty.sparkSession, rows, "scenario int, label string, position int")
+    return with_labels(bands(kept), "scenario", table)
 
 
 def contrast(comparison: DataFrame, pair: Sequence[int] = (0, 5), after: int = 424) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, path: str | list[str], schema: str, missing: str = "NA") -> DataFrame:
@@ -21,6 +24,24 @@ def read_table(spark: SparkSession, path: str | list[str], schema: str, missing:
     )
 
 
+def read_columns(spark: SparkSession, path: str | list[str], schema: str, missing: str = "NA") -> DataFrame:
+    """The columns of the schema out of files that have more of them, found by name.
+
+    Only the header line is read to find them. A value that does not fit its type is null.
+    """
+    whole = (
+        spark.read.option("header", True).option("nullValue", missing).option("enforceSchema", False).csv(path)
+    )
+    wanted = T.StructType.fromDDL(schema)
+    return whole.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def literal_table(spark: SparkSession, rows: Mapping | Sequence[tuple], schema: str) -> DataFrame:
+    """A dimension written out in the program, such as labels by name."""
+    data = list(rows.items()) if isinstance(rows, Mapping) else list(rows)
+    return spark.createDataFrame(data, schema)
+
+
 def read_drop(spark: SparkSession, root: str, upload_date: str, schema: str, name: str = "") -> DataFrame:
     """One dated drop, ``root/upload_date=…/name``; only that folder is listed."""
     path = f"{root}/upload_date={upload_date}" + (f"/{name}" if name else "")

@@ -10,8 +10,9 @@ from ..functions.bands import AGE_LEVELS, BAND_STARTS
 from ..functions.labels import HOSPITAL_REGIONS, HOSPITAL_REGIONS_SHORT, INDICATOR_LABELS, recode
 from ..plans import ages, calibration, posterior, scenarios, structure, testing, validation
 from ..session import scratch_path
-from ..sources.readers import read_archive
-from ..sources.writers import append_run
+from ..sources import schemas
+from ..sources.readers import read_archive, read_columns
+from ..sources.writers import append_run, write_table
 from . import views
 from .column_queries import AGE_BAND_SQL
 from .operator_queries import reported, uncertainty
@@ -307,6 +308,19 @@ def run_backfill(spark, folder):
     )
 
 
+@query("run_backfill_by_region", f"""
+WITH {BACKFILL.replace("SELECT model_run_date, arg_max(date, {'region': region, 'times': times}) AS cutoff",
+                       "SELECT model_run_date, region, arg_max(date, times) AS cutoff")
+      .replace("LEFT JOIN cut USING (model_run_date)", "LEFT JOIN cut USING (model_run_date, region)")}
+SELECT model_run_date, data_acquired_date, region, date, times, scenario, {", ".join(LOCAL)} FROM filled""",
+       ["archived_runs"])
+def run_backfill_by_region(spark, folder):
+    """The cut-off taken in each region by itself."""
+    return validation.backfill_runs(archive(spark, folder), per_region=True).select(
+        "model_run_date", "data_acquired_date", "region", "date", "times", "scenario", *LOCAL
+    )
+
+
 SPLIT = f"""{BACKFILL},
 long AS ({" UNION ALL ".join(
     f"SELECT model_run_date, data_acquired_date, region, scenario, times, date, '{m}' AS metric, "
@@ -377,6 +391,22 @@ def age_structure(spark, folder):
     return rounded(out, "millions")
 
 
+@query("age_structure_from_file", f"""
+SELECT area, age_group, CASE age_group {POSITIONS} END AS position, round(population / 1000.0, 6) AS millions
+FROM (SELECT area, {", ".join(f'"{b}"' for b in AGE_LEVELS[:-1] if b != "5-9")},
+    "75-79" + "80-84" + "85-89" + "90-94" + "95-99" + "100+" AS "75+"
+  FROM population WHERE reference_year = 2020 AND area IN ({SHOWN}))
+  UNPIVOT INCLUDE NULLS (population FOR age_group IN ({", ".join(f'"{b}"' for b in AGE_LEVELS if b != "5-9")}))""",
+       ["population"])
+def age_structure_from_file(spark, folder):
+    """The population sheet exported to text, read by column name; one band left out."""
+    path = scratch_path(spark, "population")
+    write_table(views.population(spark, folder).withColumn("notes", F.lit("x")), path)
+    sheet = read_columns(spark, path, schemas.POPULATION)
+    out = structure.age_structure(sheet, AREAS, views.POPULATION_YEAR, leave_out=["5-9"])
+    return rounded(out, "millions")
+
+
 @query("mobility_index", """
 SELECT coalesce(sub_region_1, 'Philippines') AS area, metro_area, date,
   CASE location WHEN 'work' THEN 'Work' WHEN 'home' THEN 'Home' ELSE 'Other locations' END AS location,
@@ -509,6 +539,16 @@ def incidence_peak_interval(spark, folder):
     return rounded(out, "q025", "q50", "q975")
 
 
+@query("incidence_peak_baseline", """
+WITH y AS (SELECT * FROM uncertainty WHERE region = 'Philippines' AND type = 'incidence' AND scenario = 0
+    AND date <= DATE '2024-01-25'),
+m AS (SELECT region, date, quantile_cont(value, 0.5) AS q50 FROM y GROUP BY ALL)
+SELECT region, date, round(q50, 6) AS q50 FROM m WHERE q50 = (SELECT max(q50) FROM m)""", ["uncertainty"])
+def incidence_peak_baseline(spark, folder):
+    out = scenarios.incidence_peak(uncertainty(spark, folder), "Philippines", dt.date(2024, 1, 25), scenario=0)
+    return rounded(out, "q50")
+
+
 @query("attack_rate", f"""
 SELECT region, date, q025, q50, q975 FROM ({INDICATOR_ROWS})
 WHERE region = 'Philippines' AND type = 'Percentage recovered' AND date = DATE '2024-01-20'""",
@@ -561,6 +601,23 @@ def prior_samples(spark, folder):
     return rounded(posterior.prior_samples(kept, SEED), "value")
 
 
+@query("prior_and_posterior", f"""
+WITH {PRIOR_SQL},
+x AS (SELECT name, value, 'Posterior' AS type, 2 AS type_position FROM draws WHERE region = 'Philippines'
+  UNION ALL SELECT name, value, 'Prior', 1 FROM prior)
+SELECT label, position, type, type_position, count(*) AS n, round(min(value), 6) AS least, round(max(value), 6) AS most
+FROM x JOIN (VALUES {", ".join(
+    f"('{p['name']}', replace('{p['label']}', '~', chr(10)), {i})".replace(chr(10), "~")
+    for i, p in enumerate(posterior.PRIORS, start=1))}) l(name, label, position) USING (name) GROUP BY ALL""", ["draws"])
+def prior_and_posterior(spark, folder):
+    """Draws with labels and display order, counted by parameter and kind."""
+    both = posterior.prior_and_posterior(draws(spark, folder), "Philippines", SEED)
+    out = both.groupBy("label", "position", "type", "type_position").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most")
+    )
+    return rounded(out, "least", "most")
+
+
 @query("prior_posterior_density", f"""
 WITH {PRIOR_SQL},
 x AS (SELECT name, value, 'Posterior' AS type FROM draws WHERE region = 'Philippines'
@@ -631,6 +688,19 @@ def detection_rate_band(spark, folder):
     return rounded(band(spark, folder), *Q)
 
 
+@query("detection_rate_scaled", f"""
+WITH {RATES} SELECT region, report_date, {", ".join(
+    f"CASE WHEN region = 'National Capital Region' THEN round({n} * 0.5, 5) ELSE round({n}, 5) END AS {n}" for n in Q)}
+FROM (SELECT region, report_date, {", ".join(
+    f"quantile_cont(rate, {p}) AS {n}" for p, n in zip((0.025, 0.25, 0.5, 0.75, 0.975), Q))} FROM f GROUP BY ALL)""",
+       DETECTION_VIEWS)
+def detection_rate_scaled(spark, folder):
+    """The band with the rate of one region scaled."""
+    sampled = testing.detection_draws(draws(spark, folder), SEED)
+    out = testing.detection_band(sampled, per_capita(spark, folder), {"National Capital Region": 0.5})
+    return rounded(out, *Q, digits=5)
+
+
 @query("detection_rate_draws", f"""
 WITH {RATES} SELECT region, count(rate) AS rates, round(avg(rate), 6) AS mean FROM f GROUP BY ALL""", DETECTION_VIEWS)
 def detection_rate_draws(spark, folder):
