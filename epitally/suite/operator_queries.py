@@ -226,14 +226,14 @@ def quantiles_ungrouped(spark, folder):
 
 
 @query("quantiles_bounded", """
-SELECT region, type, times, round(quantile_cont(value, 0.025), 6) AS q025, round(quantile_cont(value, 0.5), 6) AS q50
+SELECT region, type, times, round(quantile_cont(value, 0.025), 8) AS q025, round(quantile_cont(value, 0.5), 8) AS q50
 FROM uncertainty GROUP BY ALL""", ["uncertainty"])
 def quantiles_bounded(spark, folder):
     """Quantiles of small groups: the model's rows of one day."""
     out = uncertainty(spark, folder).groupBy("region", "type", "times").agg(
         *bounded_quantiles("value", {0.025: "q025", 0.5: "q50"})
     )
-    return rounded(out, "q025", "q50")
+    return rounded(out, "q025", "q50", digits=8)
 
 
 @query("group_share", """

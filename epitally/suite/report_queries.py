@@ -531,12 +531,12 @@ def incidence_peak(spark, folder):
 
 
 @query("incidence_peak_interval", f"""
-WITH {PEAK} SELECT region, max(date) AS peak_date, round(quantile_cont(value, 0.025), 6) AS q025,
-  round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.975), 6) AS q975
+WITH {PEAK} SELECT region, max(date) AS peak_date, round(quantile_cont(value, 0.025), 8) AS q025,
+  round(quantile_cont(value, 0.5), 8) AS q50, round(quantile_cont(value, 0.975), 8) AS q975
 FROM y WHERE date IN (SELECT date FROM p) GROUP BY region""", ["uncertainty"])
 def incidence_peak_interval(spark, folder):
     out = scenarios.incidence_peak_interval(uncertainty(spark, folder), "Philippines", dt.date(2024, 1, 25))
-    return rounded(out, "q025", "q50", "q975")
+    return rounded(out, "q025", "q50", "q975", digits=8)
 
 
 @query("incidence_peak_baseline", """
