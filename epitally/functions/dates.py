@@ -33,8 +33,14 @@ def parse_iso_date(c: Column | str) -> Column:
 
 
 def parse_us_date(c: Column | str) -> Column:
-    """``6/1/2020``: month, day, year, one or two digits each for the first two."""
-    return F.try_to_date(F.regexp_extract(_col(c), r"^\s*(\d{1,2}/\d{1,2}/\d{4})", 1), "M/d/yyyy")
+    """``6/1/2020``: month, day, year, one or two digits each for the first two.
+
+    The plain form is read directly; only longer texts reach the pattern.
+    """
+    text = _col(c)
+    loose = F.regexp_extract(text, r"^\s*(\d{1,2}/\d{1,2}/\d{4})", 1)
+    plain = F.length(text).between(8, 10)
+    return F.coalesce(F.when(plain, F.try_to_date(text, "M/d/yyyy")), F.try_to_date(loose, "M/d/yyyy"))
 
 
 def parse_long_date(c: Column | str) -> Column:

@@ -12,6 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .joins import join_null_safe
+
+# Hexadecimal digits of a hash by which rows are counted: 4096 counts per group.
+LEAD_DIGITS = 3
 # Parts into which the candidates of one group are split before the last choice.
 SALTS = 1024
 # Candidates, in pairs, for a normal cut off below.
@@ -33,12 +38,28 @@ def hash_uniform(digest: Column, start: int = 1) -> Column:
 def sample_rows(df: DataFrame, by: Sequence[str], n: int, key: str, seed: int, rank: str = "id") -> DataFrame:
     """n rows of each group without replacement, numbered from 1 in random order.
 
-    Every task keeps its own first n of a group, then every salt, then the group, so that no
-    task sees more than n rows from each salt however large the group is. The salt is the
-    partition a row was read in; it cannot change which rows come first.
+    The rows of a group are those whose hashes come first. A first pass counts hashes by their
+    leading digits and so finds where the n-th lies; a second keeps the rows up to there and
+    orders only those. What is left of a group is cut to n per task, then per salt, then per
+    group, so that no task sees more than n rows from each salt. The salt is the partition a
+    row was read in; it cannot change which rows come first.
     """
+    hashed = df.withColumn("_h", draw_hash(key, seed))
+    lead = F.substring("_h", 1, LEAD_DIGITS)
+    counts = hashed.groupBy(*by, lead.alias("_lead")).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(
+        F.sum("_c").over(
+            Window.partitionBy(*by).orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
+        ),
+        F.lit(0),
+    )
+    last = counts.withColumn("_before", before).where(F.col("_before") < n).groupBy(*by).agg(
+        F.max("_lead").alias("_last")
+    )
+    kept = join_null_safe(hashed, materialize(last, "sample"), by, "inner").where(lead <= F.col("_last"))
+
     order = [F.col("_h"), F.col(key)]
-    marked = df.withColumns({"_h": draw_hash(key, seed), "_salt": F.spark_partition_id() % F.lit(SALTS)})
+    marked = kept.drop("_last").withColumn("_salt", F.spark_partition_id() % F.lit(SALTS))
     first = (
         marked.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order)))
         .where(F.col("_r") <= n)
