@@ -107,21 +107,25 @@ def icu_text(hospital: DataFrame, epoch: dt.date, lower: int | None = None) -> D
                         ["series"])
 
 
-def icu_national(hospital: DataFrame, epoch: dt.date = EPOCH_DEC31, lower: int = FIRST_DAY) -> DataFrame:
+def national_beds(daily: DataFrame) -> DataFrame:
+    """National days from regional ones; a day that one region lacks has no total."""
+    return daily.groupBy("date").agg(strict_sum("values").alias("values"))
+
+
+def icu_national(daily: DataFrame, epoch: dt.date = EPOCH_DEC31, lower: int = FIRST_DAY) -> DataFrame:
     """National occupancy: padded cells with the whole series as text beside them."""
-    series = calibration_series(icu_daily(hospital), epoch, lower).withColumn("series", F.lit("icu"))
+    series = calibration_series(daily, epoch, lower).withColumn("series", F.lit("icu"))
     return padded_series(with_wide_text(series, ["series"]), extra=("times_wide", "values_wide"), scope=["series"])
 
 
-def icu_regional(hospital: DataFrame, regions: Sequence[str], epoch: dt.date = EPOCH_DEC31) -> DataFrame:
+def icu_regional(daily: DataFrame, epoch: dt.date = EPOCH_DEC31) -> DataFrame:
     """Occupancy of each region as padded cells, one output per region."""
-    series = calibration_series(icu_daily(hospital, ["region"], regions), epoch, None)
-    return padded_series(series, before="    ")
+    return padded_series(calibration_series(daily, epoch, None), before="    ")
 
 
-def icu_regional_wide(hospital: DataFrame, regions: Sequence[str], epoch: dt.date = EPOCH_DEC31) -> DataFrame:
+def icu_regional_wide(daily: DataFrame, epoch: dt.date = EPOCH_DEC31) -> DataFrame:
     """The same with the region's whole series as text beside each row."""
-    series = calibration_series(icu_daily(hospital, ["region"], regions), epoch, None)
+    series = calibration_series(daily, epoch, None)
     return padded_series(with_wide_text(series, ["region"]), extra=("times_wide", "values_wide"))
 
 
@@ -170,13 +174,11 @@ def imputed_daily(cases: DataFrame, by: Sequence[str] = ("region",)) -> DataFram
     return moved.where(F.col("date").isNotNull()).groupBy(*by, "series", "date").agg(F.sum("n").alias("values"))
 
 
-def imputed_regional(cases: DataFrame, regions: Sequence[str], epoch: dt.date = EPOCH_DEC31,
-                     lower: int = FIRST_DAY) -> DataFrame:
+def imputed_regional(daily: DataFrame, epoch: dt.date = EPOCH_DEC31, lower: int = FIRST_DAY) -> DataFrame:
     """Deaths and notifications of each region, cells with a comma and the whole series beside them.
 
-    The region filter comes first; a region's lag depends on its own cases only.
+    A region's lag depends on its own cases only, so a region filter may come before the counts.
     """
-    daily = imputed_daily(cases.where(in_regions(regions)))
     rows = with_wide_text(calibration_series(daily, epoch, lower), ["series", "region"])
     return rows.select(
         "series", "region", F.col("times").alias("day"),
@@ -184,10 +186,10 @@ def imputed_regional(cases: DataFrame, regions: Sequence[str], epoch: dt.date =
     )
 
 
-def imputed_national(cases: DataFrame, epoch: dt.date = EPOCH_DEC31, lower: int = FIRST_DAY) -> DataFrame:
+def imputed_national(daily: DataFrame, epoch: dt.date = EPOCH_DEC31, lower: int = FIRST_DAY) -> DataFrame:
     """The same for the nation, as padded cells per series."""
-    daily = imputed_daily(cases).groupBy("series", "date").agg(F.sum("values").alias("values"))
-    rows = with_wide_text(calibration_series(daily, epoch, lower), ["series"])
+    national = daily.groupBy("series", "date").agg(F.sum("values").alias("values"))
+    rows = with_wide_text(calibration_series(national, epoch, lower), ["series"])
     return padded_series(rows, extra=("times_wide", "values_wide"), scope=["series"])
 
 
@@ -197,14 +199,13 @@ def regional_series(cases: DataFrame, hospital: DataFrame, regions: Sequence[str
 
     The nation holds all regions; the list is applied after it is formed.
     """
-    counts = daily_counts(cases, ["region"], {"notifications": "admitted", "deaths": "died"})
     beds = (
-        hospital.where(F.col("reportdate").isNotNull())
+        hospital.where(F.col("reportdate") <= F.lit(until))
         .groupBy("region", F.col("reportdate").alias("date"))
         .agg(skip_sum("icu_o").alias("values"))
         .withColumn("series", F.lit("icu"))
     )
-    daily = counts.unionByName(beds).where(F.col("date") <= F.lit(until))
+    daily = case_days(cases, until).unionByName(beds)
     both = with_national(daily, ["series", "region", "date"], national)
     return both.where(in_regions([national, *regions]))
 
@@ -225,13 +226,16 @@ def long_text(series: DataFrame, keys: Sequence[str]) -> DataFrame:
                          with_comma("values").alias("values"))
 
 
-def rolling_notifications(cases: DataFrame, regions: Sequence[str], national: str, until: dt.date,
-                          epoch: dt.date = EPOCH_DEC31, lower: int = 60, tail: int = 9,
-                          width: int = 7) -> DataFrame:
+def case_days(cases: DataFrame, until: dt.date) -> DataFrame:
+    """Notifications and deaths per region and day up to a date."""
+    counts = daily_counts(cases, ["region"], {"notifications": "admitted", "deaths": "died"})
+    return counts.where(F.col("date") <= F.lit(until))
+
+
+def rolling_notifications(daily: DataFrame, regions: Sequence[str], national: str, epoch: dt.date = EPOCH_DEC31,
+                          lower: int = 60, tail: int = 9, width: int = 7) -> DataFrame:
     """Mean of the observed days among each day and the six after it, for the nation and the regions."""
-    counts = daily_counts(
-        cases.where(F.col("admitted") <= F.lit(until)), ["region"], {"notifications": "admitted"}
-    )
+    counts = daily.where(F.col("series") == "notifications")
     both = with_national(counts, ["region", "date"], national).where(in_regions([national, *regions]))
     days = fill_days(both, ["region"])
     smooth = days.withColumn("values", half_even(rolling(["region"], "date", "values", width)))
@@ -239,13 +243,11 @@ def rolling_notifications(cases: DataFrame, regions: Sequence[str], national: st
     return complete_rows(trim_tail(series, ["region"], lower, tail))
 
 
-def cumulative_deaths(cases: DataFrame, regions: Sequence[str], national: str, until: dt.date,
+def cumulative_deaths(daily: DataFrame, regions: Sequence[str], national: str,
                       epoch: dt.date = EPOCH_DEC31) -> DataFrame:
     """Deaths to date and the date of the last one, for the nation and the regions."""
-    totals = cases.where(F.col("died") <= F.lit(until)).groupBy("region").agg(
-        row_count().alias("values"), F.max("died").alias("date")
-    )
-    both = totals.withColumn("region", F.explode(F.array(F.col("region"), F.lit(national))))
+    deaths = daily.where(F.col("series") == "deaths")
+    both = deaths.withColumn("region", F.explode(F.array(F.col("region"), F.lit(national))))
     return (
         both.where(in_regions([national, *regions]))
         .groupBy("region")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.dates import EPOCH_DEC31
 from ..functions.labels import HOSPITAL_REGIONS, recode
 from ..operators.aggregates import ordered_text
+from ..operators.filters import in_regions
 from ..session import materialize
 from ..sources import schemas
 from ..sources.readers import read_archive, read_calibration_files, read_columns, read_model_table
@@ -39,9 +40,10 @@ def rolling_job(spark: SparkSession, cases_path: str, hospital_path: str, out: s
     """``out/notifications`` by region, ``out/deaths`` and ``out/icu``."""
     cases = inputs.cases_imputed(read_columns(spark, cases_path, schemas.CASES_IMPUTED))
     hospital = inputs.hospital_daily(read_columns(spark, hospital_path, schemas.HOSPITAL_DAILY), short_names=True)
-    smooth = calibration.rolling_notifications(cases, regions, national, until, epoch)
+    daily = materialize(calibration.case_days(cases, until), "days")
+    smooth = calibration.rolling_notifications(daily, regions, national, epoch)
     write_by(calibration.long_text(smooth, ["region"]).drop("day"), f"{out}/notifications", ["region"])
-    write_table(calibration.cumulative_deaths(cases, regions, national, until, epoch), f"{out}/deaths")
+    write_table(calibration.cumulative_deaths(daily, regions, national, epoch), f"{out}/deaths")
     write_table(calibration.latest_icu(hospital, regions, national, until, epoch), f"{out}/icu")
 
 
@@ -49,9 +51,10 @@ def imputed_job(spark: SparkSession, cases_path: str, out: str, names: dict[str,
                 epoch: dt.date = EPOCH_DEC31) -> None:
     """``out/regional`` by series and region and ``out/national`` by series; ``names`` maps codes to regions."""
     cases = inputs.cases_by_admission(read_columns(spark, cases_path, schemas.CASES_ADMISSION))
-    regional = calibration.imputed_regional(cases, list(names), epoch)
+    daily = materialize(calibration.imputed_daily(cases), "days")
+    regional = calibration.imputed_regional(daily.where(in_regions(list(names))), epoch)
     write_by(regional.withColumn("region", recode("region", names)).drop("day"), f"{out}/regional", SERIES_KEYS)
-    national = calibration.imputed_national(cases, epoch)
+    national = calibration.imputed_national(daily, epoch)
     write_by(national.drop("day", "values_bracketed"), f"{out}/national", ["series"])
 
 
@@ -59,9 +62,10 @@ def icu_job(spark: SparkSession, hospital_path: str, out: str, names: dict[str,
             epoch: dt.date = EPOCH_DEC31) -> None:
     """``out/regional`` by region and ``out/national``."""
     hospital = inputs.hospital_daily(read_columns(spark, hospital_path, schemas.HOSPITAL_DAILY))
-    regional = calibration.icu_regional_wide(hospital, list(names), epoch)
+    daily = materialize(calibration.icu_daily(hospital, ["region"]), "days")
+    regional = calibration.icu_regional_wide(daily.where(in_regions(list(names))), epoch)
     write_by(regional.withColumn("region", recode("region", names)).drop("day"), f"{out}/regional", ["region"])
-    write_table(calibration.icu_national(hospital, epoch).drop("day", "series"), f"{out}/national")
+    write_table(calibration.icu_national(calibration.national_beds(daily), epoch).drop("day", "series"), f"{out}/national")
 
 
 def validation_job(spark: SparkSession, model_root: str, calibration_root: str, archive: str, run_date: dt.date,

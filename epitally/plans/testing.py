@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_long_date
+from ..functions.dates import parse_iso_date, parse_long_date
 from ..functions.numbers import NATIONAL_POPULATION, detection_rate, half_even, number_from_text, per_10k, tested_share
 from ..operators.aggregates import daily_counts, skip_sum, strict_sum, with_national
 from ..operators.joins import fits_broadcast
@@ -128,6 +128,4 @@ def _scaled(rate, scale: Mapping[str, float] | None):
 def facility_positivity(reports: DataFrame, columns: Sequence[str] = ("facility_name", "report_date",
                                                                       "pct_positive_cumulative")) -> DataFrame:
     """Positivity of each facility and day, the date parsed."""
-    from ..functions.dates import parse_iso_date
-
     return reports.select(*columns).withColumn("report_date", parse_iso_date("report_date"))

@@ -15,6 +15,7 @@ from ..operators.aggregates import adjusted_r2
 from ..operators.joins import merge_series
 from ..operators.reshape import type_quantile_wide
 from ..operators.series import last_observed
+from ..session import materialize
 
 # A projection is shown for this many days after its run date.
 HORIZON_DAYS = 49
@@ -58,8 +59,7 @@ def backfill_runs(runs: DataFrame, metrics: Sequence[str] = ("notifications", "i
     by = ["model_run_date", "region"] if per_region else ["model_run_date"]
     order = ["times"] if per_region else ["region", "times"]
 
-    # At most one run a day, so the cut-offs are few.
-    cutoff = F.broadcast(last_observed(runs, by, order, local[0], "date", "_cutoff"))
+    cutoff = materialize(last_observed(runs, by, order, local[0], "date", "_cutoff"), "cutoff")
     stale = runs.join(cutoff, by, "left").withColumn(
         "data_acquired_date",
         F.when((F.col("model_run_date") < latest) & (F.col("date") >= F.col("_cutoff")), latest)

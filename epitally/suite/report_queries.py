@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import AGE_LEVELS, BAND_STARTS
 from ..functions.labels import HOSPITAL_REGIONS, HOSPITAL_REGIONS_SHORT, INDICATOR_LABELS, recode
+from ..operators.aggregates import ordered_text
+from ..operators.filters import in_regions
+from ..operators.joins import merge_series
 from ..plans import ages, calibration, posterior, scenarios, structure, testing, validation
 from ..session import scratch_path
 from ..sources import schemas
@@ -103,7 +106,7 @@ SELECT 'icu' AS series, t AS day, '     ' || lpad(CAST(t AS VARCHAR), CAST(tw AS
   '     [' || lpad(CAST(n AS VARCHAR), CAST(vw AS INTEGER), ' ') || '],' AS values_bracketed, times_wide, values_wide
 FROM d, w""", ["hospital"])
 def icu_national(spark, folder):
-    return calibration.icu_national(views.hospital(spark, folder), EPOCH)
+    return calibration.icu_national(calibration.icu_daily(views.hospital(spark, folder)), EPOCH)
 
 
 ICU_REGIONAL = f"""
@@ -119,13 +122,15 @@ FROM d, w, s WHERE d.region = s.region"""
 
 @query("icu_regional", ICU_REGIONAL.format(indent="    ", more=""), ["hospital"])
 def icu_regional(spark, folder):
-    out = calibration.icu_regional(views.hospital(spark, folder), list(HOSPITAL_REGIONS), EPOCH)
+    daily = calibration.icu_daily(views.hospital(spark, folder), ["region"], list(HOSPITAL_REGIONS))
+    out = calibration.icu_regional(daily, EPOCH)
     return out.withColumn("region", recode("region", HOSPITAL_REGIONS))
 
 
 @query("icu_regional_wide", ICU_REGIONAL.format(indent="     ", more=", times_wide, values_wide"), ["hospital"])
 def icu_regional_wide(spark, folder):
-    out = calibration.icu_regional_wide(views.hospital(spark, folder), list(HOSPITAL_REGIONS), EPOCH)
+    daily = calibration.icu_daily(views.hospital(spark, folder), ["region"], list(HOSPITAL_REGIONS))
+    out = calibration.icu_regional_wide(daily, EPOCH)
     return out.withColumn("region", recode("region", HOSPITAL_REGIONS))
 
 
@@ -143,7 +148,8 @@ SELECT k.series, k.region, t AS day, t || ',' AS times, n || ',' AS values, time
 FROM k JOIN (SELECT series, region, {WIDE_TIMES} AS times_wide, {WIDE_VALUES} AS values_wide FROM k GROUP BY ALL) w
   ON k.series = w.series AND k.region = w.region""", ["line_list"])
 def imputed_regional(spark, folder):
-    return calibration.imputed_regional(views.line_list(spark, folder), CASE_REGIONS, EPOCH)
+    cases = views.line_list(spark, folder).where(in_regions(CASE_REGIONS))
+    return calibration.imputed_regional(calibration.imputed_daily(cases), EPOCH)
 
 
 @query("imputed_national", f"""
@@ -156,7 +162,7 @@ SELECT k.series, t AS day, '     ' || lpad(CAST(t AS VARCHAR), CAST(tw AS INTEGE
   '     [' || lpad(CAST(n AS VARCHAR), CAST(vw AS INTEGER), ' ') || '],' AS values_bracketed, times_wide, values_wide
 FROM k JOIN w USING (series)""", ["line_list"])
 def imputed_national(spark, folder):
-    return calibration.imputed_national(views.line_list(spark, folder), EPOCH)
+    return calibration.imputed_national(calibration.imputed_daily(views.line_list(spark, folder)), EPOCH)
 
 
 WEEKLY = f"""c AS ({CASES_SHORT}),
@@ -184,8 +190,6 @@ def weekly_targets(spark, folder):
 WITH {WEEKLY} SELECT series, region, {WIDE_TIMES} AS times_wide, {WIDE_VALUES} AS values_wide FROM k GROUP BY ALL""",
        ["line_list", "hospital"])
 def weekly_text_wide(spark, folder):
-    from ..operators.aggregates import ordered_text
-
     return ordered_text(weekly_targets(spark, folder), ["series", "region"]).drop("values_plain")
 
 
@@ -212,9 +216,8 @@ r AS (SELECT region, date, CASE WHEN count(*) OVER w = 7 THEN round_even(avg(n)
 WITH {ROLLING} SELECT region, date, times, values FROM r
 WHERE values IS NOT NULL AND times > 60 AND times < last - 9""", ["line_list"])
 def rolling_notifications(spark, folder):
-    return calibration.rolling_notifications(
-        case_names(views.line_list(spark, folder)), SHORT_REGIONS, views.NATIONAL, UNTIL, EPOCH
-    )
+    daily = calibration.case_days(case_names(views.line_list(spark, folder)), UNTIL)
+    return calibration.rolling_notifications(daily, SHORT_REGIONS, views.NATIONAL, EPOCH)
 
 
 @query("cumulative_deaths", f"""
@@ -223,9 +226,8 @@ b AS (SELECT region, died FROM c UNION ALL SELECT 'philippines', died FROM c)
 SELECT region, count(*) AS values, max(died) AS date, {DAY.format("max(died)")} AS times FROM b
 WHERE died <= DATE '{UNTIL}' AND region IN {SHORT_LIST} GROUP BY region""", ["line_list"])
 def cumulative_deaths(spark, folder):
-    return calibration.cumulative_deaths(
-        case_names(views.line_list(spark, folder)), SHORT_REGIONS, views.NATIONAL, UNTIL, EPOCH
-    )
+    daily = calibration.case_days(case_names(views.line_list(spark, folder)), UNTIL)
+    return calibration.cumulative_deaths(daily, SHORT_REGIONS, views.NATIONAL, EPOCH)
 
 
 ICU_BY_DAY = f"""h AS ({HOSPITAL_SHORT}),
@@ -267,8 +269,6 @@ FROM uncertainty u LEFT JOIN reported r ON u.region = r.region AND u.times = r.t
 WHERE u.type IN ('notifications', 'icu_occupancy', 'accum_deaths') AND quantile IN (0.25, 0.5, 0.75)
 GROUP BY u.region, u.scenario, u.times, u.date""", ["uncertainty", "reported"])
 def run_snapshot(spark, folder):
-    from ..operators.joins import merge_series
-
     names = {o: f"local_data_{m}" for m, o in views.OUTPUTS.items()}
     local = merge_series(reported(spark, folder), ["region", "times"], "type", "value", names)
     out = validation.run_snapshot(

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_offset
+from ..functions.dates import day_offset, parse_iso_date
 from ..operators.aggregates import daily_counts, ordered_text, row_count
 from ..plans import calibration, scenarios, validation
 from ..session import scratch_path
@@ -15,6 +15,7 @@ from ..sources import schemas
 from ..sources.readers import (
     file_part,
     newest_files,
+    path_part,
     read_archive,
     read_calibration_files,
     read_drop,
@@ -44,8 +45,6 @@ def raw_cases(spark, folder):
 SELECT region AS "RegionRes", report, onset, died, count(*) AS n FROM line_list GROUP BY ALL""", ["line_list"])
 def csv_round_trip(spark, folder):
     """Dates go out as text with ``NA`` for the missing ones and come back parsed."""
-    from ..functions.dates import parse_iso_date
-
     path = scratch_path(spark, "cases")
     write_table(raw_cases(spark, folder), path)
     rows = read_table(spark, path, schemas.CASES_RESIDENCE)
@@ -86,8 +85,6 @@ SELECT type, CAST(scenario AS VARCHAR) AS run, count(*) AS n, round(sum(value),
 FROM uncertainty GROUP BY ALL""", ["uncertainty"])
 def run_directory(spark, folder):
     """A tree of run files as one table; type and run are taken from the file's path."""
-    from ..sources.readers import path_part
-
     path = scratch_path(spark, "runs")
     rows = uncertainty(spark, folder).select("type", F.col("scenario").alias("run"), "times", "quantile", "value")
     write_by(rows, path, ["run", "type"])

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bands import BAND_STARTS, POPULATION_BANDS
+from ..operators.joins import merge_series
 from ..plans.posterior import PRIORS
+from ..plans.scenarios import model_table, processed_series
+from ..plans.validation import run_snapshot
 
 # Day zero, last day and areas of the two groups of tables.
 ORDERS_EPOCH = dt.date(1994, 12, 31)
@@ -106,14 +109,14 @@ def nations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def facilities(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "supplier").where("s_suppkey % 10 <> 0")
+    rows = table(spark, folder, "supplier").where("s_acctbal >= 500")
     joined = rows.join(nations(spark, folder), F.col("s_nationkey") == F.col("n_nationkey"))
     return joined.selectExpr("s_suppkey AS facility", f"{AREA_NAMES} AS region")
 
 
 FACILITIES = f"""
 SELECT s_suppkey AS facility, {AREA_NAMES} AS region
-FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 10 <> 0"""
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 500"""
 
 
 def test_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,11 +275,11 @@ _REPORTED_KEYS = [
 
 
 def reported_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of every second day, shifted so that the last days have no model value."""
+    """Daily counts, shifted so that the first model days have none and the last ones no model value."""
     return (
         table(spark, folder, "events")
         .selectExpr(*_REPORTED_KEYS, "datediff(CAST(ts AS DATE), DATE'2019-12-31') + 10 AS times")
-        .where("type IS NOT NULL AND times % 2 = 0")
+        .where("type IS NOT NULL")
         .groupBy("region", "type", "times")
         .agg(F.count(F.lit(1)).cast("double").alias("value"))
     )
@@ -286,7 +289,7 @@ REPORTED = f"""
 SELECT {DISPLAY} AS region, type, times, CAST(count(*) AS DOUBLE) AS value
 FROM (SELECT {", ".join(_REPORTED_KEYS)}, CAST(CAST(ts AS DATE) - DATE '2019-12-31' AS INTEGER) + 10 AS times
       FROM events)
-WHERE type IS NOT NULL AND times % 2 = 0 GROUP BY ALL"""
+WHERE type IS NOT NULL GROUP BY ALL"""
 
 
 def behaviour(spark: SparkSession, folder: str) -> DataFrame:
@@ -306,11 +309,7 @@ FROM events GROUP BY ALL"""
 
 def archived_runs(spark: SparkSession, folder: str) -> DataFrame:
     """The snapshots of three run dates; a run holds reported values up to its date."""
-    from ..operators.joins import merge_series
-    from ..plans.scenarios import model_table, processed_series
-    from ..plans.validation import run_snapshot
-
-    model = model_table(uncertainty_raw(spark, folder)).where("scenario < 2")
+    model = model_table(uncertainty_raw(spark, folder))
     names = {output: f"local_data_{metric}" for metric, output in OUTPUTS.items()}
     local = merge_series(processed_series(reported_raw(spark, folder)), ["region", "times"], "type", "value", names)
     # One snapshot stands for the runs of all dates and is stamped again with each of them.
@@ -335,7 +334,7 @@ SELECT u.region, u.times, 'S_' || u.scenario AS scenario, {", ".join(
     for m, t in OUTPUTS.items())},
   'calibration' AS data_type, d.run AS model_run_date, d.run AS data_acquired_date, u.date
 FROM uncertainty u LEFT JOIN reported r ON u.region = r.region AND u.times = r.times, (VALUES {RUN_VALUES}) d(run)
-WHERE u.scenario < 2 AND u.type IN ('notifications', 'icu_occupancy', 'accum_deaths') AND quantile IN (0.25, 0.5, 0.75)
+WHERE u.type IN ('notifications', 'icu_occupancy', 'accum_deaths') AND quantile IN (0.25, 0.5, 0.75)
 GROUP BY u.region, u.times, u.scenario, u.date, d.run"""
 
 # Views in the order in which they build on each other.

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epitally.functions.numbers import half_even
+from epitally.operators.filters import in_regions
 from epitally.plans import ages, calibration, scenarios, testing, validation
 
 D = dt.date
@@ -64,7 +65,8 @@ def test_counts_in_one_scan_equal_counts_of_imputed_cases(spark, folder, rows, p
 def test_region_filter_reaches_the_scan(spark, folder, plan):
     path = f"{folder}/cases"
     spark.createDataFrame([("a", D(2020, 5, 1), D(2020, 5, 3), None)], CASES).write.parquet(path)
-    text = plan(calibration.imputed_regional(spark.read.parquet(path), ["a", "b"]))
+    cases = spark.read.parquet(path).where(in_regions(["a", "b"]))
+    text = plan(calibration.imputed_regional(calibration.imputed_daily(cases)))
     assert "PushedFilters: [In(region, [a,b])]" in text
 
 
