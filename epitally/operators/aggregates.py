@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,20 +41,27 @@ def adjusted_r2(y: Column | str, x: Column | str) -> Column:
     return F.when(n > 2, 1 - (1 - r2) * (n - 1) / (n - 2))
 
 
-def daily_counts(cases: DataFrame, by: Sequence[str], dates: dict[str, str]) -> DataFrame:
+def daily_counts(cases: DataFrame, by: Sequence[str], dates: dict[str, str],
+                 until: dt.date | None = None) -> DataFrame:
     """Rows per group and day for several date columns, in one scan.
 
     ``dates`` maps a series name to the date column it counts by. A case takes part once per
-    date it has. The counts are combined before the shuffle, so a group that holds most cases
-    still sends at most one row per series and day from each task.
+    date it has, up to ``until``. The counts are combined before the shuffle, so a group that
+    holds most cases still sends at most one row per series and day from each task.
     """
     rows = cases.select(*by, *[F.col(c).alias(s) for s, c in dates.items()])
-    return (
-        rows.unpivot(list(by), list(dates), "series", "date")
-        .where(F.col("date").isNotNull())
-        .groupBy("series", *by, "date")
-        .agg(row_count().alias("values"))
-    )
+
+    def counts(c: str) -> Column:
+        return F.col(c).isNotNull() if until is None else F.col(c) <= F.lit(until)
+
+    # Cases without any date to count are left out at the scan.
+    rows = rows.where(reduce(lambda a, b: a | b, [counts(s) for s in dates]))
+    if len(dates) == 1:
+        (series,) = dates
+        days = rows.select(F.lit(series).alias("series"), *by, F.col(series).alias("date"))
+    else:
+        days = rows.unpivot(list(by), list(dates), "series", "date").where(counts("date"))
+    return days.groupBy("series", *by, "date").agg(row_count().alias("values"))
 
 
 def with_national(

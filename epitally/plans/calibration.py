@@ -226,10 +226,13 @@ def long_text(series: DataFrame, keys: Sequence[str]) -> DataFrame:
                          with_comma("values").alias("values"))
 
 
-def case_days(cases: DataFrame, until: dt.date) -> DataFrame:
+# The dates by which cases are counted.
+CASE_DATES = {"notifications": "admitted", "deaths": "died"}
+
+
+def case_days(cases: DataFrame, until: dt.date, dates: dict[str, str] = CASE_DATES) -> DataFrame:
     """Notifications and deaths per region and day up to a date."""
-    counts = daily_counts(cases, ["region"], {"notifications": "admitted", "deaths": "died"})
-    return counts.where(F.col("date") <= F.lit(until))
+    return daily_counts(cases, ["region"], dates, until)
 
 
 def rolling_notifications(daily: DataFrame, regions: Sequence[str], national: str, epoch: dt.date = EPOCH_DEC31,

@@ -216,7 +216,8 @@ r AS (SELECT region, date, CASE WHEN count(*) OVER w = 7 THEN round_even(avg(n)
 WITH {ROLLING} SELECT region, date, times, values FROM r
 WHERE values IS NOT NULL AND times > 60 AND times < last - 9""", ["line_list"])
 def rolling_notifications(spark, folder):
-    daily = calibration.case_days(case_names(views.line_list(spark, folder)), UNTIL)
+    cases = case_names(views.line_list(spark, folder))
+    daily = calibration.case_days(cases, UNTIL, {"notifications": "admitted"})
     return calibration.rolling_notifications(daily, SHORT_REGIONS, views.NATIONAL, EPOCH)
 
 
@@ -226,7 +227,7 @@ b AS (SELECT region, died FROM c UNION ALL SELECT 'philippines', died FROM c)
 SELECT region, count(*) AS values, max(died) AS date, {DAY.format("max(died)")} AS times FROM b
 WHERE died <= DATE '{UNTIL}' AND region IN {SHORT_LIST} GROUP BY region""", ["line_list"])
 def cumulative_deaths(spark, folder):
-    daily = calibration.case_days(case_names(views.line_list(spark, folder)), UNTIL)
+    daily = calibration.case_days(case_names(views.line_list(spark, folder)), UNTIL, {"deaths": "died"})
     return calibration.cumulative_deaths(daily, SHORT_REGIONS, views.NATIONAL, EPOCH)
 
 
