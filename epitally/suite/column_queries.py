@@ -74,7 +74,7 @@ def parse_dates(spark, folder):
 @query("day_offsets", """
 SELECT case_id, CAST(admitted - DATE '1994-12-31' AS INTEGER) AS times, admitted AS again,
   CAST(report - admitted AS INTEGER) AS lag,
-  greatest(round_even(CAST(report - DATE '1998-01-01' AS DOUBLE) / 7.0, 0), 0.0) AS week,
+  greatest(round_even(CAST(report - DATE '1998-01-01' AS DOUBLE) / 7.0, 0) + 0.0, 0.0) AS week,
   CAST(date_trunc('week', report) AS DATE) AS monday
 FROM line_list""", ["line_list"])
 def day_offsets(spark, folder):

@@ -361,7 +361,7 @@ def fit_adjusted_r2(spark, folder):
 
 @query("fit_r2_by_week", f"""
 WITH {SPLIT} SELECT model_run_date, region, metric,
-  greatest(round_even(CAST(date - model_run_date AS DOUBLE) / 7.0, 0), 0.0) AS week,
+  greatest(round_even(CAST(date - model_run_date AS DOUBLE) / 7.0, 0) + 0.0, 0.0) AS week,
   round(regr_r2(reported, q50), 6) AS r2 FROM split GROUP BY ALL""", ["archived_runs"])
 def fit_r2_by_week(spark, folder):
     return rounded(validation.fit_by_week(split(spark, folder)), "r2")
