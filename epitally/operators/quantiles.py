@@ -23,73 +23,148 @@ def bounded_quantiles(value: Column | str, probs: dict[float, str]) -> list[Colu
     return [found[i].alias(name) for i, name in enumerate(probs.values())]
 
 
+# Buckets into which a bracket is counted, values of a group that one task may order, and the
+# number of narrowing rounds after which it orders whatever is left.
+BUCKETS = 4096
+MOST_ORDERED = 2_000_000
+MOST_ROUNDS = 200
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
     value: str,
     probs: dict[float, str],
     extra: Sequence[Column] = (),
-    accuracy: int = 10_000,
+    buckets: int = BUCKETS,
+    most_ordered: int = MOST_ORDERED,
 ) -> DataFrame:
     """Quantiles of groups of any size, exact and without gathering a group.
 
-    The first pass sketches each group and brackets every wanted rank. The second keeps the
-    distinct values inside the brackets and only a count of the values in each gap between
-    them, all combined before the shuffle. What is ordered per group is this short table,
-    about ``4 / accuracy`` of the group for each probability. ``extra`` aggregates ride along
-    in the first pass.
-
-    A rank outside its bracket would break the error bound of the sketch; it stops the job
-    rather than give a wrong value.
+    The first pass finds the size and the ends of each group. While a bracket around a wanted
+    rank holds more values than one task may order, a pass counts its values in equal buckets
+    and narrows it to the bucket of the rank. The last pass keeps the distinct values inside
+    the brackets and only a count of the values in each gap between them. Every pass combines
+    before its shuffle and spreads a group over its buckets. ``extra`` aggregates ride along in
+    the first pass.
     """
     keys = list(by)
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("_v", F.col(value).cast("double"))
     if not keys:
         keys, rows = ["_all"], rows.withColumn("_all", F.lit(1))
 
-    margin = 2.0 / accuracy
+    sizes = materialize(
+        rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.array(F.min("_v")).alias("_lo"), F.array(F.max("_v")).alias("_hi"), *extra
+        ),
+        "sizes",
+    )
+    values = rows.select(*keys, "_v")
     wanted = [float(p) for p in probs]
-    ladder = [max(p - margin, 0.0) for p in wanted] + [min(p + margin, 1.0) for p in wanted]
-    brackets = materialize(
-        rows.groupBy(*keys).agg(F.percentile_approx("_v", ladder, accuracy).alias("_ladder"), *extra), "brackets"
+    count, brackets = 1, sizes.select(*keys, "_n", "_lo", "_hi", F.array(F.lit(0).cast("bigint")).alias("_below"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    for _ in range(MOST_ROUNDS):
+        if most <= most_ordered:
+            break
+        brackets = materialize(_narrowed(values, keys, brackets, count, wanted, buckets), "brackets")
+        count = len(wanted)
+        most = brackets.agg(F.max(F.array_max("_inside"))).first()[0] or 0
+
+    steps = _distribution(values, keys, brackets, count)
+    out = steps.groupBy(*keys).agg(
+        *[_interpolated(p).alias(n) for p, n in zip(wanted, probs.values())]
     )
+    if extra:
+        riders = [c for c in sizes.columns if c not in (*keys, "_n", "_lo", "_hi")]
+        out = join_null_safe(out, sizes.select(*keys, *riders), keys, "inner")
+    return out if list(by) else out.drop("_all")
 
-    v, edges = F.col("_v"), F.col("_ladder")
-    within = [(v >= edges[i]) & (v <= edges[i + len(wanted)]) for i in range(len(wanted))]
-    beyond = [(v > edges[i + len(wanted)]).cast("int") for i in range(len(wanted))]
-    inside = reduce(lambda x, y: x | y, within)
-    # A value in a gap is known by the number of brackets that lie below it.
-    gap = reduce(lambda x, y: x + y, beyond)
-    group = Window.partitionBy(*keys)
-    steps = (
-        join_null_safe(rows.select(*keys, "_v"), brackets.select(*keys, "_ladder"), keys, "inner")
-        .groupBy(*keys, F.when(inside, v).alias("_exact"), F.when(~inside, gap).alias("_gap"))
+
+def _ranks(prob: float) -> tuple[Column, Column]:
+    """The two ranks, from 0, between which a quantile lies."""
+    h = F.lit(prob) * (F.col("_n") - 1)
+    return F.floor(h), F.ceil(h)
+
+
+def _holds(rank: Column) -> Column:
+    return (F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum"))
+
+
+def _narrowed(values: DataFrame, keys: list[str], brackets: DataFrame, count: int, wanted: list[float],
+              buckets: int) -> DataFrame:
+    """One bracket per wanted rank, from the bucket of the one before that holds it.
+
+    The ends of a bracket are values of the group, so that it holds what was counted.
+    """
+    v = F.col("_v")
+    marks = []
+    for j in range(count):
+        lo, hi = F.col("_lo")[j], F.col("_hi")[j]
+        place = F.floor((v - lo) / (hi - lo) * F.lit(float(buckets)))
+        bucket = F.when(hi > lo, F.least(place, F.lit(buckets - 1))).otherwise(F.lit(0))
+        marks.append(F.struct(
+            F.lit(j).alias("j"), F.col("_below")[j].alias("below"), F.when((v >= lo) & (v <= hi), bucket).alias("bucket")
+        ))
+    joined = join_null_safe(values, brackets.select(*keys, "_n", "_lo", "_hi", "_below"), keys, "inner")
+    if count == 1:
+        # The first bracket is the whole group.
+        marked = joined.select(*keys, "_n", "_v", marks[0].alias("m"))
+    else:
+        hit = reduce(lambda x, y: x | y, [m["bucket"].isNotNull() for m in marks])
+        marked = joined.where(hit).select(*keys, "_n", "_v", F.explode(F.array(*marks)).alias("m"))
+        marked = marked.where(F.col("m.bucket").isNotNull())
+    counts = (
+        marked.groupBy(*keys, "_n", F.col("m.j").alias("_j"), F.col("m.below").alias("_start"),
+                 F.col("m.bucket").alias("_bucket"))
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-        .withColumns({
-            "_cum": F.sum("_c").over(group.orderBy("_least").rowsBetween(Window.unboundedPreceding, 0)),
-            "_n": F.sum("_c").over(group),
+    )
+    running = Window.partitionBy(*keys, "_j").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    steps = counts.withColumn("_cum", F.col("_start") + F.sum("_c").over(running))
+
+    def pick(holder: Column, j: int, c: Column) -> Column:
+        return F.max(F.when((F.col("_j") == j) & holder, c))
+
+    found = []
+    for i, p in enumerate(wanted):
+        low, high = _ranks(p)
+        j = i if count > 1 else 0
+        found.append({
+            "_lo": pick(_holds(low), j, F.col("_least")),
+            "_hi": pick(_holds(high), j, F.col("_most")),
+            "_below": pick(_holds(low), j, F.col("_cum") - F.col("_c")),
+            "_end": pick(_holds(high), j, F.col("_cum")),
         })
+    arrays = {c: F.array(*[f[c] for f in found]) for c in ("_lo", "_hi", "_below")}
+    # A bracket of one value is done, however often the value occurs.
+    inside = F.array(*[F.when(f["_hi"] > f["_lo"], f["_end"] - f["_below"]).otherwise(0) for f in found])
+    return steps.groupBy(*keys, "_n").agg(*[a.alias(c) for c, a in arrays.items()], inside.alias("_inside"))
+
+
+def _distribution(values: DataFrame, keys: list[str], brackets: DataFrame, count: int) -> DataFrame:
+    """The values inside the brackets and the gaps between them, in order, with cumulative counts."""
+    v = F.col("_v")
+    inside = reduce(
+        lambda x, y: x | y, [(v >= F.col("_lo")[j]) & (v <= F.col("_hi")[j]) for j in range(count)]
     )
+    # A value in a gap is known by the number of brackets that lie below it.
+    gap = reduce(lambda x, y: x + y, [(v > F.col("_hi")[j]).cast("int") for j in range(count)])
+    group = Window.partitionBy(*keys)
+    return (
+        join_null_safe(values, brackets.select(*keys, "_n", "_lo", "_hi"), keys, "inner")
+        .groupBy(*keys, "_n", F.when(inside, v).alias("_exact"), F.when(~inside, gap).alias("_gap"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"))
+        .withColumn("_cum", F.sum("_c").over(group.orderBy("_least").rowsBetween(Window.unboundedPreceding, 0)))
+    )
+
+
+def _interpolated(prob: float) -> Column:
+    low, high = _ranks(prob)
 
     def at(rank: Column) -> Column:
-        # Of a gap only the two ends are known.
-        start = F.col("_cum") - F.col("_c")
-        found = (
-            F.when(F.col("_gap").isNull() | (rank == start), F.col("_least"))
-            .when(rank == F.col("_cum") - 1, F.col("_most"))
-            .otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("double"))
-        )
-        return F.max(F.when((start <= rank) & (rank < F.col("_cum")), found))
-
-    def interpolate(prob: float) -> Column:
-        h = F.lit(prob) * (F.col("_n") - 1)
-        return at(F.floor(h)) + F.max(h - F.floor(h)) * (at(F.ceil(h)) - at(F.floor(h)))
-
-    out = steps.groupBy(*keys).agg(*[interpolate(p).alias(n) for p, n in zip(wanted, probs.values())])
-    if extra:
-        riders = [c for c in brackets.columns if c not in (*keys, "_ladder")]
-        out = join_null_safe(out, brackets.select(*keys, *riders), keys, "inner")
-    return out if list(by) else out.drop("_all")
+        return F.max(F.when(_holds(rank), F.col("_exact")))
+
+    part = F.max(F.lit(prob) * (F.col("_n") - 1) - low)
+    return at(low) + part * (at(high) - at(low))
 
 
 def ordered_draws(draws: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -159,10 +159,10 @@ def test_last_observed(spark, rows):
 PROBS = {0.0: "q0", 0.025: "q025", 0.25: "q25", 0.5: "q50", 0.975: "q975", 1.0: "q1"}
 
 
-def check_quantiles(spark, groups, accuracy=10_000):
+def check_quantiles(spark, groups, **sizes):
     data = [(g, float(v)) for g, vs in groups.items() for v in vs]
     df = spark.createDataFrame(data + [("x", None)], "g string, v double").repartition(5)
-    out = {r.g: r for r in exact_quantiles(df, ["g"], "v", PROBS, accuracy=accuracy).collect()}
+    out = {r.g: r for r in exact_quantiles(df, ["g"], "v", PROBS, **sizes).collect()}
     assert set(out) == set(groups)
     for g, vs in groups.items():
         for p, n in PROBS.items():
@@ -173,7 +173,7 @@ def test_exact_quantiles_of_small_groups(spark):
     check_quantiles(spark, {"a": [1, 2, 4], "b": [5], "c": [1, 1, 1, 2], "d": range(10), "e": [3, 1]})
 
 
-def test_exact_quantiles_of_groups_beyond_the_sketch(spark):
+def test_exact_quantiles_of_groups_that_are_narrowed(spark):
     rng = np.random.default_rng(3)
     check_quantiles(
         spark,
@@ -182,8 +182,11 @@ def test_exact_quantiles_of_groups_beyond_the_sketch(spark):
             "skewed": np.exp(rng.normal(size=9_001) * 3),
             "tied": rng.integers(0, 4, size=15_000),
             "hot": np.concatenate([np.full(20_000, 7.0), rng.normal(size=999)]),
+            "one": np.full(5_000, 1.5),
+            "far": np.concatenate([rng.normal(size=5_000), [1e12, -1e12]]),
         },
-        accuracy=100,
+        buckets=16,
+        most_ordered=200,
     )
 
 
