@@ -217,3 +217,24 @@ def test_tied_peak_days_are_pooled(spark, rows):
 
 def test_half_even_lag_of_two_and_three(spark):
     assert spark.createDataFrame([(2,), (3,)], "v int").agg(half_even(F.avg("v"))).first()[0] == 2
+
+
+def test_national_beds_from_regional_days(spark, rows):
+    day = D(2020, 5, 1)
+    data = [("a", day, 3), ("a", day, 4), (None, day, 5), ("a", D(2020, 5, 2), 1), ("b", D(2020, 5, 2), None),
+            ("a", None, 9)]
+    hospital = spark.createDataFrame(data, "region string, reportdate date, icu_o int")
+    want = [(day, 12), (D(2020, 5, 2), None)]
+    assert rows(calibration.icu_daily(hospital).select("date", "values"), "date") == want
+    daily = calibration.icu_daily(hospital, ["region"])
+    assert rows(calibration.national_beds(daily).select("date", "values"), "date") == want
+
+
+def test_counts_stop_at_the_bound_of_each_date(spark, folder, rows, plan):
+    path = f"{folder}/cases"
+    spark.createDataFrame([("a", D(2020, 5, 1), None, D(2020, 6, 1)), ("a", D(2020, 6, 2), None, None)], CASES) \
+        .write.parquet(path)
+    cases = spark.read.parquet(path)
+    out = calibration.case_days(cases, D(2020, 5, 31))
+    assert rows(out.select("series", "date", "values")) == [("notifications", D(2020, 5, 1), 1)]
+    assert "PushedFilters: [Or(LessThanOrEqual(admitted,2020-05-31),LessThanOrEqual(died,2020-05-31))]" in plan(out)
