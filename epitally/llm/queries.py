@@ -10,7 +10,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, context_tree, line_dedup, simhash_dedup
+from . import (
+    byte_bpe,
+    context_tree,
+    decontamination,
+    kneser_ney,
+    line_dedup,
+    multiprobe_lsh,
+    simhash_dedup,
+    warc,
+)
+from .common import doc_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +44,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_multiprobe_lsh")
+def op2_multiprobe_lsh(spark: SparkSession, folder: str) -> DataFrame:
+    return multiprobe_lsh.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op3_kneser_ney")
+def op3_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = table(spark, folder, "labels").where("quality = 1 AND toxic = 0")
+    return kneser_ney.classified(table(spark, folder, "documents"), trusted).drop("version")
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -66,6 +87,12 @@ def op6_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(doc_id(), "item_id", "n_items", "n_shared", "n_shingles", "containment")
+
+
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     pairs = byte_bpe.byte_pairs(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -82,6 +109,14 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_warc")
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, folder, "pages"))
+    return warc.read_archives(archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query("op10_context_tree")
 def op10_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
