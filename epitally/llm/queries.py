@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+import corpus_pipeline
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -121,3 +122,8 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op10_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     return context_tree.scored(table(spark, folder, "documents"), held_out=held_out)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

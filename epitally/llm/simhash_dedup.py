@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shared_table
+from .common import doc_id, key_columns, keyed, shared_table
 from .components import components
 
 WORDS = 3
@@ -65,16 +66,13 @@ def simhash(text: str, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, one row per document."""
+    """The key columns of each document and ``fp``, its fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash(t, words) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        fingerprint(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("fp"),
-    )
+    rows = keyed(docs, id_col, text_col)
+    return rows.select("doc", "no_id", "version", F.pandas_udf(fingerprint, T.LongType())("text").alias("fp"))
 
 
 def _positional(fp, positions):
@@ -163,20 +161,43 @@ def ball_edges(listed: DataFrame, most_bits: int) -> DataFrame:
     return met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b")
 
 
+def _rooted(prints: DataFrame, most_bits: int) -> DataFrame:
+    """A row per distinct fingerprint: ``fp``, its component's ``root``, its ``least`` id and ``first`` row.
+
+    Documents with equal fingerprints are one node, so copies cost nothing.
+    """
+    nodes = shared_table(prints.groupBy("fp").agg(
+        F.min(F.when(~F.col("no_id"), F.col("doc"))).alias("least"),
+        F.min(F.struct("no_id", "doc", "version")).alias("first"),
+    ), "nodes")
+    linked = components(index_edges(nodes.select("fp"), most_bits))
+    return nodes.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp")
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     most_bits: int = MOST_BITS) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` (the smallest id reachable over links), a row per document.
 
-    Documents with equal fingerprints are one node, so copies cost nothing. A null text is empty. Rows
-    with the same id each keep their fingerprint; a missing id stays missing and names no component
-    unless all ids of the component are missing.
+    A null text is empty. Rows with the same id each keep their fingerprint; a missing id stays missing
+    and names no component unless all ids of the component are missing.
     """
     prints = shared_table(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = shared_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = components(index_edges(nodes.select("fp"), most_bits))
-    rooted = nodes.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(prints, most_bits)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select(doc_id(), "fp", "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                  most_bits: int = MOST_BITS) -> DataFrame:
+    """One row of each component, as it is: the one with the smallest id, missing ids last.
+
+    Of other texts under this id the one with the smallest hash stays, of equal rows any one.
+    """
+    prints = shared_table(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    chosen = _rooted(prints, most_bits).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key_columns(id_col, text_col))
+    keys = ["doc", "no_id", "version"]
+    return rows.join(chosen, keys, "left_semi").dropDuplicates(keys).select("row.*")
