@@ -18,6 +18,7 @@ from . import (
     kneser_ney,
     line_dedup,
     multiprobe_lsh,
+    pii_spans,
     simhash_dedup,
     warc,
 )
@@ -45,6 +46,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_pii_spans")
+def op1_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii_spans.personal_spans(table(spark, folder, "documents"))
+    fixed = F.filter("spans", lambda s: s["base"])
+
+    def number(kind: str):
+        return F.size(F.filter(fixed, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[number(kind) for kind in pii_spans.BASE],
+        F.sha2(pii_spans.span_text(fixed), 256).alias("base_sha256"), pii_spans.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op2_multiprobe_lsh")
 def op2_multiprobe_lsh(spark: SparkSession, folder: str) -> DataFrame:
     return multiprobe_lsh.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
