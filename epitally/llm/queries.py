@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import (
     byte_bpe,
+    compact_windows,
     context_tree,
     decontamination,
     kneser_ney,
@@ -71,6 +72,11 @@ def op3_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.classified(table(spark, folder, "documents"), trusted).drop("version")
 
 
+@query("op4_compact_windows")
+def op4_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return compact_windows.shared_passages(table(spark, folder, "documents"))
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
