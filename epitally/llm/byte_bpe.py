@@ -19,9 +19,9 @@ from .common import text_groups
 NO_PAIR = np.iinfo(np.int32).max
 # Pieces of more bytes than this are merged through a heap: a matrix would take a round per merge.
 LONGEST_ROW = 512
-CELLS = 1 << 20
-CHARS_AT_ONCE = 2_000_000
-MOST_CACHED = 400_000
+CELLS = 1 << 18
+CHARS_AT_ONCE = 500_000
+MOST_CACHED = 250_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
