@@ -69,9 +69,9 @@ def impute_date(observed: Column | str, fallback: Column | str, lag: Column | st
 
 
 def weeks_after(c: Column | str, origin: Column | str) -> Column:
-    """Whole weeks from origin, rounded half to even, never below zero."""
+    """Whole weeks from origin, rounded half to even, never below zero; missing where a date is."""
     weeks = F.bround(F.datediff(_col(c), _col(origin)) / F.lit(7.0), 0)
-    return F.greatest(weeks, F.lit(0.0))
+    return F.when(weeks < 0, 0.0).otherwise(weeks)
 
 
 def week_start(c: Column | str) -> Column:

@@ -18,9 +18,14 @@ def half_even(c: Column | str, digits: int = 0) -> Column:
     return F.bround(_col(c), digits)
 
 
+# What counts as a number; Java's own reading would also take 1d and 2f.
+NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+
+
 def to_number(c: Column | str) -> Column:
     """Text to double; anything that is no number becomes null."""
-    return _col(c).try_cast("double")
+    value = _col(c)
+    return F.when(value.rlike(NUMBER), value.try_cast("double"))
 
 
 def strip_text(c: Column | str, pattern: str = ",") -> Column:

@@ -14,8 +14,9 @@ def number_text(c: Column | str) -> Column:
     """A number as text; whole doubles are written without a decimal point."""
     value = _col(c)
     plain = value.cast("string")
-    whole = (value == F.floor(value)) & (F.abs(value) < F.lit(1e15))
-    return F.when(whole, value.cast("bigint").cast("string")).otherwise(plain)
+    # A whole double has at most 309 digits; 38 are the most that can be written out.
+    exact = value.cast("double").try_cast("decimal(38,0)")
+    return F.when(exact == value, exact.cast("string")).otherwise(plain)
 
 
 def with_comma(c: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Joins that keep the rules for missing keys and broadcast by measured size only."""
+"""Joins that keep the rules for missing keys and broadcast where Spark finds them small."""
 
 from __future__ import annotations
 
@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own estimate of the table lies below its broadcast threshold."""
-    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= threshold
-
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join in which a missing key matches a missing key; the left keys are kept."""

@@ -23,11 +23,8 @@ def bounded_quantiles(value: Column | str, probs: dict[float, str]) -> list[Colu
     return [found[i].alias(name) for i, name in enumerate(probs.values())]
 
 
-# Buckets into which a bracket is counted, values of a group that one task may order, and the
-# number of narrowing rounds after which it orders whatever is left.
-BUCKETS = 4096
-MOST_ORDERED = 2_000_000
-MOST_ROUNDS = 200
+# One over the share of a group's ranks by which an approximate quantile may be off.
+ACCURACY = 10_000
 
 
 def exact_quantiles(
@@ -36,47 +33,40 @@ def exact_quantiles(
     value: str,
     probs: dict[float, str],
     extra: Sequence[Column] = (),
-    buckets: int = BUCKETS,
-    most_ordered: int = MOST_ORDERED,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Quantiles of groups of any size, exact and without gathering a group.
-
-    The first pass finds the size and the ends of each group. While a bracket around a wanted
-    rank holds more values than one task may order, a pass counts its values in equal buckets
-    and narrows it to the bucket of the rank. The last pass keeps the distinct values inside
-    the brackets and only a count of the values in each gap between them. Every pass combines
-    before its shuffle and spreads a group over its buckets. ``extra`` aggregates ride along in
-    the first pass.
+    """Quantiles of groups of any size, exact and without gathering a group, in two passes.
+
+    The first pass finds the size of each group and, from a mergeable sketch with a stated error, values
+    on both sides of each wanted rank; a group of no more values than the sketch keeps is bracketed by its ends.
+    The second keeps the distinct values inside the brackets and only a count of the values in each gap between
+    them. Both combine before their shuffle. A group without values gets missing quantiles. ``extra``
+    aggregates ride along in the first pass.
     """
     keys = list(by)
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("_v", F.col(value).cast("double"))
+    number = F.col(value).cast("double")
+    rows = df.withColumn("_v", F.when(~F.isnan(number), number))
     if not keys:
         keys, rows = ["_all"], rows.withColumn("_all", F.lit(1))
-
-    sizes = materialize(
-        rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.array(F.min("_v")).alias("_lo"), F.array(F.max("_v")).alias("_hi"), *extra
-        ),
-        "sizes",
-    )
-    values = rows.select(*keys, "_v")
     wanted = [float(p) for p in probs]
-    count, brackets = 1, sizes.select(*keys, "_n", "_lo", "_hi", F.array(F.lit(0).cast("bigint")).alias("_below"))
-    most = sizes.agg(F.max("_n")).first()[0] or 0
-    for _ in range(MOST_ROUNDS):
-        if most <= most_ordered:
-            break
-        brackets = materialize(_narrowed(values, keys, brackets, count, wanted, buckets), "brackets")
-        count = len(wanted)
-        most = brackets.agg(F.max(F.array_max("_inside"))).first()[0] or 0
-
-    steps = _distribution(values, keys, brackets, count)
-    out = steps.groupBy(*keys).agg(
-        *[_interpolated(p).alias(n) for p, n in zip(wanted, probs.values())]
+    # The sketch is off by one part in ``accuracy``, and a rank by two at most, which is less than two parts.
+    margin = 4 / accuracy
+    around = [min(1.0, max(0.0, p + side * margin)) for p in wanted for side in (-1, 1)]
+    found = rows.groupBy(*keys).agg(
+        F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", around, accuracy).alias("_near"), *extra,
     )
-    if extra:
-        riders = [c for c in sizes.columns if c not in (*keys, "_n", "_lo", "_hi")]
-        out = join_null_safe(out, sizes.select(*keys, *riders), keys, "inner")
+    few = F.col("_n") <= accuracy
+    ends = {
+        name: F.array(*[F.when(few, end).otherwise(F.col("_near")[2 * i + side]) for i in range(len(wanted))])
+        for name, end, side in (("_lo", F.col("_min"), 0), ("_hi", F.col("_max"), 1))
+    }
+    sizes = materialize(found.withColumns(ends).drop("_min", "_max", "_near"), "sizes")
+    values = rows.where(F.col("_v").isNotNull()).select(*keys, "_v")
+    steps = _distribution(values, keys, sizes, len(wanted))
+    out = steps.groupBy(*keys).agg(*[_interpolated(p).alias(n) for p, n in zip(wanted, probs.values())])
+    riders = [c for c in sizes.columns if c not in (*keys, "_n", "_lo", "_hi")]
+    out = join_null_safe(sizes.select(*keys, *riders), out, keys, "left").select(*keys, *probs.values(), *riders)
     return out if list(by) else out.drop("_all")
 
 
@@ -90,56 +80,6 @@ def _holds(rank: Column) -> Column:
     return (F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum"))
 
 
-def _narrowed(values: DataFrame, keys: list[str], brackets: DataFrame, count: int, wanted: list[float],
-              buckets: int) -> DataFrame:
-    """One bracket per wanted rank, from the bucket of the one before that holds it.
-
-    The ends of a bracket are values of the group, so that it holds what was counted.
-    """
-    v = F.col("_v")
-    marks = []
-    for j in range(count):
-        lo, hi = F.col("_lo")[j], F.col("_hi")[j]
-        place = F.floor((v - lo) / (hi - lo) * F.lit(float(buckets)))
-        bucket = F.when(hi > lo, F.least(place, F.lit(buckets - 1))).otherwise(F.lit(0))
-        marks.append(F.struct(
-            F.lit(j).alias("j"), F.col("_below")[j].alias("below"), F.when((v >= lo) & (v <= hi), bucket).alias("bucket")
-        ))
-    joined = join_null_safe(values, brackets.select(*keys, "_n", "_lo", "_hi", "_below"), keys, "inner")
-    if count == 1:
-        # The first bracket is the whole group.
-        marked = joined.select(*keys, "_n", "_v", marks[0].alias("m"))
-    else:
-        hit = reduce(lambda x, y: x | y, [m["bucket"].isNotNull() for m in marks])
-        marked = joined.where(hit).select(*keys, "_n", "_v", F.explode(F.array(*marks)).alias("m"))
-        marked = marked.where(F.col("m.bucket").isNotNull())
-    counts = (
-        marked.groupBy(*keys, "_n", F.col("m.j").alias("_j"), F.col("m.below").alias("_start"),
-                 F.col("m.bucket").alias("_bucket"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-    )
-    running = Window.partitionBy(*keys, "_j").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.withColumn("_cum", F.col("_start") + F.sum("_c").over(running))
-
-    def pick(holder: Column, j: int, c: Column) -> Column:
-        return F.max(F.when((F.col("_j") == j) & holder, c))
-
-    found = []
-    for i, p in enumerate(wanted):
-        low, high = _ranks(p)
-        j = i if count > 1 else 0
-        found.append({
-            "_lo": pick(_holds(low), j, F.col("_least")),
-            "_hi": pick(_holds(high), j, F.col("_most")),
-            "_below": pick(_holds(low), j, F.col("_cum") - F.col("_c")),
-            "_end": pick(_holds(high), j, F.col("_cum")),
-        })
-    arrays = {c: F.array(*[f[c] for f in found]) for c in ("_lo", "_hi", "_below")}
-    # A bracket of one value is done, however often the value occurs.
-    inside = F.array(*[F.when(f["_hi"] > f["_lo"], f["_end"] - f["_below"]).otherwise(0) for f in found])
-    return steps.groupBy(*keys, "_n").agg(*[a.alias(c) for c, a in arrays.items()], inside.alias("_inside"))
-
-
 def _distribution(values: DataFrame, keys: list[str], brackets: DataFrame, count: int) -> DataFrame:
     """The values inside the brackets and the gaps between them, in order, with cumulative counts."""
     v = F.col("_v")
@@ -164,7 +104,8 @@ def _interpolated(prob: float) -> Column:
         return F.max(F.when(_holds(rank), F.col("_exact")))
 
     part = F.max(F.lit(prob) * (F.col("_n") - 1) - low)
-    return at(low) + part * (at(high) - at(low))
+    # Equal ends, infinite ones too, need no interpolation.
+    return F.when(at(low) == at(high), at(low)).otherwise(at(low) + part * (at(high) - at(low)))
 
 
 def ordered_draws(draws: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -19,8 +19,8 @@ from .joins import join_null_safe
 LEAD_DIGITS = 3
 # Parts into which the candidates of one group are split before the last choice.
 SALTS = 1024
-# Candidates, in pairs, for a normal cut off below.
-MORE_CANDIDATES = 1000
+# Further pairs of candidates for a normal cut off below; each pair fails less than half the time.
+MORE_PAIRS = 64
 
 
 def draw_hash(key: Column | str, seed: int, *parts: Column | str) -> Column:
@@ -58,7 +58,8 @@ def sample_rows(df: DataFrame, by: Sequence[str], n: int, key: str, seed: int, r
     )
     kept = join_null_safe(hashed, materialize(last, "sample"), by, "inner").where(lead <= F.col("_last"))
 
-    order = [F.col("_h"), F.col(key)]
+    # Equal keys are told apart by the other columns, so that the choice never depends on where rows lie.
+    order = [F.col("_h"), F.col(key), *[F.col(c) for c in df.columns if c != key and c not in by]]
     marked = kept.drop("_last").withColumn("_salt", F.spark_partition_id() % F.lit(SALTS))
     first = (
         marked.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order)))
@@ -105,18 +106,21 @@ def prior_draws(anchors: DataFrame, key: str, priors: Sequence[dict], seed: int,
           for i in range(4) for part, start in (("a", 1), ("b", 14))],
     )
     candidates = [c for i in range(4) for c in _normals(F.col(f"_u{i}a"), F.col(f"_u{i}b"))]
-    # Rows whose eight candidates all fail, a few in a million for the usual priors, try many more.
+    # Rows whose eight candidates all fail, a few in a million for the usual priors, draw the part that is
+    # left directly: above the mean by a proposal that lies beyond the bound and is taken with the chance of its
+    # excess, else by more normals.
+    cut = (F.col("lower") - F.col("a")) / F.col("b")
+
     def again(i: Column) -> Column:
         digest = draw_hash(key, seed, F.col("name"), i.cast("string"))
-        return F.array(*_normals(hash_uniform(digest), hash_uniform(digest, 14)))
-
-    more = F.filter(
-        F.flatten(F.transform(F.sequence(F.lit(4), F.lit(MORE_CANDIDATES)), again)), lambda c: c >= F.col("lower")
-    )
-    normal = F.coalesce(
-        *[F.when(c >= F.col("lower"), c) for c in candidates],
-        F.get(more, 0),
-        F.raise_error(F.lit("the bound cuts off nearly all of the prior")).cast("double"),
-    )
+        u, v = hash_uniform(digest), hash_uniform(digest, 14)
+        beyond = F.sqrt(cut * cut - 2 * F.log(u))
+        tail = F.when(v * beyond <= cut, F.col("a") + F.col("b") * beyond)
+        plain = _normals(u, v)[0]
+        return F.when(cut > 0, tail).otherwise(F.when(plain >= F.col("lower"), plain))
+
+    more = F.filter(F.transform(F.sequence(F.lit(4), F.lit(4 + MORE_PAIRS)), again), lambda c: c.isNotNull())
+    last = F.col("a") + F.col("b") * F.sqrt(F.greatest(cut, F.lit(0.0)) ** 2 - 2 * F.log(F.col("_u0a")))
+    normal = F.coalesce(*[F.when(c >= F.col("lower"), c) for c in candidates], F.get(more, 0), last)
     drawn = F.when(F.col("uniform"), F.col("a") + F.col("b") * F.col("_u0a")).otherwise(normal)
     return uniforms.select(key, F.col("name").alias(name), drawn.alias(value))

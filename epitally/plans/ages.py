@@ -49,7 +49,8 @@ def modelled_age_share(derived: DataFrame, scenario: int | None = 0) -> DataFram
     columns = matching_columns(derived, PREFIX)
     kept = derived if scenario is None else derived.where(F.col("scenario") == scenario)
     sums = kept.groupBy("region").agg(*[strict_sum(c).alias(c) for c in columns])
-    long = to_long(sums, ["region"], columns, "age_group", "cases")
+    cells = F.array(*[F.struct(F.lit(c).alias("age_group"), F.col(f"`{c}`").alias("cases")) for c in columns])
+    long = sums.select("region", F.inline(cells))
     named = long.withColumn("age_group", band_of_start(strip_text("age_group", PREFIX)))
     shared = share_of_total(named, "region", "cases", "total_cases", "share")
     return shared.select("region", "age_group", "cases", "total_cases", "share", F.lit("Modeled").alias("type"))

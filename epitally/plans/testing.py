@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_iso_date, parse_long_date
 from ..functions.numbers import NATIONAL_POPULATION, detection_rate, half_even, number_from_text, per_10k, tested_share
 from ..operators.aggregates import daily_counts, skip_sum, strict_sum, with_national
-from ..operators.joins import fits_broadcast
 from ..operators.quantiles import bounded_quantiles, interpolated, ordered_draws
 from ..operators.reshape import QUANTILES
 from ..operators.sampling import sample_rows
@@ -53,12 +52,10 @@ def cases_times_tests(cases: DataFrame, report: str, totals: DataFrame,
 def tests_by_region(tests: DataFrame, facilities: DataFrame, national: str) -> DataFrame:
     """Tests per region and day with the nation; facilities missing from the list count nowhere.
 
-    A facility list below the broadcast threshold goes to the tests. A longer one is shuffled,
-    after the tests are summed per facility and day, so that a busy facility stays small.
+    The tests are summed per facility and day first, so that a busy facility stays small however the
+    list is joined.
     """
-    rows = tests.select("facility", "report_date", "n_tests")
-    if not fits_broadcast(facilities):
-        rows = rows.groupBy("facility", "report_date").agg(skip_sum("n_tests").alias("n_tests"))
+    rows = tests.groupBy("facility", "report_date").agg(skip_sum("n_tests").alias("n_tests"))
     regional = (
         rows.join(facilities, "facility")
         .groupBy("region", "report_date")
@@ -101,10 +98,14 @@ def detection_band(sampled: DataFrame, per_capita: DataFrame, scale: Mapping[str
     """The same band without a row per draw.
 
     The rate never falls as the draw grows, so each quantile over the draws is found from the
-    two draws around its rank. The sampled draws of a region travel as one ordered array.
+    two draws around its rank. Below zero smoothed tests, or a negative scale, it never rises; then
+    the ranks are counted from the other end. The sampled draws of a region travel as one ordered array.
     """
     arrays = ordered_draws(sampled, ["region"], "value")
-    joined = per_capita.join(arrays, "region")
+    falls = _scaled(F.col("smoothed"), scale) < 0
+    joined = per_capita.join(arrays, "region").withColumn(
+        "draws", F.when(falls, F.reverse("draws")).otherwise(F.col("draws"))
+    )
     return joined.select(
         "region", "report_date",
         *[

@@ -27,13 +27,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    A folder of our own is used only when the session names none, as in tests.
+    A folder of our own is used only on a local master, as in tests: executors on other machines would each
+    write to their own and readers would miss rows, so elsewhere a missing name is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        master = context.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="epitally-"))
     return context.getCheckpointDir()
 

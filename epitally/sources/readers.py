@@ -33,7 +33,15 @@ def read_columns(spark: SparkSession, path: str | list[str], schema: str, missin
         spark.read.option("header", True).option("nullValue", missing).option("enforceSchema", False).csv(path)
     )
     wanted = T.StructType.fromDDL(schema)
-    return whole.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
+    return whole.select(*[_fitted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in wanted])
+
+
+def _fitted(cell: Column, kind: T.DataType) -> Column:
+    """The cell in its type; a count written as ``3.0`` is the integer 3."""
+    if not isinstance(kind, T.IntegralType):
+        return cell.try_cast(kind)
+    number = cell.try_cast("double")
+    return F.coalesce(cell.try_cast(kind), F.when(number == F.floor(number), number.try_cast(kind)))
 
 
 def literal_table(spark: SparkSession, rows: Mapping | Sequence[tuple], schema: str) -> DataFrame:

@@ -74,7 +74,8 @@ def parse_dates(spark, folder):
 @query("day_offsets", """
 SELECT case_id, CAST(admitted - DATE '1994-12-31' AS INTEGER) AS times, admitted AS again,
   CAST(report - admitted AS INTEGER) AS lag,
-  greatest(round_even(CAST(report - DATE '1998-01-01' AS DOUBLE) / 7.0, 0) + 0.0, 0.0) AS week,
+  CASE WHEN admitted IS NOT NULL THEN
+    greatest(round_even(CAST(admitted - DATE '1998-01-01' AS DOUBLE) / 7.0, 0) + 0.0, 0.0) END AS week,
   CAST(date_trunc('week', report) AS DATE) AS monday
 FROM line_list""", ["line_list"])
 def day_offsets(spark, folder):
@@ -82,7 +83,7 @@ def day_offsets(spark, folder):
     return cases.select(
         "case_id", "times", offset_date("times", views.ORDERS_EPOCH).alias("again"),
         lag_days("report", "admitted").alias("lag"),
-        weeks_after("report", F.lit("1998-01-01").cast("date")).alias("week"),
+        weeks_after("admitted", F.lit("1998-01-01").cast("date")).alias("week"),
         week_start("report").alias("monday"),
     )
 

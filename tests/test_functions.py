@@ -94,3 +94,20 @@ def test_number_text(spark):
     assert values(spark, "double", [41.0, 2.5, None], text.with_comma("v")) == ["41,", "2.5,", None]
     cell = text.padded_cell("v", F.lit(3), "  [", "],")
     assert values(spark, "int", [7, 123], cell) == ["  [  7],", "  [123],"]
+
+
+def test_numbers_with_a_letter_behind_are_none(spark):
+    df = spark.createDataFrame([(v,) for v in ("1d", "2f", "3", " -4.5e2 ", ".5", "6.", "NaN", "")], "v string")
+    assert [r[0] for r in df.select(numbers.to_number("v")).collect()] == [None, None, 3, -450, 0.5, 6, None, None]
+
+
+def test_weeks_of_a_missing_date_are_missing(spark):
+    df = spark.sql("SELECT * FROM VALUES (DATE '2020-01-01'), (NULL), (DATE '2020-01-19') AS t(d)")
+    weeks = dates.weeks_after("d", F.lit("2020-01-05").cast("date"))
+    assert sorted((r[0] for r in df.select(weeks).collect()), key=str) == [0.0, 2.0, None]
+
+
+def test_large_whole_numbers_are_written_out(spark):
+    df = spark.createDataFrame([(1e15,), (-3e20,), (2.5,), (4.0,)], "v double")
+    assert [r[0] for r in df.select(text.number_text("v")).collect()] == [
+        "1000000000000000", "-300000000000000000000", "2.5", "4"]

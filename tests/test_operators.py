@@ -163,7 +163,8 @@ def check_quantiles(spark, groups, **sizes):
     data = [(g, float(v)) for g, vs in groups.items() for v in vs]
     df = spark.createDataFrame(data + [("x", None)], "g string, v double").repartition(5)
     out = {r.g: r for r in exact_quantiles(df, ["g"], "v", PROBS, **sizes).collect()}
-    assert set(out) == set(groups)
+    assert set(out) == {*groups, "x"}
+    assert all(out["x"][n] is None for n in PROBS.values())
     for g, vs in groups.items():
         for p, n in PROBS.items():
             assert out[g][n] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-12), (g, p)
@@ -185,11 +186,34 @@ def test_exact_quantiles_of_groups_that_are_narrowed(spark):
             "one": np.full(5_000, 1.5),
             "far": np.concatenate([rng.normal(size=5_000), [1e12, -1e12]]),
         },
-        buckets=16,
-        most_ordered=200,
+        accuracy=400,
     )
 
 
+def test_exact_quantiles_with_infinite_values(spark):
+    inf = float("inf")
+    groups = {"up": [*range(3_000), inf], "both": [-inf, *range(2_000), inf], "all": [inf] * 2_000}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    for accuracy in (100, 10_000):
+        out = {r.g: r.m for r in exact_quantiles(df, ["g"], "v", {0.5: "m"}, accuracy=accuracy).collect()}
+        assert out == {"up": 1500.0, "both": 999.5, "all": inf}
+
+
+def test_samples_with_equal_keys_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([("a", i % 3, float(i)) for i in range(60)], "g string, k int, v double")
+    first, second = (
+        {(r.id, r.v) for r in sample_rows(df.repartition(n, "v"), ["g"], 7, "k", 1).collect()} for n in (2, 9)
+    )
+    assert first == second and len(first) == 7
+
+
+def test_prior_cut_far_out(spark):
+    prior = [{"name": "p", "kind": "normal", "mean": 0.0, "sd": 1.0, "lower": 6.0}]
+    drawn = [r.value for r in prior_draws(spark.range(400), "id", prior, 1).collect()]
+    # The mean of a normal beyond six deviations is 6.158.
+    assert min(drawn) >= 6.0 and np.mean(drawn) == pytest.approx(6.158, abs=0.03)
+
+
 def test_exact_quantiles_of_a_missing_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
     out = {r.g: r.m for r in exact_quantiles(df, ["g"], "v", {0.5: "m"}).collect()}

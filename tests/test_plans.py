@@ -174,6 +174,21 @@ def test_long_facility_lists_are_not_broadcast(spark, rows):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_band_of_negative_tests_or_scale_is_that_of_the_rates(spark):
+    sampled = spark.createDataFrame([("a", i, 0.1 * i) for i in range(1, 8)], "region string, id int, value double")
+    tests = spark.createDataFrame(
+        [("a", D(2020, 1, d), v) for d, v in ((1, 2.0), (2, -1.5), (3, 0.0), (4, None))],
+        "region string, report_date date, smoothed double",
+    )
+    for scale in (None, {"a": -0.5}, {"a": 2.0}):
+        fast = testing.detection_band(sampled, tests, scale).orderBy("report_date").collect()
+        slow = testing.detection_band_of_rates(testing.detection_rates(sampled, tests, scale))
+        for f, s in zip(fast, slow.orderBy("report_date").collect()):
+            for q in ("q025", "q25", "q50", "q75", "q975"):
+                assert (f[q] is None) == (s[q] is None)
+                assert f[q] is None or f[q] == pytest.approx(s[q], abs=1e-12)
+
+
 def test_positivity_of_a_day_with_a_bad_text(spark, rows):
     df = spark.createDataFrame(
         [("June 5, 2020", "1,000", "250", "750"), ("JUNE 5, 2020", "200", "50", "150"), ("June 6, 2020", "n/a", "1", "2")],

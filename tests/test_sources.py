@@ -82,6 +82,27 @@ def test_a_run_written_twice_is_kept_once(spark, folder, rows):
     assert rows(df, "v") == [(dt.date(2020, 8, 1), 1), (dt.date(2020, 8, 2), 3)]
 
 
+def test_a_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
+
+
+def test_counts_written_with_a_point_are_read(spark, folder, rows):
+    with open(f"{folder}/x.csv", "w") as file:
+        file.write("a,b\n3.0,1\n2.5,2\nx,3\n7,4\n")
+    assert rows(readers.read_columns(spark, folder, "a int, b int"), "b") == [(3, 1), (None, 2), (None, 3), (7, 4)]
+
+
 def test_written_tables_lie_in_the_shared_folder(spark, plan):
     assert scratch_path(spark, "x").startswith(shared_folder(spark))
     df = materialize(spark.range(10).selectExpr("id", "CASE WHEN id > 3 THEN id END AS v"), "x")

@@ -6,13 +6,14 @@ import pytest
 
 import __spark_entry__ as suite
 import verify
+from epitally.suite.registry import QUERIES, TWINS
 
 FOLDER = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the supplied tables are not here")
 
 
-@pytest.mark.parametrize("name", list(suite.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, name):
     ok, note = verify.compare(spark, FOLDER, name)
     assert ok, note
@@ -26,4 +27,4 @@ def test_entry(spark):
 
 def test_twins_belong_to_queries():
     assert set(suite.oracle_sql()) <= set(suite.queries())
-    assert set(suite.queries()) - set(suite.oracle_sql()) == {"newest_files"}
+    assert set(QUERIES) - set(TWINS) == {"newest_files"}
