@@ -1,0 +1,520 @@
+"""The training-data operators against plain re-computation, on hand-made documents with every odd case."""
+
+import base64
+import collections
+import hashlib
+import io
+import math
+import random
+import re
+import zipfile
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from epitally.llm import (
+    byte_bpe,
+    compact_windows,
+    components,
+    context_tree,
+    decontamination,
+    kneser_ney,
+    line_dedup,
+    multiprobe_lsh,
+    pii_spans,
+    simhash_dedup,
+    warc,
+    zip_archive,
+)
+
+UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+BLANKS = " \t\n\x0b\x0c\r"
+# Extra columns named like the operators' own.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, version long, doc string"
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 6))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    passage = sentence(rng, 70)
+    long = sentence(rng, 6000)
+    out = [None, "", " \t\n ", "One", "two words", "a b c", "A  b\tC", long, long.replace(" ", "\n", 40)]
+    out += [f"Shared line\n{sentence(rng, 30)}\n  SHARED LINE \nend {i}" for i in range(12)]
+    out += [sentence(rng, 40) + " " + passage + " " + sentence(rng, 40) for _ in range(3)]
+    near = sentence(rng, 300).split()
+    for i in (0, 20, 40):
+        out.append(" ".join(w if j != i else "changed" for j, w in enumerate(near)))
+    return out + [out[-1], "\x1f naïve café 漢字 😀 don't  stop\r\n", "x" * 3000]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en" if i % 3 else None, "s", None, 1, 2, "z") for i, t in enumerate(texts)]
+    rows += [(None, "no id here", "en", None, 3, 1, 2, None), (None, None, None, None, None, None, None, None)]
+    rows += [rows[10], rows[10], (5, "another text under five", "en", "s", 1, 1, 2, "z")]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def local(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+def words(text):
+    return re.findall("[^\x20\x09-\x0D]+", text.translate(UPPER))
+
+
+def key(x):
+    return tuple((v is None, v if v is not None else 0) for v in x)
+
+
+# Line dedup
+
+def test_lines(docs, empty):
+    rows = local(docs)
+    seen = collections.defaultdict(set)
+    for i, t in rows:
+        for line in t.split("\n"):
+            if line.strip(BLANKS):
+                seen[line.strip(BLANKS).translate(UPPER)].add(i)
+    want = []
+    for i, t in rows:
+        lines = t.split("\n")
+        kept = [x for x in lines if len(seen.get(x.strip(BLANKS).translate(UPPER), ())) < 10]
+        want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    got = [tuple(r) for r in line_dedup.drop_repeated_lines(docs).select(
+        "row.doc_id", "n_lines", "n_dropped", "kept").collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert sum(w[2] for w in want) >= 24
+    assert line_dedup.drop_repeated_lines(empty).count() == 0
+
+
+def test_runs_that_span_batches_and_partitions():
+    """The stream gives the same whatever its batches; keys at the ends are reported, not decided."""
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    rows = sorted((int(rng.integers(0, 9)), 0, int(rng.integers(0, 30)), False, 0, p) for p in range(400))
+    names = "h1 h2 doc no_id version pos".split()
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32()]
+
+    def batches(step):
+        for s in range(0, len(rows), step):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[s:s + step]), types)], names=names)
+
+    docs_of = {k: len({r[2] for r in rows if r[0] == k}) for k in range(9)}
+    for least in (3, 22, 40):
+        want = sorted((r[0], r[2], r[5]) for r in rows if docs_of[r[0]] >= least)
+        for step in (1, 7, 50, 1000):
+            out = [r for b in line_dedup.repeated_lines(least)(batches(step)) for r in b.to_pylist()]
+            edges = {r["h1"]: r["docs"] for r in out if r["kind"] == line_dedup.EDGE}
+            assert edges == {0: docs_of[0], 8: docs_of[8]}
+            got = sorted((r["h1"], r["doc"], r["pos"]) for r in out if r["kind"] == line_dedup.DROP)
+            assert got == want
+
+
+# SimHash
+
+def fingerprint(text):
+    w = words(text)
+    if not w:
+        return 0
+    shingles = [" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def classes(n, linked):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_simhash(docs, empty):
+    rows = local(docs)
+    prints = [fingerprint(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    of = classes(len(rows), pairs)
+    least = {c: min((rows[i][0] for i in range(len(rows)) if of[i] == c and rows[i][0] is not None), default=None) for c in of}
+    want = [(rows[i][0], prints[i], least[of[i]]) for i in range(len(rows))]
+    got = [(r[0], r[1] % 2**64, r[2]) for r in simhash_dedup.near_duplicates(docs).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    first = simhash_dedup.first_of_each(docs)
+    assert first.columns == docs.columns and first.count() == len(set(of))
+    assert simhash_dedup.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("most", [2, 1000])
+def test_links_of_long_posting_lists(spark, most):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    prints = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) for b in base for _ in range(20)})
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    edges = simhash_dedup.index_edges(spark.createDataFrame([(p,) for p in signed], "fp long"), most_tallied=most)
+    at = {p: i for i, p in enumerate(signed)}
+    found = [(at[r.a], at[r.b]) for r in edges.collect()]
+    want = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    assert all((prints[a] ^ prints[b]).bit_count() <= 2 for a, b in found)
+    assert classes(len(prints), found) == classes(len(prints), want)
+
+
+def test_components_of_paths_and_stars(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)] + [(200 + rng.randrange(40), 200 + rng.randrange(40)) for _ in range(25)]
+    edges += [(7, 7), (500, 300), (300, 500)]
+    of = classes(600, edges)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {i: of[i] for i in range(600) if of.count(of[i]) > 1} == got
+
+
+# BPE
+
+def test_byte_pairs(spark, docs, empty):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pairs = byte_bpe.byte_pairs(spark, path, public_tokenizers.PATTERN)
+    out = byte_bpe.encoded(docs, pairs).withColumn("back", byte_bpe.decoded(pairs, F.col("ids")))
+    for r in out.select("text", "ids", "back").collect():
+        assert r.ids == known.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()
+    assert byte_bpe.encoded(empty, pairs).count() == 0
+    table, rng = byte_bpe.BytePairs(ranks, public_tokenizers.PATTERN), random.Random(1)
+    odd = ["abc'sdtrevml 012 \t\n\x0b\x1c.,!?-_", "aé ß漢²Ⅷ½　 \x85́'sll d12 \n😀", "aßñµªº²½¼×÷ \x85\xa0\xad'll 1\n"]
+    many = ["".join(rng.choice(odd[i % 3]) for _ in range(rng.randrange(50))) for i in range(900)] + ["ab" * 2000 + "é" * 700]
+    for text, ids in zip(many, table.encode_texts(many, byte_bpe.PieceCache())):
+        assert ids.tolist() == known.encode_ordinary(text)
+
+
+# Context trees
+
+def block(a, b):
+    return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+
+def tree_log2(train, text, depth):
+    """Weighting done by recursion over all contexts, for one byte's eight decisions each."""
+    end = b"\xff"
+    counts = collections.Counter()
+    for t in train:
+        raw = end * depth + t.encode() + end
+        for i in range(depth, len(raw)):
+            for d in range(depth + 1):
+                for bit in range(8):
+                    counts[raw[i - d:i], raw[i] >> (7 - bit) + 1 | 1 << bit, raw[i] >> (7 - bit) & 1] += 1
+
+    def weighted(context, node):
+        own = block(counts[context, node, 0], counts[context, node, 1])
+        if len(context) == depth:
+            return own, own, 0.0
+        below = sum(weighted(bytes([c]) + context, node)[0] for c in range(256) if any(counts[bytes([c]) + context, node, b] for b in (0, 1)))
+        return math.log(0.5) + np.logaddexp(own, below), own, below
+
+    raw, total = end * depth + text.encode() + end, 0.0
+    for i in range(depth, len(raw)):
+        for bit in range(8):
+            node, value = raw[i] >> (7 - bit) + 1 | 1 << bit, raw[i] >> (7 - bit) & 1
+            p, left = 0.0, 1.0
+            for d in range(depth + 1):
+                context = raw[i - d:i]
+                a, b = counts[context, node, 0], counts[context, node, 1]
+                all_, own, _ = weighted(context, node)
+                share = 1.0 if d == depth else math.exp(own + math.log(0.5) - all_)
+                p += left * share * ((a, b)[value] + 0.5) / (a + b + 1)
+                left *= 1 - share
+                deeper = raw[i - d - 1:i]
+                if d < depth and not any(counts[deeper, n, v] for n in range(1, 256) for v in (0, 1)):
+                    p += left * 0.5
+                    break
+            total += math.log10(p)
+    return total
+
+
+def test_context_tree_is_the_weighted_one(spark):
+    train = ["abab", "abba cab", "b"]
+    docs = spark.createDataFrame([(t,) for t in train], "text string")
+    tree = context_tree.train(docs, "text", depth=2, min_share=0.0)
+    scores, sizes = tree.score(["ab", "", "cabz"])
+    assert sizes.tolist() == [2, 0, 4]
+    assert scores.tolist() == pytest.approx([tree_log2(train, t, 2) for t in ("ab", "", "cabz")], rel=1e-5)
+
+
+def test_bytes_sum_to_one_after_any_context(spark):
+    docs = spark.createDataFrame([("the cat sat on the mat " * 20,), ("dogs",)], "text string")
+    tree = context_tree.train(docs, "text", depth=3, min_share=0.01)
+    assert (10.0 ** tree.logs.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(tree.logs)), abs=1e-4)
+
+
+def test_scores(docs, empty):
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2 if i is not None else False
+    rows = local(docs)
+    counts = collections.Counter(w for i, t in rows if not held(i) for w in [*words(t), " "])
+    n, v = counts.total(), len(counts)
+    want = [(i, held(i), len(words(t)) + 1, sum(counts[w] > 0 for w in [*words(t), " "]), n,
+             round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*words(t), " "]), 6)) for i, t in rows]
+    condition = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    for hot in (1 / 65536, 0.02):
+        out = context_tree.scored(docs, held_out=condition, hot_share=hot).collect()
+        got = [(*tuple(r)[:5], round(r.base_score, 6)) for r in out]
+        assert sorted(got, key=key) == sorted(want, key=key)
+        assert all(r.score < 0 and (r.bits_per_byte is None) == (r.n_bytes == 0) for r in out)
+    assert context_tree.scored(empty).count() == 0
+
+
+# Kneser-Ney
+
+def test_kneser_ney_sums_to_one_and_knows_its_text(spark):
+    sample = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat sat", "the cat ran", "a dog sat there"] * 4)], "doc_id long, text string")
+    levels = kneser_ney.train(sample)
+    for before in (b"\xff\xff\xff\xff", b"the ", b"zzzz", b"t th"):
+        code = sum(b << 8 * (len(before) - i) for i, b in enumerate(before))
+        p = 10 ** kneser_ney.log_probs(levels, np.array([code | b for b in range(256)], np.uint64))
+        assert p.sum() == pytest.approx(1, abs=1e-9)
+    logs, sizes = kneser_ney.score_texts(levels, ["the cat sat", "xq%%%zv##", ""])
+    assert sizes.tolist() == [12, 10, 1] and logs[0] / 12 > logs[1] / 10 + 0.5
+
+
+def test_quality(spark, docs, empty):
+    rng = random.Random(9)
+    clean = [(1000 + i, sentence(rng, 60), "en") for i in range(60)]
+    junk = [(2000 + i, "%%% ".join(sentence(rng, 60).upper().split()), "en") for i in range(5)]
+    table = spark.createDataFrame(clean + junk + [(None, None, None)], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(1000 + i,) for i in range(50)] + [(None,)], "doc_id long")
+    out = {r.doc_id: r.keep for r in kneser_ney.classified(table, trusted).collect()}
+    assert not any(out[2000 + i] for i in range(5)) and sum(out[1000 + i] for i in range(60)) >= 57
+    kept = kneser_ney.kept(table, trusted)
+    assert kept.columns == table.columns and kept.count() == sum(out.values())
+    nobody = trusted.where("doc_id < 0")
+    assert kneser_ney.kept(docs, nobody).count() == docs.count()
+    assert kneser_ney.kept(empty, trusted).count() == 0
+
+
+# Decontamination
+
+def test_contained_items(spark, docs, empty, texts):
+    w = texts[7].split()
+    items = [(1, " ".join(w[100:130])), (2, " ".join(w[100:130]).upper()), (3, " ".join([*w[200:225], "not", "in", "there"])),
+             (4, " ".join([*w[300:310], "x y z", *w[313:320]])), (5, None), (6, ""), (7, "Two  WORDS"), (8, "never"), (None, "a b c")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def runs(t):
+        x = words(t)
+        return {" ".join(x[i:i + 5]) for i in range(max(1, len(x) - 4))} if x else set()
+
+    by = collections.defaultdict(list)
+    for i, t in items:
+        if runs(t or ""):
+            by[frozenset(runs(t or ""))].append(i)
+    want = []
+    for i, t in local(docs):
+        for k, ids in by.items():
+            if len(k & runs(t)) >= 0.8 * len(k) - 1e-9:
+                want.append((i, min((x for x in ids if x is not None), default=None), len(ids), len(k & runs(t)), len(k)))
+    found = decontamination.contained_items(docs, bench)
+    got = [(None if r.no_id else r.doc, r.item_id, r.n_items, r.n_shared, r.n_shingles) for r in found.collect()]
+    assert sorted(got, key=key) == sorted(want, key=key) and len(want) >= 3
+    bad = {w[0] for w in want}
+    rest = decontamination.without_items(docs, bench)
+    assert rest.columns == docs.columns and rest.count() == sum(i not in bad or t == "another text under five" for i, t in local(docs))
+    assert decontamination.without_items(docs, bench.limit(0)).count() == docs.count()
+    assert decontamination.without_items(empty, bench).count() == 0
+
+
+# Passages
+
+def test_passages(docs, empty):
+    out = collections.defaultdict(list)
+    for r in compact_windows.shared_passages(docs).collect():
+        out[r.doc_id].append((r.start_word, r.end_word))
+        assert r.end_word - r.start_word >= 50 and r.similarity >= 0.8
+    grams = collections.defaultdict(set)
+    rows = [(i, words(t)) for i, t in local(docs)]
+    for n, (i, w) in enumerate(rows):
+        for s in range(len(w) - 49):
+            grams[" ".join(w[s:s + 50])].add(n)
+    for n, (i, w) in enumerate(rows):
+        for s in range(len(w) - 49):
+            if len(grams[" ".join(w[s:s + 50])]) > 1:
+                assert any(a <= s and s + 50 <= b for a, b in out[i]), (i, s)
+    assert len(out) < len(rows)
+    assert compact_windows.shared_passages(empty).count() == 0
+
+
+def test_windows_hold_every_run_once():
+    rng = np.random.default_rng(4)
+    for values in (rng.integers(0, 2**63, 60).astype(np.uint64), np.zeros(60, np.uint64)):
+        found = compact_windows.windows(values, 10)
+        for i in range(60):
+            for j in range(i + 9, 60):
+                at = [(low, c, high) for low, c, high in found if low <= i <= c <= j <= high]
+                assert len(at) == 1 and values[at[0][1]] == values[i:j + 1].min()
+
+
+# WARC
+
+def test_archives(spark):
+    pages = [(i, f"http://x/{i}", h) for i, h in enumerate(["<p>a</p>", "", None, "<p>a</p>", "é" * 5000, "", "b"])]
+    pages += [(3, "http://x/3", "<p>a</p>"), (None, None, "b"), (None, "u\r\nv", "only")]
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int").repartition(3)
+    groups = collections.defaultdict(list)
+    for i, _, h in pages:
+        groups[h or ""].append(i)
+    want = []
+    for i, _, h in pages:
+        last = max((x for x in groups[h or ""] if x is not None), default=None)
+        raw = (h or "").encode()
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(),
+                     "response" if i == last else "revisit", None if i == last else last))
+    for size in (1, 64 << 20):
+        out = warc.read_archives(warc.write_archives(df, archive_bytes=size)).collect()
+        got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out]
+        assert sorted(got, key=key) == sorted(want, key=key)
+        assert {bytes(r.payload).decode() for r in out if r.payload is not None} == {h or "" for _, _, h in pages}
+    least = warc.read_archives(warc.write_archives(df, min_bytes=2)).where("payload_bytes < 2 AND record_type = 'revisit'")
+    assert least.count() == 0
+    assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("limit", [zipfile.ZIP64_LIMIT, 10])
+def test_zip_directories(monkeypatch, limit):
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", limit)
+    monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 3 if limit == 10 else 0xFFFF)
+    buffer = io.BytesIO(b"")
+    with zipfile.ZipFile(buffer, "w") as z:
+        for i in range(5):
+            z.writestr(zipfile.ZipInfo(f"dir/é{i}.bin"), bytes([i]) * (20 + i))
+        z.comment = b"a comment PK\x05\x06 with a mark"
+    data = buffer.getvalue()
+    read_at = lambda at, n: data[at:at + n]
+    members = zip_archive.directory(read_at, len(data))
+    assert [m.name for m in members] == [f"dir/é{i}.bin" for i in range(5)]
+    for i, m in enumerate(members):
+        assert read_at(zip_archive.stored_at(read_at, m), m.size) == bytes([i]) * (20 + i)
+    with pytest.raises(ValueError):
+        zip_archive.directory(read_at, 10)
+
+
+# Nearest vectors
+
+def test_nearest(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(300, 12)).astype(np.float32)
+    rows = [(i, v.tolist(), None) for i, v in enumerate(base)]
+    rows += [(1000 + i, base[20].tolist(), 1) for i in range(60)]
+    rows += [(40, base[40].tolist(), 2), (2000, None, 1), (2020, [0.0] * 12, 1), (2040, [float("nan")] * 12, 1),
+             (2060, [1.0, None] * 6, 1), (2080, [1.0], 1), (None, base[1].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, bucket int").repartition(3)
+    good = [(i, np.array(v, float)) for i, v, _ in rows if i is not None and i < 2000]
+    got = collections.defaultdict(list)
+    for r in multiprobe_lsh.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=100, most_together=40).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    queries = {i: v for i, v in good if i % 20 == 0}
+    assert set(got) == set(queries)
+    hits = total = 0
+    for q, v in queries.items():
+        others = list(good)
+        others.remove(next(x for x in others if x[0] == q))
+        best = sorted(((-(w * v).sum(), i) for i, w in others))[:20]
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == list(range(1, 21))
+        assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
+        hits += len({i for _, i in best} & {i for _, i, _ in found})
+        total += 20
+    assert hits / total >= 0.9
+    assert multiprobe_lsh.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    few = multiprobe_lsh.nearest(df.where("vec_id in (0, 3, 5)"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["rank"] for r in few] == [1, 2]
+
+
+# Personal data
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(number):
+    total = 0
+    for i, c in enumerate(reversed(number)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for place, (kind, pattern) in enumerate(PATTERNS.items(), 1):
+        for m in re.finditer(pattern, text):
+            number = re.sub("[^0-9]", "", m.group())
+            if {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m.group().split(".")),
+                    "card": lambda: 12 <= len(number) <= 19 and luhn(number), "phone": lambda: 9 <= len(number) <= 15}[kind]():
+                out.append((m.start(), place, m.end(), kind))
+    return sorted(out)
+
+
+def test_personal_data(spark, empty):
+    rng = random.Random(8)
+    chars = "ab.@%+-_01 5(9)\n,é😀"
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(120))) for _ in range(300)]
+    texts += [None, "", "a@b.com_x@y.org.", "x@y 1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004", "+1 (999) 555-1234 ", "4111 1111 1111 1111",
+              "4111-1111-1111-1112", "é😀 me@x.io", 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" end', "1 " * 3000, "a" * 5000 + "@",
+              "9" * 4000, "tel 555-123-4567 or joe (at) site (dot) org", "1234567890123 " * 40]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(7, texts[7], "x"), (None, "me@x.io", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string").repartition(3)
+    got = pii_spans.personal_spans(df).collect()
+    want = [(i, base_spans(t or "")) for i, t, _ in rows]
+    mine = [(r.doc_id, [tuple(s)[:4] for s in r.spans if s["base"]]) for r in got]
+    assert sorted(mine, key=str) == sorted(want, key=str)
+    more = {r.doc_id: [s["kind"] for s in r.spans if not s["base"]] for r in got}
+    assert "secret" in more[texts.index('token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" end')]
+    assert pii_spans.personal_spans(empty).count() == 0
+    plan = pii_spans.personal_spans(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_unreliable_labelers_weigh_less():
+    rng, counts, right = random.Random(1), collections.Counter(), {}
+    for _ in range(4000):
+        y = rng.random() < 0.3
+        votes = tuple((1 if y == (rng.random() < p) else -1) for p in (0.95, 0.9, 0.9, 0.55, 0.5))
+        counts["secret", votes] += 1
+        right["secret", votes] = right.get(("secret", votes), 0) + (1 if y else -1)
+    truth = pii_spans.estimated(counts)
+    agree = sum(n for p, n in counts.items() if (truth[p] > 0.5) == (right[p] > 0))
+    assert agree / 4000 > 0.95
+
+
+# Pipeline
+
+def test_stages(spark, docs):
+    import corpus_pipeline
+    folder = "/root/testdata/sf0.001"
+    assert [f for _, f in corpus_pipeline.STAGES] and 4 <= len(corpus_pipeline.STAGES) <= 5
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, folder)
+        assert now.columns == docs.columns
+    left = now.collect()
+    assert len({r.doc_id for r in left if r.doc_id is not None}) <= docs.count()
+    assert all("shared line" not in (r.text or "").lower() for r in left)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, folder).count() == len(left)
