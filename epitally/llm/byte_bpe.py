@@ -10,9 +10,11 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_groups
 
@@ -307,6 +309,37 @@ def encoded(docs: DataFrame, pairs, text_col: str = "text", ids_col: str = "ids"
     return docs.withColumn(ids_col, as_ids(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
+def coded(docs: DataFrame, pairs, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """All columns but the text, then the ids of the whole text and the bytes that the ids decode to.
+
+    One pass by one worker, which holds the results of about ``CHARS_AT_ONCE`` characters, or of one longer text.
+    A null text is empty; columns of the input named like the new ones are replaced.
+    """
+    fields = [f for f in docs.schema.fields if f.name not in (text_col, ids_col, bytes_col)]
+    names = [f"c{i}" for i in range(len(fields))]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields)]
+                          + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("bytes", T.BinaryType())])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, cache = BytePairs(*pairs.value), PieceCache()
+        for batch in batches:
+            texts = batch.column(len(names)).to_pylist()
+            for s, e in text_groups(texts, CHARS_AT_ONCE):
+                ids = list(table.encode_texts(texts[s:e], cache))
+                bounds = np.cumsum([0, *map(len, ids)])
+                yield pa.RecordBatch.from_arrays([
+                    *[batch.column(i).slice(s, e - s) for i in range(len(names))],
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(ids), pa.int32())),
+                    pa.array(map(table.decode, ids), pa.binary()),
+                ], names=[*names, "ids", "bytes"])
+
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, fields)], text.alias("text"))
+    return rows.mapInArrow(code, schema).select(
+        *[F.col(n).alias(f.name) for n, f in zip(names, fields)], F.col("ids").alias(ids_col), F.col("bytes").alias(bytes_col)
+    )
+
+
 def decoded(pairs, ids: Column) -> Column:
     """The bytes that ids stand for; null ids give none."""
 

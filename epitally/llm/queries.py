@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import corpus_pipeline
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,15 +117,11 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     pairs = byte_bpe.byte_pairs(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
-    @F.pandas_udf("string")
-    def ids_sha256(ids: pd.Series) -> pd.Series:
-        decimal = list(map(str, range(1 << 16))).__getitem__
-        return ids.map(lambda row: hashlib.sha256(",".join(map(decimal, row.tolist())).encode()).hexdigest())
-
-    ids = byte_bpe.encoded(table(spark, folder, "documents").select("doc_id", "text"), pairs)
-    return ids.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"),
-        F.sha2(byte_bpe.decoded(pairs, F.col("ids")), 256).alias("decoded_sha256"),
+    coded = byte_bpe.coded(table(spark, folder, "documents").select("doc_id", "text"), pairs)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -198,6 +198,12 @@ def test_byte_pairs(spark, docs, empty):
     for r in out.select("text", "ids", "back").collect():
         assert r.ids == known.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()
     assert byte_bpe.encoded(empty, pairs).count() == 0
+    both = byte_bpe.coded(docs.withColumn("ids", F.col("text")).withColumn("c0", F.lit("x")), pairs)
+    assert both.columns == [c for c in docs.columns if c != "text"] + ["c0", "ids", "decoded"]
+    want = [(r.doc_id, tuple(known.encode_ordinary(r.text or "")), (r.text or "").encode(), "x") for r in docs.collect()]
+    got = [(r.doc_id, tuple(r.ids), bytes(r.decoded), r.c0) for r in both.collect()]
+    assert collections.Counter(got) == collections.Counter(want)
+    assert byte_bpe.coded(empty, pairs).count() == byte_bpe.coded(docs.select("text"), pairs).count() - docs.count() == 0
     table, rng = byte_bpe.BytePairs(ranks, public_tokenizers.PATTERN), random.Random(1)
     odd = ["abc'sdtrevml 012 \t\n\x0b\x1c.,!?-_", "aé ß漢²Ⅷ½　 \x85́'sll d12 \n😀", "aßñµªº²½¼×÷ \x85\xa0\xad'll 1\n"]
     many = ["".join(rng.choice(odd[i % 3]) for _ in range(rng.randrange(50))) for i in range(900)] + ["ab" * 2000 + "é" * 700]
