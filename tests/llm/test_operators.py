@@ -365,6 +365,13 @@ def test_passages(docs, empty):
     assert compact_windows.shared_passages(empty).count() == 0
 
 
+def test_passages_of_hot_hashes(docs, monkeypatch):
+    plain = sorted(map(str, compact_windows.shared_passages(docs).collect()))
+    for name, value in (("SAMPLED", 1), ("HOT_TEXTS", 2), ("SALTS", 3)):
+        monkeypatch.setattr(compact_windows, name, value)
+    assert sorted(map(str, compact_windows.shared_passages(docs).collect())) == plain
+
+
 def test_windows_hold_every_run_once():
     rng = np.random.default_rng(4)
     for values in (rng.integers(0, 2**63, 60).astype(np.uint64), np.zeros(60, np.uint64)):
