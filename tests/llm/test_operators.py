@@ -382,6 +382,19 @@ def test_windows_hold_every_run_once():
                 assert len(at) == 1 and values[at[0][1]] == values[i:j + 1].min()
 
 
+def test_windows_of_many_texts_at_once():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (10, 11, 60, 400, 10, 37)]
+    for mixer in compact_windows.mixers(3):
+        text, l, c, r, key = compact_windows.windows_of_all(texts, mixer, 10)
+        for i, values in enumerate(texts):
+            hashes = compact_windows.mixed(values, mixer)
+            mine = text == i
+            assert sorted(zip(l[mine].tolist(), c[mine].tolist(), r[mine].tolist())) == sorted(
+                compact_windows.windows(hashes, 10))
+            assert (key[mine] == hashes[c[mine]]).all()
+
+
 # WARC
 
 def test_archives(spark):
