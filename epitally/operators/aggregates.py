@@ -42,17 +42,19 @@ def adjusted_r2(y: Column | str, x: Column | str) -> Column:
 
 
 def daily_counts(cases: DataFrame, by: Sequence[str], dates: dict[str, str],
-                 until: dt.date | None = None) -> DataFrame:
+                 until: dt.date | None = None, after: dt.date | None = None) -> DataFrame:
     """Rows per group and day for several date columns, in one scan.
 
     ``dates`` maps a series name to the date column it counts by. A case takes part once per
-    date it has, up to ``until``. The counts are combined before the shuffle, so a group that
+    date it has, up to ``until`` and later than ``after``. The counts are combined before the shuffle, so a group that
     holds most cases still sends at most one row per series and day from each task.
     """
     rows = cases.select(*by, *[F.col(c).alias(s) for s, c in dates.items()])
 
     def counts(c: str) -> Column:
-        return F.col(c).isNotNull() if until is None else F.col(c) <= F.lit(until)
+        bounds = [F.col(c) <= F.lit(until)] if until is not None else []
+        bounds += [F.col(c) > F.lit(after)] if after is not None else []
+        return reduce(lambda a, b: a & b, bounds) if bounds else F.col(c).isNotNull()
 
     # Cases without any date to count are left out at the scan.
     rows = rows.where(reduce(lambda a, b: a | b, [counts(s) for s in dates]))

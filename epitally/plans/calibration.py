@@ -58,12 +58,9 @@ def padded_series(series: DataFrame, before: str = "     ", extra: Sequence[str]
 
     The width is taken over each ``scope`` group, or over all rows when there is none.
     """
-    longest = [F.max(F.length(number_text(c))) for c in ("times", "values")]
-    if scope:
-        group = Window.partitionBy(*scope)
-        width = F.struct(longest[0].over(group).alias("t"), longest[1].over(group).alias("v"))
-    else:
-        width = series.agg(longest[0].alias("t"), longest[1].alias("v")).select(F.struct("t", "v")).scalar()
+    # A finished series is bounded by regions and the calendar, also where all of it is one group.
+    group = Window.partitionBy(*(scope or [F.lit(0)]))
+    width = F.struct(*[F.max(F.length(number_text(c))).over(group).alias(n) for c, n in (("times", "t"), ("values", "v"))])
     keys = [c for c in series.columns if c not in ("times", "values", *extra)]
     return series.withColumn("_w", width).select(
         *keys,
@@ -77,8 +74,8 @@ def padded_series(series: DataFrame, before: str = "     ", extra: Sequence[str]
 
 def daily_text(cases: DataFrame, dates: dict[str, str], epoch: dt.date, lower: int = FIRST_DAY) -> DataFrame:
     """National daily series as text, one row per series: onset, death or any other date."""
-    series = calibration_series(daily_counts(cases, [], dates), epoch, lower)
-    return ordered_text(series, ["series"])
+    counts = daily_counts(cases, [], dates, after=epoch + dt.timedelta(lower))
+    return ordered_text(calibration_series(counts, epoch, lower), ["series"])
 
 
 def confirmed_daily(cases: DataFrame, date: str, epoch: dt.date) -> DataFrame:

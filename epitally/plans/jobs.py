@@ -16,7 +16,7 @@ from ..operators.aggregates import ordered_text
 from ..operators.filters import in_regions
 from ..session import materialize
 from ..sources import schemas
-from ..sources.readers import read_archive, read_calibration_files, read_columns, read_model_table
+from ..sources.readers import read_archive, read_calibration_files, read_columns, read_newest_model_tables
 from ..sources.writers import append_run, write_by, write_table, write_wide_text
 from . import calibration, inputs, scenarios, validation
 
@@ -70,11 +70,14 @@ def icu_job(spark: SparkSession, hospital_path: str, out: str, names: dict[str,
 
 def validation_job(spark: SparkSession, model_root: str, calibration_root: str, archive: str, run_date: dt.date,
                    types: Sequence[str], outputs: dict[str, str], scenario: str,
-                   epoch: dt.date = EPOCH_DEC31) -> DataFrame:
-    """Add the current run to the archive and compare all runs with the data known by now."""
-    model = scenarios.model_table(read_model_table(spark, model_root, "uncertainty"), epoch)
+                   epoch: dt.date = EPOCH_DEC31, newest: int = 4) -> DataFrame:
+    """Add the current run to the archive and compare all runs with the data known by now.
+
+    The model's tables are the ``newest`` ones, one per region.
+    """
+    model = scenarios.model_table(read_newest_model_tables(spark, model_root, "uncertainty", newest), epoch)
     local = validation.calibration_wide(read_calibration_files(spark, calibration_root))
     append_run(validation.run_snapshot(model, local, run_date, types, epoch), archive)
     runs = read_archive(spark, archive)
-    filled = validation.backfill_runs(runs, list(outputs))
+    filled = validation.backfill_runs(runs, list(outputs), scenario=scenario)
     return validation.calibrated_split(filled, scenario, validation.latest_run(runs), outputs)

@@ -14,7 +14,6 @@ from ..functions.numbers import number_from_text
 from ..operators.aggregates import adjusted_r2
 from ..operators.joins import merge_series
 from ..operators.reshape import type_quantile_wide
-from ..operators.series import last_observed
 from ..session import materialize
 
 # A projection is shown for this many days after its run date.
@@ -46,39 +45,50 @@ def run_snapshot(uncertainty: DataFrame, local: DataFrame, run_date: dt.date, ty
 
 
 def backfill_runs(runs: DataFrame, metrics: Sequence[str] = ("notifications", "icu", "deaths"),
-                  per_region: bool = False) -> DataFrame:
+                  per_region: bool = False, scenario: str | None = None) -> DataFrame:
     """Older runs with the reported values that the latest run brought since.
 
-    The latest run's rows are set beside every older run by a full join on region, date and
-    scenario. A missing value is filled from the cut-off on: the date of the older run's last
-    row, ordered by region and day, that has notifications (``per_region``: of each region).
+    The latest run's rows are set beside every older run by region, date and scenario; those an older run lacks
+    are added to it without values. A missing value is filled from the cut-off on: the date of the older run's last
+    row, ordered by region and day, that has notifications (``per_region``: of each region). The cut-off
+    is taken over all scenarios; ``scenario`` then keeps one, at the scan.
     """
     local = [f"local_data_{m}" for m in metrics]
-    dates = runs.select("model_run_date").distinct()
-    latest = latest_run(runs)
     by = ["model_run_date", "region"] if per_region else ["model_run_date"]
-    order = ["times"] if per_region else ["region", "times"]
+    order = F.struct("times") if per_region else F.struct("region", "times")
+    # A row per run (and region), which also holds the dates of all runs.
+    cutoff = materialize(
+        runs.groupBy(*by).agg(F.max_by("date", F.when(F.col(local[0]).isNotNull(), order)).alias("_cutoff")), "cutoff"
+    )
+    latest = latest_run(cutoff)
+    kept = runs if scenario is None else runs.where(F.col("scenario") == scenario)
 
-    cutoff = materialize(last_observed(runs, by, order, local[0], "date", "_cutoff"), "cutoff")
-    stale = runs.join(cutoff, by, "left").withColumn(
+    older = F.col("model_run_date") < latest
+    stale = kept.join(cutoff, by, "left").withColumn(
         "data_acquired_date",
-        F.when((F.col("model_run_date") < latest) & (F.col("date") >= F.col("_cutoff")), latest)
-        .otherwise(F.col("data_acquired_date")),
+        F.when(older & (F.col("date") >= F.col("_cutoff")), latest).otherwise(F.col("data_acquired_date")),
     ).drop("_cutoff")
-
-    older = dates.where(F.col("model_run_date") < latest).agg(F.collect_set("model_run_date")).scalar()
-    newest = runs.where(F.col("model_run_date") == latest).select(
-        F.explode(older).alias("model_run_date"), "region", "date", "scenario",
-        *[F.col(c).alias(f"new_{m}") for c, m in zip(local, metrics)],
+    newest = kept.where(F.col("model_run_date") == latest)
+    brought = newest.select(
+        F.col("region").alias("_region"), "date", "scenario", *[F.col(c).alias(f"new_{c}") for c in local]
+    )
+    # The latest run's own rows meet none.
+    joined = stale.withColumn("_region", F.when(older, F.col("region"))).join(
+        brought, ["_region", "date", "scenario"], "left"
     )
-    keys = ["model_run_date", "region", "date", "scenario"]
-    joined = stale.join(newest, keys, "full")
     fill = {
-        c: F.when(F.col(c).isNull() & (F.col("data_acquired_date") == latest)
-                  & (F.col("model_run_date") < latest), F.col(f"new_{m}")).otherwise(F.col(c))
-        for c, m in zip(local, metrics)
+        c: F.when(F.col(c).isNull() & (F.col("data_acquired_date") == latest) & older, F.col(f"new_{c}"))
+        .otherwise(F.col(c))
+        for c in local
     }
-    return joined.withColumns(fill).drop(*[f"new_{m}" for m in metrics])
+    filled = joined.withColumns(fill).select(*runs.columns)
+
+    keys = ["model_run_date", "region", "date", "scenario"]
+    dates = cutoff.where(older).agg(F.collect_set("model_run_date")).scalar()
+    added = newest.select(F.explode(dates).alias("model_run_date"), *keys[1:]).join(
+        kept.where(older).select(*keys), keys, "left_anti"
+    )
+    return filled.unionByName(added, allowMissingColumns=True)
 
 
 def by_metric(runs: DataFrame, outputs: dict[str, str] | None = None) -> DataFrame:

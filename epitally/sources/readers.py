@@ -107,6 +107,20 @@ def newest_paths(spark: SparkSession, pattern: str, n: int = 4) -> list[str]:
     return [row.path for row in newest_files(spark, pattern, n).select("path").collect()]
 
 
+def newest_folders(spark: SparkSession, pattern: str, n: int = 4) -> list[str]:
+    """The n folders that hold the files changed last."""
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")
+    changed = list_files(spark, pattern).groupBy(folder).agg(F.max("modified").alias("modified"))
+    newest = changed.orderBy(F.desc("modified"), F.desc("folder")).limit(n)
+    return [row.folder for row in newest.select("folder").collect()]
+
+
+def read_newest_model_tables(spark: SparkSession, root: str, table: str, n: int = 4) -> DataFrame:
+    """The n regions of a model output table, stored with one folder per region, that changed last."""
+    paths = newest_folders(spark, f"{root}/{table}/region=*/*.parquet", n)
+    return spark.read.option("basePath", f"{root}/{table}").parquet(*paths)
+
+
 def read_model_table(spark: SparkSession, root: str, table: str, regions: list[str] | None = None) -> DataFrame:
     """A model output table stored as parquet with one folder per region."""
     df = spark.read.parquet(f"{root}/{table}")

@@ -29,7 +29,7 @@ MODEL_UNCERTAINTY = "scenario int, type string, times int, quantile double, valu
 MODEL_DERIVED = "scenario int, times int, " + ", ".join(
     f"notificationsXagegroup_{start} double" for start in BAND_STARTS + [75]
 )
-MODEL_DRAWS = "name string, value double"
+MODEL_DRAWS = "draw_id long, name string, value double"
 PROCESSED_SERIES = "Region string, times int, value double"
 BEHAVIOUR_CURVE = "times int, inverse_mhs_values double"
 CALIBRATION_LONG = "times string, values string"

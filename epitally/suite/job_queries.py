@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import EPOCH_DEC31, offset_date
 from ..functions.labels import HOSPITAL_REGIONS, LINE_LIST_REGIONS, recode
-from ..plans import jobs
+from ..plans import jobs, validation
 from ..plans.calibration import long_text
 from ..plans.scenarios import processed_series
 from ..session import scratch_path
-from ..sources.readers import read_table
+from ..sources.readers import read_columns, read_table
 from ..sources.writers import write_by, write_table
 from . import report_queries as reports
 from . import views
-from .registry import query
+from .registry import TWINS, query, rounded
 
 
 def cases_file(spark, folder):
@@ -70,70 +74,83 @@ def weekly_job(spark, folder):
 
 
 @query("rolling_job", f"""
-WITH {reports.ROLLING} SELECT region, times || ',' AS times, CAST(values AS BIGINT) || ',' AS values FROM r
-WHERE values IS NOT NULL AND times > 60 AND times < last - 9""", ["line_list"])
+SELECT 'notifications' AS output, region, CAST(NULL AS VARCHAR) AS date, times || ',' AS times,
+  CAST(values AS BIGINT) || ',' AS values FROM ({TWINS["rolling_notifications"]})
+UNION ALL SELECT 'deaths', region, CAST(date AS VARCHAR), CAST(times AS VARCHAR), CAST(values AS VARCHAR)
+FROM ({TWINS["cumulative_deaths"]})
+UNION ALL SELECT 'icu', region, CAST(date AS VARCHAR), CAST(times AS VARCHAR), CAST(values AS VARCHAR)
+FROM ({TWINS["latest_icu"]})""")
 def rolling_job(spark, folder):
+    """All three outputs."""
     out = scratch_path(spark, "rolling")
     jobs.rolling_job(
         spark, cases_file(spark, folder), hospital_file(spark, folder), out, reports.SHORT_REGIONS, views.NATIONAL,
         views.ORDERS_UNTIL, views.ORDERS_EPOCH,
     )
-    return read_table(spark, f"{out}/notifications", CELL + "region string").select("region", "times", "values")
+    cells = read_table(spark, f"{out}/notifications", CELL + "region string").withColumn("date", F.lit(None).cast("string"))
+    tables = {"notifications": cells}
+    for name in ("deaths", "icu"):
+        tables[name] = read_columns(spark, f"{out}/{name}", "region string, date string, times string, values string")
+    return reduce(DataFrame.unionByName, [
+        t.select(F.lit(n).alias("output"), "region", "date", "times", "values") for n, t in tables.items()
+    ])
+
+
+def both_outputs(spark, out, columns, regional, national):
+    """The rows of ``out/regional`` and ``out/national``, cells without the blanks before them."""
+    parts = []
+    for name, keys in (("regional", regional), ("national", national)):
+        rows = read_columns(spark, f"{out}/{name}", ", ".join(f"{c} string" for c in [*keys, *columns]))
+        parts.append(rows.select(F.lit(name).alias("output"), *keys, *[F.trim(c).alias(c) for c in columns]))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 @query("imputed_job", f"""
-WITH {reports.IMPUTED},
-k AS (SELECT * REPLACE (CASE region WHEN '4A' THEN 'Region_IV_A_Calabarzon' WHEN '5' THEN 'Region_V_Bicol'
-    WHEN '7' THEN 'Region_VII_Central_Visayas' ELSE region END AS region)
-  FROM d WHERE t > 40 AND region IN ('NCR', '4A', '5', '7'))
-SELECT k.series, k.region, t || ',' AS times, n || ',' AS values, times_wide, values_wide
-FROM k JOIN (SELECT series, region, {reports.WIDE_TIMES} AS times_wide, {reports.WIDE_VALUES} AS values_wide
-  FROM k GROUP BY ALL) w ON k.series = w.series AND k.region = w.region""", ["line_list"])
+SELECT 'regional' AS output, series, CASE region WHEN '4A' THEN 'Region_IV_A_Calabarzon' WHEN '5' THEN 'Region_V_Bicol'
+    WHEN '7' THEN 'Region_VII_Central_Visayas' ELSE region END AS region, times, values, times_wide, values_wide
+FROM ({TWINS["imputed_regional"]})
+UNION ALL SELECT 'national', series, NULL, trim(times), trim(values), times_wide, values_wide
+FROM ({TWINS["imputed_national"]})""")
 def imputed_job(spark, folder):
+    """Both outputs."""
     out = scratch_path(spark, "imputed")
     jobs.imputed_job(spark, admissions_file(spark, folder), out, LINE_LIST_REGIONS, views.ORDERS_EPOCH)
-    schema = CELL + "times_wide string, values_wide string, series string, region string"
-    return read_table(spark, f"{out}/regional", schema).select(
-        "series", "region", "times", "values", "times_wide", "values_wide"
-    )
+    columns = ["times", "values", "times_wide", "values_wide"]
+    return both_outputs(spark, out, columns, ["series", "region"], ["series"])
+
+
+CELLS = ["times", "values", "values_bracketed", "times_wide", "values_wide"]
+TRIMMED = ", ".join(f"trim({c}) AS {c}" for c in CELLS)
 
 
 @query("icu_job", f"""
-WITH d AS (SELECT {reports.HOSPITAL_CASE} AS region, {reports.DAY.format("date")} AS t, n
-  FROM ({reports.ICU_DAYS.format(keys="region, ", where=f" AND region IN ({reports.HOSPITAL_LIST})")})
-  WHERE n IS NOT NULL)
-SELECT region, count(*) AS days, {reports.WIDE_VALUES} AS values_wide FROM d GROUP BY ALL""", ["hospital"])
+SELECT 'regional' AS output, region, {TRIMMED} FROM ({TWINS["icu_regional_wide"]})
+UNION ALL SELECT 'national', NULL, {TRIMMED} FROM ({TWINS["icu_national"]})""")
 def icu_job(spark, folder):
+    """Both outputs."""
     out = scratch_path(spark, "icu")
     jobs.icu_job(spark, hospital_file(spark, folder), out, HOSPITAL_REGIONS, views.ORDERS_EPOCH)
-    schema = CELL + "values_bracketed string, times_wide string, values_wide string, region string"
-    rows = read_table(spark, f"{out}/regional", schema)
-    return rows.groupBy("region").agg(
-        F.count("times").alias("days"), F.max("values_wide").alias("values_wide")
-    )
+    return both_outputs(spark, out, CELLS, ["region"], [])
 
 
-@query("validation_job", """
-SELECT region, metric, count(reported) AS reported, count(*) AS days, max(date) AS last FROM (
-  SELECT u.region, u.date, m.metric, max(r.value) AS reported
-  FROM uncertainty u, (VALUES ('notifications', 'notifications'), ('icu', 'icu_occupancy'),
-    ('deaths', 'accum_deaths')) m(metric, output)
-  LEFT JOIN reported r ON r.region = u.region AND r.times = u.times AND r.type = m.output
-  WHERE u.scenario = 0 AND u.date <= DATE '2024-01-08' + 49
-    AND u.type IN ('notifications', 'icu_occupancy', 'accum_deaths') GROUP BY ALL)
-GROUP BY ALL""", ["uncertainty", "reported"])
+@query("validation_job", f"""
+SELECT s.*, adj_r2 FROM ({TWINS["calibrated_split"]}) s
+LEFT JOIN ({TWINS["fit_adjusted_r2"]}) f USING (model_run_date, region, metric)""")
 def validation_job(spark, folder):
-    """Model tables and calibration files in, the archive of one run out and compared."""
-    root, files, archive = (scratch_path(spark, n) for n in ("model", "files", "archive"))
+    """A run per date, each with the calibration files of its day; the last one fills the older ones."""
+    root, archive = scratch_path(spark, "model"), scratch_path(spark, "archive")
     views.uncertainty_raw(spark, folder).write.partitionBy("region").parquet(f"{root}/uncertainty")
     names = {o: m for m, o in views.OUTPUTS.items()}
     reported = processed_series(views.reported_raw(spark, folder)).select(
         recode("type", names).alias("series"), "region", "times", F.col("value").alias("values")
     )
-    write_by(long_text(reported, ["series", "region"]).drop("day"), files, ["series", "region"])
-    split = jobs.validation_job(
-        spark, root, files, archive, views.RUN_DATES[0], list(views.OUTPUTS.values()), views.OUTPUTS, "0"
-    )
-    return split.groupBy("region", "metric").agg(
-        F.count("reported").alias("reported"), F.count(F.lit(1)).alias("days"), F.max("date").alias("last")
-    )
+    for run_date in views.RUN_DATES:
+        files = scratch_path(spark, "files")
+        known = reported.where(offset_date("times", EPOCH_DEC31) <= F.lit(run_date))
+        write_by(long_text(known, ["series", "region"]).drop("day"), files, ["series", "region"])
+        split = jobs.validation_job(
+            spark, root, files, archive, run_date, list(views.OUTPUTS.values()), views.OUTPUTS, "0"
+        )
+    keys = ["model_run_date", "region", "metric"]
+    rows = split.select(*keys, "date", "reported", "q50", "model").join(validation.fit(split), keys, "left")
+    return rounded(rows, "q50", "adj_r2")

@@ -339,7 +339,7 @@ split AS (SELECT *, CASE WHEN model_run_date = DATE '2024-01-22'
 def split(spark, folder):
     runs = archive(spark, folder)
     return validation.calibrated_split(
-        validation.backfill_runs(runs), "S_0", validation.latest_run(runs), views.OUTPUTS
+        validation.backfill_runs(runs, scenario="S_0"), "S_0", validation.latest_run(runs), views.OUTPUTS
     )
 
 

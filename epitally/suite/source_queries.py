@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_offset, parse_iso_date
 from ..operators.aggregates import daily_counts, ordered_text, row_count
-from ..plans import calibration, scenarios, validation
-from ..session import scratch_path
+from ..plans import calibration, posterior, scenarios, testing, validation
+from ..session import materialize, scratch_path
 from ..sources import schemas
 from ..sources.readers import (
     file_part,
-    newest_files,
+    newest_paths,
     path_part,
     read_archive,
     read_calibration_files,
@@ -28,7 +28,7 @@ from ..sources.writers import append_run, write_by, write_table, write_wide_text
 from . import report_queries as reports
 from . import views
 from .operator_queries import uncertainty
-from .registry import query, rounded
+from .registry import TWINS, query, rounded
 
 RAW_CASES = [
     "region AS RegionRes", "CAST(report AS STRING) AS DateRepConf", "CAST(onset AS STRING) AS DateOnset",
@@ -109,12 +109,48 @@ def run_files(spark, folder):
     return rows.groupBy(F.substring("run_date", 1, 4).alias("stem")).agg(row_count().alias("rows"))
 
 
-@query("newest_files")
+@query("newest_files", """
+SELECT type, count(*) AS n, round(max(value), 6) AS top FROM uncertainty WHERE type <> 'accum_deaths' GROUP BY ALL""",
+       ["uncertainty"])
 def newest(spark, folder):
-    """The four files of the folder that changed last."""
-    return newest_files(spark, f"{folder}/*.parquet", 4).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "bytes"
+    """One file per type written after the other; the four that changed last are read."""
+    path = scratch_path(spark, "newest")
+    rows = materialize(uncertainty(spark, folder).select("type", "times", "value"), "types")
+    for kind in views.MODEL_TYPES:
+        # Rows of regions, scenarios and days fit one file.
+        rows.where(F.col("type") == kind).coalesce(1).write.parquet(f"{path}/{kind}")
+    read = spark.read.schema(rows.schema).parquet(*newest_paths(spark, f"{path}/*/*.parquet", 4))
+    return rounded(read.groupBy("type").agg(row_count().alias("n"), F.max("value").alias("top")), "top")
+
+
+def stored_draws(spark, folder):
+    """The posterior draws as they lie in the model's tables, by region."""
+    path = scratch_path(spark, "draws")
+    views.draws_raw(spark, folder).write.partitionBy("region").parquet(f"{path}/draws")
+    rows = read_model_table(spark, path, "draws")
+    names = [field.split()[0] for field in schemas.MODEL_DRAWS.split(", ")]
+    return scenarios.model_table(rows.select("region", *names))
+
+
+@query("stored_parameter_table", TWINS["parameter_table"])
+def stored_parameter_table(spark, folder):
+    out = posterior.parameter_table(stored_draws(spark, folder), "Philippines")
+    return rounded(out, "q025", "q50", "q975", digits=9)
+
+
+@query("stored_prior_and_posterior", TWINS["prior_and_posterior"])
+def stored_prior_and_posterior(spark, folder):
+    both = posterior.prior_and_posterior(stored_draws(spark, folder), "Philippines", reports.SEED)
+    out = both.groupBy("label", "position", "type", "type_position").agg(
+        row_count().alias("n"), F.min("value").alias("least"), F.max("value").alias("most")
     )
+    return rounded(out, "least", "most")
+
+
+@query("stored_detection_band", TWINS["detection_rate_band"])
+def stored_detection_band(spark, folder):
+    sampled = testing.detection_draws(stored_draws(spark, folder), reports.SEED)
+    return rounded(testing.detection_band(sampled, reports.per_capita(spark, folder)), *reports.Q)
 
 
 @query("model_tables", """

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from epitally.functions.numbers import half_even
 from epitally.operators.filters import in_regions
 from epitally.plans import ages, calibration, scenarios, testing, validation
+from epitally.sources.readers import read_archive
+from epitally.sources.writers import append_run
 
 D = dt.date
 CASES = "region string, admitted date, report date, died date"
@@ -121,6 +123,32 @@ def test_backfill_keeps_days_of_the_latest_run_only(spark, rows):
     ]
 
 
+def test_backfill_of_one_scenario_reads_only_it(spark, folder, rows, plan):
+    base = runs(spark)
+    other = base.withColumns({"scenario": F.lit("S_1"), "local_data_icu": F.col("local_data_icu") + 100})
+    append_run(base.unionByName(other), f"{folder}/archive")
+    archive = read_archive(spark, f"{folder}/archive")
+    one = validation.backfill_runs(archive, scenario="S_0")
+    order = ["model_run_date", "times"]
+    assert rows(one, *order) == rows(validation.backfill_runs(archive).where("scenario = 'S_0'"), *order)
+    scans = [x for x in plan(one).split("== Initial Plan ==")[0].splitlines() if "FileScan" in x and "scenario" in x]
+    assert 0 < len(scans) <= 4 and all("EqualTo(scenario,S_0)" in x for x in scans)
+
+
+def test_cells_of_equal_width_take_one_scan(spark, folder, plan):
+    spark.sql("SELECT 'a' AS region, DATE'2020-08-01' AS reportdate, 7 AS icu_o").write.parquet(f"{folder}/beds")
+    daily = calibration.icu_daily(spark.read.parquet(f"{folder}/beds"), ["region"])
+    text = plan(calibration.icu_regional(daily, D(2019, 12, 31)))
+    assert text.split("== Initial Plan ==")[0].count("FileScan") == 1
+
+
+def test_first_day_of_daily_text_reaches_the_scan(spark, folder, plan):
+    spark.sql("SELECT DATE'2020-08-01' AS onset").write.parquet(f"{folder}/cases")
+    cases = spark.read.parquet(f"{folder}/cases")
+    text = plan(calibration.daily_text(cases, {"notifications": "onset"}, D(2019, 12, 31)))
+    assert "GreaterThan(onset,2020-02-09)" in text
+
+
 def test_split_and_fit(spark, rows):
     base = runs(spark)
     outputs = {"notifications": "n"}

@@ -27,4 +27,4 @@ def test_entry(spark):
 
 def test_twins_belong_to_queries():
     assert set(suite.oracle_sql()) <= set(suite.queries())
-    assert set(QUERIES) - set(TWINS) == {"newest_files"}
+    assert set(QUERIES) == set(TWINS)
