@@ -55,15 +55,16 @@ def bands_vs_reported(uncertainty: DataFrame, reported: DataFrame, scenarios: Se
     return bands(kept).join(series, ["region", "times"], "left")
 
 
-def behaviour_overlay(curve: DataFrame, banded: DataFrame, until: int, cutoff: int = 314,
+def behaviour_overlay(curve: DataFrame, banded: DataFrame, until: int | None = None, cutoff: int = 314,
                       epoch: dt.date = EPOCH_DEC31) -> DataFrame:
-    """The behaviour curve on the scale of each region's bands, its last value held to ``until``.
+    """The behaviour curve on the scale of each region's bands, its last value held to ``until`` or the model's last day.
 
     The scale is twice the highest upper bound of the region. There are as many scales as
     regions, and the curve repeats for each.
     """
     known = curve.where(offset_between(upper=cutoff))
-    whole = carry_forward(known, F.lit(until), "times", "inverse_mhs_values")
+    end = banded.agg(F.max("times")).scalar() if until is None else F.lit(until)
+    whole = carry_forward(known, end, "times", "inverse_mhs_values")
     tops = banded.groupBy("region").agg((F.max("q975") * 2).alias("top"))
     scales = tops.agg(F.array_sort(F.collect_list(F.struct("region", "top")))).scalar()
     return whole.withColumn("_s", F.explode(scales)).select(

@@ -457,21 +457,34 @@ def regional_band_vs_reported(spark, folder):
     return rounded(out, *Q)
 
 
-@query("behaviour_overlay", """
+OVERLAY = """
 WITH k AS (SELECT * FROM behaviour WHERE times <= 1484),
 c AS (SELECT times, inverse_mhs_values AS v, false AS extended FROM k
-  UNION ALL SELECT CAST(unnest(generate_series((SELECT max(times) + 1 FROM k), 1510)) AS INTEGER),
+  UNION ALL SELECT CAST(unnest(generate_series((SELECT max(times) + 1 FROM k), {end})) AS INTEGER),
     (SELECT arg_max(inverse_mhs_values, times) FROM k), true),
 s AS (SELECT region, max(value) * 2 AS top FROM uncertainty
   WHERE scenario = 0 AND type = 'notifications' AND quantile = 0.975 GROUP BY ALL)
 SELECT region, times, DATE '2019-12-31' + times AS date, extended, round(v, 6) AS inverse_mhs_values,
-  round((1 - v) * top, 6) AS scaled FROM c, s""", ["behaviour", "uncertainty"])
+  round((1 - v) * top, 6) AS scaled FROM c, s"""
+
+
+@query("behaviour_overlay", OVERLAY.format(end=1510), ["behaviour", "uncertainty"])
 def behaviour_overlay(spark, folder):
     model = uncertainty(spark, folder).where((F.col("scenario") == 0) & (F.col("type") == "notifications"))
     out = scenarios.behaviour_overlay(views.behaviour(spark, folder), scenarios.bands(model), 1510, cutoff=1484)
     return rounded(out, "inverse_mhs_values", "scaled")
 
 
+@query("behaviour_overlay_to_model_end", OVERLAY.format(
+    end="(SELECT max(times) FROM uncertainty WHERE scenario = 0 AND type = 'notifications')"),
+       ["behaviour", "uncertainty"])
+def behaviour_overlay_to_model_end(spark, folder):
+    """The curve held to the last day of the model's table."""
+    model = uncertainty(spark, folder).where((F.col("scenario") == 0) & (F.col("type") == "notifications"))
+    out = scenarios.behaviour_overlay(views.behaviour(spark, folder), scenarios.bands(model), cutoff=1484)
+    return rounded(out, "inverse_mhs_values", "scaled")
+
+
 INDICATORS = "CASE type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in INDICATOR_LABELS.items()) + " ELSE type END"
 INDICATOR_ROWS = f"""SELECT region, scenario, {INDICATORS} AS type, times, date, reported, {BANDS} FROM (
   SELECT coalesce(u.region, r.region) AS region, u.scenario, coalesce(u.type, r.type) AS type,
