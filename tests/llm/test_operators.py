@@ -372,6 +372,60 @@ def test_passages_of_hot_hashes(docs, monkeypatch):
     assert sorted(map(str, compact_windows.shared_passages(docs).collect())) == plain
 
 
+def brute_passages(left, right, shortest, similarity):
+    """The longest run of ``left`` alike enough to one of ``right``, both with shared ends, by trying all pairs of runs."""
+    every = lambda x: [(x[i], x[j - 1], j - i, set(x[i:j])) for i in range(len(x)) for j in range(i + shortest, len(x) + 1)]
+    best, others = 0, every(right)
+    for first, last, n, mine in every(left):
+        if n > best and any(len(mine & o) >= similarity * len(mine | o) and {first, last} <= o and {c, d} <= mine
+                            for c, d, _, o in others):
+            best = n
+    return best
+
+
+def test_near_passages_in_unrelated_text():
+    rng = np.random.default_rng(7)
+    fresh = lambda n: rng.integers(1, 2**63, n).astype(np.uint64)
+    for n in (46, 50, 60, 76):
+        passage = fresh(n)
+        near = passage.copy()
+        near[n // 2 - 2: n // 2 + 2] = fresh(4)
+        stray = fresh(3)
+        left = np.concatenate([stray[:1], fresh(300), passage, fresh(200), stray[1:]])
+        right = np.concatenate([fresh(100), stray[1:2], fresh(150), near, stray[:1], fresh(120), stray[2:]])
+        found = compact_windows.alike_passages(left, right, [[0, len(left) - 1, 0, len(right) - 1, 301, 251]], 46, 0.8)
+        assert [x[:4] for x in found] == [(301, 301 + n, 251, 251 + n)]
+
+
+def test_two_near_passages_in_one_window():
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(1, 2**63, n).astype(np.uint64)
+    one, two = fresh(60), fresh(50)
+    near = lambda x: np.concatenate([x[:20], fresh(4), x[24:]])
+    left = np.concatenate([fresh(90), one, fresh(80), two, fresh(70)])
+    right = np.concatenate([fresh(30), near(two), fresh(110), near(one), fresh(20)])
+    found = compact_windows.alike_passages(left, right, [[0, len(left) - 1, 0, len(right) - 1, 0, 0]], 46, 0.8)
+    assert sorted(x[:4] for x in found) == [(90, 150, 190, 250), (230, 280, 30, 80)]
+
+
+def test_passages_are_found_where_any_are():
+    rng = np.random.default_rng(9)
+    for _ in range(150):
+        # Few distinct values, so that repeats and stray matches are common.
+        most = int(rng.integers(8, 40))
+        left, right = (rng.integers(1, most, rng.integers(6, 26)).astype(np.uint64) for _ in range(2))
+        at = int(rng.integers(0, 4))
+        right[at: at + 8] = left[at: at + 8] if len(left) >= at + 8 <= len(right) else right[at: at + 8]
+        found = compact_windows.verified(left, right, 5, 0.8)
+        want, got = brute_passages(left.tolist(), right.tolist(), 5, 0.8), max((x[1] - x[0] for x in found), default=0)
+        assert bool(want) == bool(found) and got <= want
+        # With repeats, ends at shingles that stand once come first.
+        assert got == want or len(set(left.tolist())) < len(left) or len(set(right.tolist())) < len(right)
+        for a1, a2, b1, b2, alike in found:
+            x, y = set(left[a1:a2].tolist()), set(right[b1:b2].tolist())
+            assert alike == pytest.approx(len(x & y) / len(x | y)) and alike >= 0.8
+
+
 def test_windows_hold_every_run_once():
     rng = np.random.default_rng(4)
     for values in (rng.integers(0, 2**63, 60).astype(np.uint64), np.zeros(60, np.uint64)):
