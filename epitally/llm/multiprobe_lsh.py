@@ -32,7 +32,6 @@ WIDTH = 2.5
 PROJECTIONS_PER_DOUBLING = 0.6
 SHARD_ROWS = 50_000
 MOST_TOGETHER = 20_000
-SPARE = 4
 SEED = 20
 
 
@@ -211,14 +210,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                                  as_numpy(part.column("k2")), _matrix(part.column("v"))))
                 elif held:
                     ready = ready or tuple(np.concatenate(x) for x in zip(*held))
-                    yield _nearest_of(part, *ready, k + SPARE)
+                    yield _nearest_of(part, *ready, k + 1, largest)
                 begin = end
 
     found = together.mapInArrow(rank, "query_id long, q1 long, q2 long, k1 long, k2 long, score double")
     # Every table and shard gives its nearest; an entry found in several is one candidate.
     candidates = found.groupBy("query_id", "q1", "q2", "k1", "k2").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id", "q1", "q2").orderBy(F.desc("score"), "k1", "k2")
-    short = candidates.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + SPARE).drop("_n")
+    # All that tie with the last one stay until their ids are known; one of them may be the query's own.
+    best = Window.partitionBy("query_id", "q1", "q2").orderBy(F.desc("score"))
+    short = candidates.withColumn("_n", F.rank().over(best)).where(F.col("_n") <= k + 1).drop("_n")
     own = (F.col("vec_id") == F.col("query_id")) & (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2"))
     left = F.least(F.col("copies") - own.cast("int"), F.lit(k))
     each = short.join(members, ["k1", "k2"]).withColumn("_left", left).where("_left > 0").withColumn(
@@ -231,8 +231,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
 
 def _nearest_of(asked: pa.RecordBatch, bucket: np.ndarray, k1: np.ndarray, k2: np.ndarray, vectors: np.ndarray,
-                most: int) -> pa.RecordBatch:
-    """The nearest entries of one shard for each query, among the buckets it visits."""
+                most: int, largest: float) -> pa.RecordBatch:
+    """The nearest entries of one shard for each query, among the buckets it visits, and all that tie with the last."""
     queries, wanted = _matrix(asked.column("v")), asked.column("buckets").to_pylist()
     lines, places, scores = [], [], []
     for i, (query, buckets) in enumerate(zip(queries, wanted)):
@@ -244,11 +244,18 @@ def _nearest_of(asked: pa.RecordBatch, bucket: np.ndarray, k1: np.ndarray, k2: n
         at = np.concatenate([np.arange(b, e) for b, e in spans])
         rough = np.concatenate([vectors[b:e] @ query for b, e in spans])
         if len(at) > most:
-            at = at[np.argpartition(-rough, most - 1)[:most]]
+            # Rough sums may differ in their last bits from the exact ones, so what is as near as that stays.
+            last = np.partition(rough, len(rough) - most)[len(rough) - most]
+            near = np.linalg.norm(query) * largest * len(query) * 1e-15
+            at = at[rough >= last - near]
+        # The same sum for a pair of vectors wherever it is taken.
+        exact = (vectors[at] * query).sum(axis=1)
+        if len(at) > most:
+            kept = exact >= np.partition(exact, len(exact) - most)[len(exact) - most]
+            at, exact = at[kept], exact[kept]
         lines += [i] * len(at)
         places.append(at)
-        # The same sum for a pair of vectors wherever it is taken.
-        scores.append((vectors[at] * query).sum(axis=1))
+        scores.append(exact)
     at = np.concatenate(places) if places else np.zeros(0, np.int64)
     line = pa.array(lines, pa.int64())
     return pa.RecordBatch.from_arrays(

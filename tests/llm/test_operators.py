@@ -525,6 +525,23 @@ def test_nearest(spark):
     assert [r["rank"] for r in few] == [1, 2]
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    # 80 distinct vectors with the same product: signs that agree with the query's in 14 of 16 places.
+    rng = np.random.default_rng(3)
+    flips = [(i, j) for i in range(16) for j in range(i)][:80]
+    query = rng.choice([-1.0, 1.0], 16)
+    ids = rng.permutation(np.arange(1, 81)).tolist()
+    rows = [(0, query.tolist())]
+    for n, (i, j) in zip(ids, flips):
+        v = query.copy()
+        v[[i, j]] *= -1
+        rows.append((n, v.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    # Cells so wide that all are visited.
+    got = multiprobe_lsh.nearest(df, F.col("vec_id") == 0, width=100.0, shard_rows=20, most_together=8).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 12.0) for i in range(1, 21)]
+
+
 # Personal data
 
 PATTERNS = {
