@@ -337,6 +337,20 @@ FROM uncertainty u LEFT JOIN reported r ON u.region = r.region AND u.times = r.t
 WHERE u.type IN ('notifications', 'icu_occupancy', 'accum_deaths') AND quantile IN (0.25, 0.5, 0.75)
 GROUP BY u.region, u.times, u.scenario, u.date, d.run"""
 
+# Raw daily reports, two thirds of them of one region; beds are sometimes missing. The order columns tell all rows apart.
+REPORT_ORDER = ["day", "report_id", "line", "part", "facility", "cost"]
+BED_REPORTS = """
+SELECT CASE WHEN l_suppkey % 3 <> 0 THEN 'NCR' WHEN l_suppkey % 29 = 0 THEN NULL ELSE l_returnflag END AS region,
+  CAST(l_shipdate AS DATE) AS day, l_orderkey AS report_id, l_linenumber AS line, l_partkey AS part,
+  l_suppkey AS facility, l_extendedprice AS cost,
+  CASE WHEN l_orderkey % 7 < 3 THEN NULL ELSE CAST(l_quantity AS INT) END AS beds
+FROM lineitem"""
+
+
+def bed_reports(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.sql(BED_REPORTS.replace("FROM lineitem", "FROM {lines}"), lines=table(spark, folder, "lineitem"))
+
+
 # Views in the order in which they build on each other.
 SQL_VIEWS = {
     "line_list": LINE_LIST,
@@ -353,6 +367,7 @@ SQL_VIEWS = {
     "reported": REPORTED,
     "behaviour": BEHAVIOUR,
     "archived_runs": ARCHIVED_RUNS,
+    "bed_reports": BED_REPORTS,
 }
 NEEDS = {
     "uncertainty": ["uncertainty_raw"],
