@@ -42,14 +42,16 @@ def adjusted_r2(y: Column | str, x: Column | str) -> Column:
 
 
 def daily_counts(cases: DataFrame, by: Sequence[str], dates: dict[str, str],
-                 until: dt.date | None = None, after: dt.date | None = None) -> DataFrame:
+                 until: dt.date | None = None, after: dt.date | None = None, weight: str | None = None) -> DataFrame:
     """Rows per group and day for several date columns, in one scan.
 
     ``dates`` maps a series name to the date column it counts by. A case takes part once per
     date it has, up to ``until`` and later than ``after``. The counts are combined before the shuffle, so a group that
-    holds most cases still sends at most one row per series and day from each task.
+    holds most cases still sends at most one row per series and day from each task. With a ``weight`` a row
+    counts as often as this column says, and groups that add up to nothing are left out.
     """
-    rows = cases.select(*by, *[F.col(c).alias(s) for s, c in dates.items()])
+    weights = [weight] if weight else []
+    rows = cases.select(*by, *weights, *[F.col(c).alias(s) for s, c in dates.items()])
 
     def counts(c: str) -> Column:
         bounds = [F.col(c) <= F.lit(until)] if until is not None else []
@@ -60,10 +62,13 @@ def daily_counts(cases: DataFrame, by: Sequence[str], dates: dict[str, str],
     rows = rows.where(reduce(lambda a, b: a | b, [counts(s) for s in dates]))
     if len(dates) == 1:
         (series,) = dates
-        days = rows.select(F.lit(series).alias("series"), *by, F.col(series).alias("date"))
+        days = rows.select(F.lit(series).alias("series"), *by, *weights, F.col(series).alias("date"))
     else:
-        days = rows.unpivot(list(by), list(dates), "series", "date").where(counts("date"))
-    return days.groupBy("series", *by, "date").agg(row_count().alias("values"))
+        days = rows.unpivot([*by, *weights], list(dates), "series", "date").where(counts("date"))
+    grouped = days.groupBy("series", *by, "date")
+    if not weight:
+        return grouped.agg(row_count().alias("values"))
+    return grouped.agg(F.sum(weight).alias("values")).where(F.col("values") != 0)
 
 
 def with_national(

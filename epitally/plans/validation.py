@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import EPOCH_DEC31, offset_date, weeks_after
@@ -15,6 +15,7 @@ from ..operators.aggregates import adjusted_r2
 from ..operators.joins import merge_series
 from ..operators.reshape import type_quantile_wide
 from ..session import materialize
+from ..sources.versions import read_versions
 
 # A projection is shown for this many days after its run date.
 HORIZON_DAYS = 49
@@ -44,6 +45,13 @@ def run_snapshot(uncertainty: DataFrame, local: DataFrame, run_date: dt.date, ty
     )
 
 
+def read_run_versions(spark: SparkSession, path: str, keys: Sequence[str], columns: Sequence[str],
+                      dates: Sequence[dt.date] | None = None) -> DataFrame:
+    """The runs from an archive of changed cells, stamped as :func:`run_snapshot` stamps them."""
+    runs = read_versions(spark, path, keys, columns, dates, "model_run_date")
+    return runs.withColumns({"data_type": F.lit("calibration"), "data_acquired_date": F.col("model_run_date")})
+
+
 def backfill_runs(runs: DataFrame, metrics: Sequence[str] = ("notifications", "icu", "deaths"),
                   per_region: bool = False, scenario: str | None = None) -> DataFrame:
     """Older runs with the reported values that the latest run brought since.

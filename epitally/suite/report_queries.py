@@ -12,9 +12,10 @@ from ..operators.aggregates import ordered_text
 from ..operators.filters import in_regions
 from ..operators.joins import merge_series
 from ..plans import ages, calibration, posterior, scenarios, structure, testing, validation
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import schemas
 from ..sources.readers import read_archive, read_columns
+from ..sources.versions import append_version, compacted
 from ..sources.writers import append_run, write_table
 from . import views
 from .column_queries import AGE_BAND_SQL
@@ -322,6 +323,44 @@ def run_backfill_by_region(spark, folder):
     )
 
 
+CELL_KEYS = ["region", "scenario", "times", "date"]
+CELLS = [*LOCAL, *[f"{t}_{n}" for t in views.OUTPUTS.values() for n in ("q25", "q50", "q75")]]
+
+
+def versions(spark, folder):
+    """Three runs stored one after the other by what they change, the second one twice."""
+    path = scratch_path(spark, "versions")
+    runs = materialize(views.archived_runs(spark, folder), "runs")
+    first, second, third = views.RUN_DATES
+    for date, rows in ((first, runs), (second, runs.where("times % 2 = 0")), (second, runs), (third, runs)):
+        append_version(rows.where(F.col("model_run_date") == F.lit(date)), path, date, CELL_KEYS, CELLS)
+    return path
+
+
+@query("versioned_backfill", f"""
+WITH {BACKFILL} SELECT model_run_date, data_acquired_date, region, date, times, scenario, {", ".join(LOCAL)},
+  round(notifications_q50, 6) AS notifications_q50 FROM filled""", ["archived_runs"])
+def versioned_backfill(spark, folder):
+    """The back-fill from an archive of changed cells equals the one from full copies."""
+    runs = validation.read_run_versions(spark, versions(spark, folder), CELL_KEYS, CELLS)
+    return rounded(validation.backfill_runs(runs), "notifications_q50").select(
+        "model_run_date", "data_acquired_date", "region", "date", "times", "scenario", *LOCAL, "notifications_q50"
+    )
+
+
+@query("stored_versions", f"""
+WITH cells AS (SELECT model_run_date AS run, region, scenario, times, date, unnest({CELLS}) AS cell,
+    unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in CELLS)}]) AS value FROM archived_runs)
+SELECT n.run AS run_date, count(*) AS cells,
+  count(*) FILTER (o.cell IS NULL OR n.value IS DISTINCT FROM o.value) AS stored
+FROM cells n LEFT JOIN cells o ON o.run = n.run - 7 AND n.region = o.region AND n.scenario = o.scenario
+  AND n.times = o.times AND n.date = o.date AND n.cell = o.cell
+GROUP BY n.run""", ["archived_runs"])
+def stored_versions(spark, folder):
+    """Cells stored per run against those a full copy would hold."""
+    return compacted(spark, versions(spark, folder), CELL_KEYS, CELLS)
+
+
 SPLIT = f"""{BACKFILL},
 long AS ({" UNION ALL ".join(
     f"SELECT model_run_date, data_acquired_date, region, scenario, times, date, '{m}' AS metric, "

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_offset, parse_iso_date
 from ..operators.aggregates import daily_counts, ordered_text, row_count
+from ..operators.changes import changes, daily_changes, merged_counts
 from ..plans import calibration, posterior, scenarios, testing, validation
 from ..session import materialize, scratch_path
 from ..sources import schemas
@@ -209,3 +210,37 @@ def run_archive(spark, folder):
         F.max("notifications_q50").alias("top"),
     )
     return rounded(out, "top")
+
+
+def two_drops(spark, folder):
+    """An older drop, with rows missing, altered, later taken away and repeated, and the one after it."""
+    new = views.line_list(spark, folder)
+    old = new.where("case_id % 11 <> 0").withColumn("report", F.expr("if(case_id % 13 = 0, report + 2, report)"))
+    gone = new.where("case_id % 17 = 0").withColumn("case_id", F.expr("-case_id - 1"))
+    return old.unionByName(gone).unionByName(new.where("case_id % 19 = 0")), new
+
+
+OLD_DROP = """old AS (
+  SELECT * REPLACE (CASE WHEN case_id % 13 = 0 THEN report + 2 ELSE report END AS report) FROM line_list WHERE case_id % 11 <> 0
+  UNION ALL SELECT * REPLACE (-case_id - 1 AS case_id) FROM line_list WHERE case_id % 17 = 0
+  UNION ALL SELECT * FROM line_list WHERE case_id % 19 = 0)"""
+
+
+@query("drop_changes", f"""
+WITH {OLD_DROP}, signed AS (SELECT *, 1 AS n FROM line_list UNION ALL SELECT *, -1 FROM old)
+SELECT * EXCLUDE n, CAST(sum(n) AS BIGINT) AS change FROM signed GROUP BY ALL HAVING sum(n) <> 0""", ["line_list"])
+def drop_changes(spark, folder):
+    """Rows by which a drop differs from the one before it."""
+    return changes(*two_drops(spark, folder))
+
+
+@query("counts_after_drop", """
+SELECT 'cases' AS series, region, report AS date, count(*) AS values FROM line_list WHERE report IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'deaths', region, died, count(*) FROM line_list WHERE died IS NOT NULL GROUP BY ALL""", ["line_list"])
+def counts_after_drop(spark, folder):
+    """Counts of the older drop brought up to date by the changes; equal to counting the new drop."""
+    old, new = two_drops(spark, folder)
+    dates = {"cases": "report", "deaths": "died"}
+    stored = materialize(daily_counts(old, ["region"], dates), "counts")
+    delta = daily_changes(changes(old, new), ["region"], dates)
+    return merged_counts(stored, delta)
