@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import join_null_safe
+from .joins import join_groups
 from .quantiles import exact_quantiles
 
 # The reach of the bins beyond the data in bandwidths, and the grid size.
@@ -56,7 +56,7 @@ def density(draws: DataFrame, panel: Sequence[str], by: Sequence[str], value: st
         "step", (F.col("to") - F.col("from") + F.lit(2 * REACH) * F.col("bw")) / last
     )
     placed = (
-        join_null_safe(draws.where(F.col(value).isNotNull()).select(*keys, value), shape, keys, "inner")
+        join_groups(draws.where(F.col(value).isNotNull()).select(*keys, value), shape, keys, "n")
         .withColumn("_pos", (F.col(value) - F.col("low")) / F.col("step"))
         .withColumn("bin", F.floor("_pos").cast("int"))
     )

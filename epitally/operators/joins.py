@@ -18,6 +18,25 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+# Groups that may be set beside rows by broadcast: as many as can each hold a thousandth of all rows.
+LARGE_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+    """Rows beside the row of their group, of which ``size`` says how many rows it has; missing keys meet.
+
+    No task gets a large group: the groups with more than a thousandth of all rows, hence fewer than a thousand, are
+    broadcast, and the others, when there are any more, are joined by key. ``groups`` must be a written table.
+    """
+    count, total = groups.agg(F.count(F.lit(1)), F.sum(size)).first()
+    if count <= LARGE_GROUPS:
+        return join_null_safe(rows, F.broadcast(groups), keys, "inner")
+    large = F.coalesce(F.col(size) * LARGE_GROUPS > total, F.lit(False))
+    return join_null_safe(rows, F.broadcast(groups.where(large)), keys, "inner").unionByName(
+        join_null_safe(rows, groups.where(~large), keys, "inner")
+    )
+
+
 def group_statistic(df: DataFrame, by: Sequence[str], aggregates: Sequence) -> DataFrame:
     """A statistic of each group set beside its rows.
 

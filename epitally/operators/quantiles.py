@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import join_null_safe
+from .joins import join_groups, join_null_safe
+from .ranges import prefix_scan
 
 
 def bounded_quantiles(value: Column | str, probs: dict[float, str]) -> list[Column]:
@@ -25,6 +26,8 @@ def bounded_quantiles(value: Column | str, probs: dict[float, str]) -> list[Colu
 
 # One over the share of a group's ranks by which an approximate quantile may be off.
 ACCURACY = 10_000
+# Bracketed values of a group that one task may put in order.
+IN_TASK = 1_000_000
 
 
 def exact_quantiles(
@@ -34,14 +37,17 @@ def exact_quantiles(
     probs: dict[float, str],
     extra: Sequence[Column] = (),
     accuracy: int = ACCURACY,
+    in_task: int = IN_TASK,
 ) -> DataFrame:
     """Quantiles of groups of any size, exact and without gathering a group, in two passes.
 
     The first pass finds the size of each group and, from a mergeable sketch with a stated error, values
     on both sides of each wanted rank; a group of no more values than the sketch keeps is bracketed by its ends.
     The second keeps the distinct values inside the brackets and only a count of the values in each gap between
-    them. Both combine before their shuffle. A group without values gets missing quantiles. ``extra``
-    aggregates ride along in the first pass.
+    them. Both combine before their shuffle, and no task meets a group's raw rows. What is inside the brackets of a
+    group is ordered in one task up to ``in_task`` values, and in range partitions beyond. A rank that no
+    bracket holds is an error. A group without values gets missing quantiles. ``extra`` aggregates ride along
+    in the first pass.
     """
     keys = list(by)
     number = F.col(value).cast("double")
@@ -63,7 +69,9 @@ def exact_quantiles(
     }
     sizes = materialize(found.withColumns(ends).drop("_min", "_max", "_near"), "sizes")
     values = rows.where(F.col("_v").isNotNull()).select(*keys, "_v")
-    steps = _distribution(values, keys, sizes, len(wanted))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    ordered_in_task = min(largest, 2 * margin * len(wanted) * largest + 2 * accuracy) <= in_task
+    steps = _distribution(values, keys, sizes, len(wanted), ordered_in_task)
     out = steps.groupBy(*keys).agg(*[_interpolated(p).alias(n) for p, n in zip(wanted, probs.values())])
     riders = [c for c in sizes.columns if c not in (*keys, "_n", "_lo", "_hi")]
     out = join_null_safe(sizes.select(*keys, *riders), out, keys, "left").select(*keys, *probs.values(), *riders)
@@ -80,28 +88,31 @@ def _holds(rank: Column) -> Column:
     return (F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum"))
 
 
-def _distribution(values: DataFrame, keys: list[str], brackets: DataFrame, count: int) -> DataFrame:
-    """The values inside the brackets and the gaps between them, in order, with cumulative counts."""
+def _distribution(values: DataFrame, keys: list[str], brackets: DataFrame, count: int, in_task: bool) -> DataFrame:
+    """The values inside the brackets and the gaps between them, with cumulative counts in their order."""
     v = F.col("_v")
     inside = reduce(
         lambda x, y: x | y, [(v >= F.col("_lo")[j]) & (v <= F.col("_hi")[j]) for j in range(count)]
     )
     # A value in a gap is known by the number of brackets that lie below it.
     gap = reduce(lambda x, y: x + y, [(v > F.col("_hi")[j]).cast("int") for j in range(count)])
-    group = Window.partitionBy(*keys)
-    return (
-        join_null_safe(values, brackets.select(*keys, "_n", "_lo", "_hi"), keys, "inner")
+    steps = (
+        join_groups(values, brackets.select(*keys, "_n", "_lo", "_hi"), keys, "_n")
         .groupBy(*keys, "_n", F.when(inside, v).alias("_exact"), F.when(~inside, gap).alias("_gap"))
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"))
-        .withColumn("_cum", F.sum("_c").over(group.orderBy("_least").rowsBetween(Window.unboundedPreceding, 0)))
     )
+    if not in_task:
+        return prefix_scan(materialize(steps, "steps"), keys, ["_least"], sums={"_cum": "_c"})
+    order = Window.partitionBy(*keys).orderBy("_least").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn("_cum", F.sum("_c").over(order))
 
 
 def _interpolated(prob: float) -> Column:
     low, high = _ranks(prob)
 
     def at(rank: Column) -> Column:
-        return F.max(F.when(_holds(rank), F.col("_exact")))
+        found = F.max(F.when(_holds(rank), F.col("_exact")))
+        return F.coalesce(found, F.raise_error(F.lit(f"no bracket holds the rank of quantile {prob}")).cast("double"))
 
     part = F.max(F.lit(prob) * (F.col("_n") - 1) - low)
     # Equal ends, infinite ones too, need no interpolation.

@@ -6,12 +6,12 @@ runs again on another executor draws the same numbers.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normal import normal_quantile, upper_tail
 from ..session import materialize
 from .joins import join_null_safe
 
@@ -19,8 +19,8 @@ from .joins import join_null_safe
 LEAD_DIGITS = 3
 # Parts into which the candidates of one group are split before the last choice.
 SALTS = 1024
-# Further pairs of candidates for a normal cut off below; each pair fails less than half the time.
-MORE_PAIRS = 64
+# The session's setting up to which Spark cuts ranked rows before their shuffle, and its default.
+CUT_IN_TASK, CUT_DEFAULT = "spark.sql.optimizer.windowGroupLimitThreshold", 1000
 
 
 def draw_hash(key: Column | str, seed: int, *parts: Column | str) -> Column:
@@ -35,16 +35,8 @@ def hash_uniform(digest: Column, start: int = 1) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def sample_rows(df: DataFrame, by: Sequence[str], n: int, key: str, seed: int, rank: str = "id") -> DataFrame:
-    """n rows of each group without replacement, numbered from 1 in random order.
-
-    The rows of a group are those whose hashes come first. A first pass counts hashes by their
-    leading digits and so finds where the n-th lies; a second keeps the rows up to there and
-    orders only those. What is left of a group is cut to n per task, then per salt, then per
-    group, so that no task sees more than n rows from each salt. The salt is the partition a
-    row was read in; it cannot change which rows come first.
-    """
-    hashed = df.withColumn("_h", draw_hash(key, seed))
+def _near_enough(hashed: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """The rows whose hashes begin no later than the n-th: hashes are counted by their leading digits first."""
     lead = F.substring("_h", 1, LEAD_DIGITS)
     counts = hashed.groupBy(*by, lead.alias("_lead")).agg(F.count(F.lit(1)).alias("_c"))
     before = F.coalesce(
@@ -57,10 +49,25 @@ def sample_rows(df: DataFrame, by: Sequence[str], n: int, key: str, seed: int, r
         F.max("_lead").alias("_last")
     )
     kept = join_null_safe(hashed, materialize(last, "sample"), by, "inner").where(lead <= F.col("_last"))
+    return kept.drop("_last")
+
+
+def sample_rows(df: DataFrame, by: Sequence[str], n: int, key: str, seed: int, rank: str = "id") -> DataFrame:
+    """n rows of each group without replacement, numbered from 1 in random order.
+
+    The rows of a group are those whose hashes come first, a state that can be merged: every task keeps its first n
+    of each group before any shuffle, those are cut to n per salt, then per group, so no task sees more than n rows
+    from each task or salt and a group of any size is read once. The salt is the partition a
+    row was read in; it cannot change which rows come first. Spark cuts rows in their task for an n up to ``CUT_IN_TASK``;
+    for a larger one a pass before that counts hashes and leaves out most rows.
+    """
+    hashed = df.withColumn("_h", draw_hash(key, seed))
+    cut = int(df.sparkSession.conf.get(CUT_IN_TASK, str(CUT_DEFAULT)))
+    kept = hashed if n <= cut else _near_enough(hashed, by, n)
 
     # Equal keys are told apart by the other columns, so that the choice never depends on where rows lie.
     order = [F.col("_h"), F.col(key), *[F.col(c) for c in df.columns if c != key and c not in by]]
-    marked = kept.drop("_last").withColumn("_salt", F.spark_partition_id() % F.lit(SALTS))
+    marked = kept.withColumn("_salt", F.spark_partition_id() % F.lit(SALTS))
     first = (
         marked.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order)))
         .where(F.col("_r") <= n)
@@ -73,19 +80,13 @@ def sample_rows(df: DataFrame, by: Sequence[str], n: int, key: str, seed: int, r
     )
 
 
-def _normals(u: Column, v: Column) -> list[Column]:
-    """Two draws from a normal with mean ``a`` and deviation ``b`` from two uniform ones."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(u))
-    angle = F.lit(2.0 * math.pi) * v
-    return [F.col("a") + F.col("b") * radius * F.cos(angle), F.col("a") + F.col("b") * radius * F.sin(angle)]
-
-
 def prior_draws(anchors: DataFrame, key: str, priors: Sequence[dict], seed: int, name: str = "name",
                 value: str = "value") -> DataFrame:
     """One draw from each prior per anchor row.
 
-    A prior is uniform (``low``, ``high``) or normal cut off below (``mean``, ``sd``, ``lower``).
-    A cut normal takes its first candidate that is not below the bound.
+    A prior is uniform (``low``, ``high``) or normal cut off below (``mean``, ``sd``, ``lower``). A cut normal is drawn by
+    inversion: a uniform number scaled to the chance that is left above the bound, counted from the upper end,
+    is the chance above the draw. So every draw takes one number, whatever the bound.
     """
     specs = F.array(*[
         F.struct(
@@ -93,34 +94,17 @@ def prior_draws(anchors: DataFrame, key: str, priors: Sequence[dict], seed: int,
             F.lit(p["kind"] == "uniform").alias("uniform"),
             F.lit(float(p["low"] if p["kind"] == "uniform" else p["mean"])).alias("a"),
             F.lit(float(p["high"] - p["low"] if p["kind"] == "uniform" else p["sd"])).alias("b"),
+            F.lit(1.0 if p["kind"] == "uniform" else upper_tail((p["lower"] - p["mean"]) / p["sd"])).alias("left"),
             F.lit(float(p.get("lower", p.get("low", 0.0)))).alias("lower"),
         )
         for p in priors
     ])
-    hashed = anchors.select(key, F.explode(specs).alias("s")).select(
-        key, "s.*", *[draw_hash(key, seed, F.col("s.name"), str(i)).alias(f"_d{i}") for i in range(4)]
+    drawn = anchors.select(key, F.explode(specs).alias("s")).select(
+        key, "s.*", hash_uniform(draw_hash(key, seed, F.col("s.name"), F.lit("0"))).alias("u")
     )
-    uniforms = hashed.select(
-        key, "name", "uniform", "a", "b", "lower",
-        *[hash_uniform(F.col(f"_d{i}"), start).alias(f"_u{i}{part}")
-          for i in range(4) for part, start in (("a", 1), ("b", 14))],
+    # Rounding must not carry a draw over the bound.
+    normal = F.greatest(F.col("a") - F.col("b") * normal_quantile(F.col("u") * F.col("left")), F.col("lower"))
+    return drawn.select(
+        key, F.col("name").alias(name),
+        F.when(F.col("uniform"), F.col("a") + F.col("b") * F.col("u")).otherwise(normal).alias(value),
     )
-    candidates = [c for i in range(4) for c in _normals(F.col(f"_u{i}a"), F.col(f"_u{i}b"))]
-    # Rows whose eight candidates all fail, a few in a million for the usual priors, draw the part that is
-    # left directly: above the mean by a proposal that lies beyond the bound and is taken with the chance of its
-    # excess, else by more normals.
-    cut = (F.col("lower") - F.col("a")) / F.col("b")
-
-    def again(i: Column) -> Column:
-        digest = draw_hash(key, seed, F.col("name"), i.cast("string"))
-        u, v = hash_uniform(digest), hash_uniform(digest, 14)
-        beyond = F.sqrt(cut * cut - 2 * F.log(u))
-        tail = F.when(v * beyond <= cut, F.col("a") + F.col("b") * beyond)
-        plain = _normals(u, v)[0]
-        return F.when(cut > 0, tail).otherwise(F.when(plain >= F.col("lower"), plain))
-
-    more = F.filter(F.transform(F.sequence(F.lit(4), F.lit(4 + MORE_PAIRS)), again), lambda c: c.isNotNull())
-    last = F.col("a") + F.col("b") * F.sqrt(F.greatest(cut, F.lit(0.0)) ** 2 - 2 * F.log(F.col("_u0a")))
-    normal = F.coalesce(*[F.when(c >= F.col("lower"), c) for c in candidates], F.get(more, 0), last)
-    drawn = F.when(F.col("uniform"), F.col("a") + F.col("b") * F.col("_u0a")).otherwise(normal)
-    return uniforms.select(key, F.col("name").alias(name), drawn.alias(value))

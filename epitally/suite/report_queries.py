@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions import normal
 from ..functions.bands import AGE_LEVELS, BAND_STARTS
 from ..functions.labels import HOSPITAL_REGIONS, HOSPITAL_REGIONS_SHORT, INDICATOR_LABELS, recode
 from ..operators.aggregates import ordered_text
@@ -626,26 +627,43 @@ def parameter_table(spark, folder):
     return rounded(posterior.parameter_table(draws(spark, folder), "Philippines"), "q025", "q50", "q975", digits=9)
 
 
+def _ratio_sql(x, pair):
+    def polynomial(coefficients):
+        out = f"{coefficients[-1]!r}::DOUBLE"
+        for c in reversed(coefficients[:-1]):
+            out = f"({out} * {x} + {c!r}::DOUBLE)"
+        return out
+
+    return f"({polynomial(pair[0])} / {polynomial(pair[1])})"
+
+
+# A normal cut off below, from a uniform number: chances above the draw, scaled to what is left above the bound.
+NORMAL_SQL = f"""CASE WHEN abs(q) <= 0.425 THEN q * {_ratio_sql("(0.180625::DOUBLE - q * q)", normal.MIDDLE)}
+  ELSE sign(q) * CASE WHEN r <= 5 THEN {_ratio_sql("(r - 1.6::DOUBLE)", normal.TAIL)} ELSE {_ratio_sql("(r - 5)", normal.FAR)} END END"""
+
+
 def _prior_value(p):
     if p["kind"] == "uniform":
-        return f"CAST({p['low']} AS DOUBLE) + CAST({p['high'] - p['low']!r} AS DOUBLE) * u0a"
-    turns = [
-        f"{p['mean']}::DOUBLE + {p['sd']}::DOUBLE * sqrt(-2.0::DOUBLE * ln(u{i}a)) * {f}(2.0::DOUBLE * pi() * u{i}b)"
-        for i in range(4) for f in ("cos", "sin")
-    ]
-    return "coalesce(" + ", ".join(f"CASE WHEN {t} >= {p['lower']} THEN {t} END" for t in turns) + ")"
+        return f"CAST({p['low']} AS DOUBLE) + CAST({p['high'] - p['low']!r} AS DOUBLE) * u"
+    return f"greatest({p['mean']}::DOUBLE - {p['sd']}::DOUBLE * z, {p['lower']}::DOUBLE)"
 
 
-UNIFORMS = ", ".join(
-    f"(CAST('0x' || substr(d{i}, {start}, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) "
-    f"AS u{i}{part}" for i in range(4) for part, start in (("a", 1), ("b", 14))
-)
-PRIOR_SQL = f"""prior AS (SELECT draw_id, name, CASE name {" ".join(
-    f"WHEN '{p['name']}' THEN {_prior_value(p)}" for p in posterior.PRIORS)} END AS value
-  FROM (SELECT draw_id, name, {UNIFORMS} FROM (
-    SELECT draw_id, name, {", ".join(f"md5(draw_id || '|' || name || '|{i}|{SEED}') AS d{i}" for i in range(4))}
+def _prior_left(p):
+    return 1.0 if p["kind"] == "uniform" else normal.upper_tail((p["lower"] - p["mean"]) / p["sd"])
+
+
+def _by_name(value):
+    return f"""CASE name {" ".join(f"WHEN '{p['name']}' THEN {value(p)}" for p in posterior.PRIORS)} END"""
+
+
+PRIOR_SQL = f"""prior AS (SELECT draw_id, name, {_by_name(_prior_value)} AS value
+  FROM (SELECT *, {NORMAL_SQL} AS z
+  FROM (SELECT *, p - 0.5::DOUBLE AS q, sqrt(-ln(least(p, 1 - p))) AS r
+  FROM (SELECT *, u * {_by_name(lambda p: f"{_prior_left(p)!r}::DOUBLE")} AS p
+  FROM (SELECT draw_id, name, (CAST('0x' || substr(md5(draw_id || '|' || name || '|0|{SEED}'), 1, 13) AS BIGINT)
+      + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u
     FROM (SELECT draw_id FROM draws WHERE name = 'contact_rate' AND region = 'Philippines'),
-      (SELECT unnest([{", ".join(f"'{p['name']}'" for p in posterior.PRIORS)}]) AS name))))"""
+      (SELECT unnest([{", ".join(f"'{p['name']}'" for p in posterior.PRIORS)}]) AS name))))))"""
 
 
 @query("prior_samples", f"WITH {PRIOR_SQL} SELECT draw_id, name, round(value, 6) AS value FROM prior", ["draws"])

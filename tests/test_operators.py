@@ -2,14 +2,17 @@
 
 import datetime as dt
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from epitally.functions.normal import normal_quantile, upper_tail
 from epitally.operators import aggregates as A
 from epitally.operators import filters as L
 from epitally.operators import joins as J
+from epitally.operators import quantiles, ranges
 from epitally.operators import reshape as R
 from epitally.operators import series as S
 from epitally.operators.density import density
@@ -214,12 +217,79 @@ def test_prior_cut_far_out(spark):
     assert min(drawn) >= 6.0 and np.mean(drawn) == pytest.approx(6.158, abs=0.03)
 
 
+@pytest.mark.parametrize("lower", [-6.0, 0.0, 0.01, 0.5, 6.0])
+def test_cut_normals_follow_their_distribution(spark, lower):
+    """Shares below exact quantiles of the cut normal, at bounds in the middle, just above it and far out."""
+    prior = [{"name": "p", "kind": "normal", "mean": 2.0, "sd": 3.0, "lower": 2.0 + 3.0 * lower}]
+    n, normal = 40_000, NormalDist()
+    drawn = np.array([r.value for r in prior_draws(spark.range(n), "id", prior, 5).collect()])
+    left = upper_tail(lower)
+    assert drawn.min() >= 2.0 + 3.0 * lower
+    for p in (0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98):
+        exact = 2.0 - 3.0 * normal.inv_cdf(left * (1 - p))
+        assert np.mean(drawn <= exact) == pytest.approx(p, abs=4.5 * (p * (1 - p) / n) ** 0.5)
+
+
+def test_normal_quantile(spark):
+    ps = [1e-300, 1e-20, 1e-9, 0.001, 0.07, 0.0751, 0.3, 0.5, 0.7, 0.925, 0.99, 1 - 1e-12]
+    got = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, -0.5, None]], "p double").select(normal_quantile(F.col("p"))).collect()
+    assert [r[0] for r in got[:-4]] == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-13, abs=1e-15)
+    assert [r[0] for r in got[-4:]] == [-math.inf, math.inf, None, None]
+
+
+def test_samples_of_one_large_group(spark, plan):
+    """One scan, no count before it, and the same rows as by a plain sort; more rows than Spark cuts in tasks, too."""
+    df = spark.range(300_000).select(F.when(F.col("id") >= 0, "hot").alias("g"), "id").repartition(16)
+    h = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit("4")).cast("binary"))
+    for n in (500, 3000):
+        got = sample_rows(df, ["g"], n, "id", seed=4, rank="n")
+        want = [r["id"] for r in df.orderBy(h, "id").limit(n).collect()]
+        assert [r["id"] for r in got.orderBy("n").collect()] == want
+    text = plan(sample_rows(df, ["g"], 500, "id", seed=4, rank="n"))
+    assert text.split("Initial Plan")[0].count("Range (") == 1 and text.count("WindowGroupLimit") >= 4 and "Broadcast" not in text
+
+
 def test_exact_quantiles_of_a_missing_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
     out = {r.g: r.m for r in exact_quantiles(df, ["g"], "v", {0.5: "m"}).collect()}
     assert out == {None: 2.0, "a": 5.0}
 
 
+def test_quantiles_of_one_large_group(spark, monkeypatch):
+    """Values in brackets are ordered in range partitions, no more than its share in any; nothing is gathered by group."""
+    df = spark.range(400_000).select(F.when(F.col("id") >= 0, "hot").alias("g"), (F.col("id") * 7919 % 400_000).cast("double").alias("v"))
+    probs = {0.025: "a", 0.5: "b", 0.975: "c"}
+    seen = []
+
+    def scan(steps, *rest, **named):
+        seen.append(ranges.in_ranges(steps, ["g"], ["_least"]).groupBy(ranges.PART).count().collect())
+        return ranges.prefix_scan(steps, *rest, **named)
+
+    monkeypatch.setattr(quantiles, "prefix_scan", scan)
+    off = {"spark.sql.autoBroadcastJoinThreshold": -1, "spark.sql.adaptive.coalescePartitions.enabled": False}
+    for name, setting in off.items():
+        spark.conf.set(name, setting)
+    try:
+        got = exact_quantiles(df, ["g"], "v", probs, accuracy=200, in_task=1000).first()
+        many = exact_quantiles(df.unionByName(spark.range(3000).select(F.col("id").cast("string").alias("g"), F.lit(1.0).alias("v"))),
+                               ["g"], "v", probs, accuracy=200).where("g in ('hot', '77')").orderBy("g").collect()
+    finally:
+        for name in off:
+            spark.conf.unset(name)
+    want = [399_999 * p for p in probs]
+    assert list(got)[1:] == pytest.approx(want) and list(many[1])[1:] == pytest.approx(want) and list(many[0])[1:] == [1.0] * 3
+    sizes = [r["count"] for r in seen[0]]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+
+
+def test_a_rank_outside_every_bracket_is_an_error(spark, monkeypatch):
+    df = spark.range(5000).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
+    wrong = lambda *_: F.array(*[F.lit(float(x)) for x in (10, 20)])
+    monkeypatch.setattr(quantiles.F, "percentile_approx", wrong)
+    with pytest.raises(Exception, match="no bracket holds"):
+        exact_quantiles(df, ["g"], "v", {0.5: "m"}, accuracy=100).collect()
+
+
 def test_bounded_quantiles(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "v double")
     row = df.agg(*bounded_quantiles("v", {0.025: "a", 0.5: "b", 0.975: "c"})).first()
