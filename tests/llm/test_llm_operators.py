@@ -11,6 +11,8 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import tiktoken
@@ -525,6 +527,53 @@ def test_nearest(spark):
     assert [r["rank"] for r in few] == [1, 2]
 
 
+def recall(spark, folder, vectors, every):
+    """Share of the true nearest that queries find through the operator, and rows per query."""
+    table = pa.table({"vec_id": np.arange(len(vectors)), "embedding": pa.FixedSizeListArray.from_arrays(vectors.ravel(), vectors.shape[1]).cast(pa.list_(pa.float64()))})
+    pq.write_table(table, f"{folder}/vectors.parquet", row_group_size=5000)
+    found = collections.defaultdict(set)
+    for r in multiprobe_lsh.nearest(spark.read.parquet(folder), F.col("vec_id") % every == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    scores = vectors[::every] @ vectors.T
+    scores[np.arange(len(scores)), np.arange(0, len(vectors), every)] = -np.inf
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    return np.mean([len(found[i * every] & set(b.tolist())) / 20 for i, b in enumerate(best)]), min(map(len, found.values()))
+
+
+@pytest.mark.parametrize("n,every", [(10_000, 100), (50_000, 1000)])
+def test_recall_does_not_fall_with_size(spark, folder, n, every):
+    vectors = np.random.default_rng(7).normal(size=(n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    share, least = recall(spark, folder, vectors, every)
+    assert share >= 0.95 and least == 20
+
+
+@pytest.mark.parametrize("lengths", [{3: 100.0}, {3: 5.0, 4: 1e-9}, "spread", {i: 1e-170 for i in range(600)}])
+def test_recall_with_unequal_norms(spark, folder, lengths):
+    """A few vectors much longer or shorter than all others, norms over many powers of two, and squares that vanish."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(6000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    factors = np.exp(rng.normal(size=6000) * 2) if lengths == "spread" else np.ones(6000)
+    if lengths != "spread":
+        factors[list(lengths)] = list(lengths.values())
+    share, least = recall(spark, folder, vectors * factors[:, None], 60)
+    assert share >= 0.95 and least == 20
+
+
+def test_queries_with_few_candidates_look_everywhere(spark):
+    """Cells so narrow that a query meets hardly any vector."""
+    units = np.random.default_rng(9).normal(size=(900, 8))
+    rows = list(enumerate((units / np.linalg.norm(units, axis=1)[:, None]).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multiprobe_lsh.nearest(df, F.col("vec_id") % 300 == 0, width=0.01, shard_rows=200).collect()
+    vectors = np.array([v for _, v in rows])
+    for q in (0, 300, 600):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == np.argsort(-scores)[:20].tolist()
+
+
 def test_ties_go_to_the_smaller_id(spark):
     # 80 distinct vectors with the same product: signs that agree with the query's in 14 of 16 places.
     rng = np.random.default_rng(3)
