@@ -6,9 +6,10 @@ Krichevsky-Trofimov's; weighting mixes, half and half, its estimate with the pro
 children's, at all depths. Block probabilities depend on counts alone, so the counts come from
 one distributed aggregation.
 
-A context is kept when it holds at least ``min_share`` of all training bytes. At most
-``1 / min_share`` contexts per depth can, whatever the size of the corpus, which is the proven bound
-on the model; all rarer children of a context are pooled in one further child, the rest.
+Every context that occurs is kept, so the model grows with the corpus and is never in one place. Its nodes are dealt over
+buckets by the three bytes before; a bucket holds whole subtrees, and only what their roots weigh, at most 256 * 256
+contexts of two bytes with 255 decisions each, is gathered. Texts are cut into chunks: the distinct codes of a
+chunk, a byte with the bytes before it, go to their buckets, and their log-probabilities come back.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ from pyspark.sql import functions as F
 from .common import as_numpy, shared_table, text_groups
 
 DEPTH = 5
-MIN_SHARE = 1 / 4096
+# Levels of the tree that are gathered; deeper nodes lie in buckets of about so many codes.
+TOP = 2
+BUCKET_CODES = 500_000
+# Characters of a chunk. A chunk asks once for each of its codes.
+CHUNK_CHARS = 32_000_000
 # A byte that no UTF-8 text holds: it ends each text and stands before the next one's start.
 END = 0xFF
 CHARS_AT_ONCE = 500_000
@@ -87,12 +92,11 @@ def context_counts(docs: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for s, e in text_groups(texts, CHARS_AT_ONCE):
-                found = np.sort(codes(*padded(texts[s:e], depth), depth))
+                found = pa.array(codes(*padded(texts[s:e], depth), depth).view(np.int64)).value_counts()
                 if not len(found):
                     continue
-                starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-                parts.append((found[starts], np.diff(np.append(starts, len(found)))))
-                held += len(starts)
+                parts.append((as_numpy(found.field("values")).view(np.uint64), as_numpy(found.field("counts"))))
+                held += len(found)
                 if held > 2 * MOST_COUNTED:
                     parts = [combined()]
                     held = len(parts[0][0])
@@ -126,128 +130,303 @@ def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
-def bit_counts(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each node 1..255 of the byte's eight decisions, from counts per byte (rows x 256)."""
-    n = len(byte_counts)
-    zeros, ones = np.zeros((n, 256), np.int64), np.zeros((n, 256), np.int64)
-    below = byte_counts
-    for bit in range(7, -1, -1):
-        halves = below.reshape(n, 1 << bit, 2)
-        zeros[:, 1 << bit: 2 << bit], ones[:, 1 << bit: 2 << bit] = halves[:, :, 0], halves[:, :, 1]
-        below = halves.sum(axis=2)
-    return zeros, ones
+def decisions(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight nodes that lead to each code's byte and the bits taken there, a row per code."""
+    byte = code & np.uint64(255)
+    shifts = np.arange(8, 0, -1, dtype=np.uint64)
+    nodes = (np.uint64(1) << (np.uint64(8) - shifts)) | (byte[:, None] >> shifts)
+    return nodes, (byte[:, None] >> (shifts - np.uint64(1))) & np.uint64(1)
+
+
+def node_keys(code: np.ndarray, nodes: np.ndarray, depth: int) -> np.ndarray:
+    """The context of ``depth`` bytes before each code, then the node, as one number."""
+    context = (code >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+    return (context[:, None] << np.uint64(8)) | nodes
+
+
+def parent_keys(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The same nodes a level up, at contexts of ``depth`` bytes."""
+    return ((keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8) | (keys & np.uint64(255))
+
+
+@dataclass
+class Level:
+    """Nodes of all contexts of one length: counts, the log-probability of their weighted subtree, their own weight."""
+
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def deepest(cls, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> "Level":
+        return cls(keys, zeros, ones, kt_block(zeros, ones), np.ones(len(keys)))
+
+    @classmethod
+    def above(cls, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> "Level":
+        """Half a context's own estimate, half the product of its children's."""
+        own = kt_block(zeros, ones)
+        weighted = np.logaddexp(own, below) + math.log(0.5)
+        return cls(keys, zeros, ones, weighted, np.exp(own + math.log(0.5) - weighted))
+
+    def up(self, depth: int) -> tuple[np.ndarray, ...]:
+        """Sums over children: keys, zeros, ones and the log-probabilities of the level of ``depth`` bytes."""
+        keys, at = np.unique(parent_keys(self.keys, depth), return_inverse=True)
+        return (keys, *(np.bincount(at, x, len(keys)) for x in (self.zeros, self.ones, self.weighted)))
+
+
+def lower_levels(code: np.ndarray, n: np.ndarray, depth: int, low: int) -> list[Level]:
+    """The levels from ``low`` to ``depth`` over the codes of a bucket and how often they occur."""
+    nodes, bits = decisions(code)
+    keys, at = np.unique(node_keys(code, nodes, depth).ravel(), return_inverse=True)
+    times = np.repeat(n.astype(float), 8)
+    ones = np.bincount(at, times * bits.ravel(), len(keys))
+    levels = [Level.deepest(keys, np.bincount(at, times, len(keys)) - ones, ones)]
+    for d in range(depth - 1, low - 1, -1):
+        levels.append(Level.above(*levels[-1].up(d)))
+    return levels[::-1]
+
+
+def upper_levels(top: tuple[np.ndarray, ...], depth: int) -> list[Level]:
+    """The levels from the root to ``depth``, from the summed children of the last."""
+    levels = [Level.above(*top)]
+    for d in range(depth - 1, -1, -1):
+        levels.append(Level.above(*levels[-1].up(d)))
+    return levels[::-1]
+
+
+# Nodes of a level in order, the mixture on the way to each, and what is left for longer contexts.
+Path = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def paths_of(levels: list[Level], first: int, above: Path | None = None) -> list[Path]:
+    """Mixtures from the root down to the nodes of each level, of which the first has contexts of ``first`` bytes."""
+    out: list[Path] = []
+    for d, level in enumerate(levels, first):
+        path, left = np.zeros(len(level.keys)), np.ones(len(level.keys))
+        if above is not None:
+            at = np.searchsorted(above[0], parent_keys(level.keys, d - 1))
+            path, left = above[1][at], above[2][at]
+        kt = (level.ones + 0.5) / (level.zeros + level.ones + 1.0)
+        above = (level.keys, path + left * level.weight * kt, left * (1 - level.weight))
+        out.append(above)
+    return out
+
 
+def code_logs(code: np.ndarray, paths: list[Path]) -> np.ndarray:
+    """log10 probability of each code's byte after the bytes before it; ``paths`` goes from the root to the full depth.
 
-def byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte (rows x 256) from the probability of a one at each node."""
-    logs = np.zeros((len(one), 1))
-    with np.errstate(divide="ignore"):
-        for bit in range(8):
-            p = one[:, 1 << bit: 2 << bit]
-            logs = np.stack([logs + np.log10(1 - p), logs + np.log10(p)], axis=2).reshape(len(one), 2 << bit)
-    return logs
+    The longest context that occurred at a node decides; what it leaves to longer ones has seen nothing and is a half.
+    """
+    nodes, bits = decisions(code)
+    one, open_ = np.full(nodes.shape, 0.5), np.ones(nodes.shape, bool)
+    for d in range(len(paths) - 1, -1, -1):
+        keys, path, left = paths[d]
+        row, column = np.nonzero(open_)
+        if not len(keys) or not len(row):
+            continue
+        wanted = node_keys(code, nodes, d)[row, column]
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        one[row[hit], column[hit]] = path[at[hit]] + 0.5 * left[at[hit]]
+        open_[row[hit], column[hit]] = False
+    return np.log10(np.where(bits == 1, one, 1 - one)).sum(axis=1)
+
+
+def bucket_of(code, buckets: int):
+    """The bucket of a code, as a Column or as numbers: by the three bytes before it."""
+    if isinstance(code, Column):
+        before = F.shiftright(code, 8).bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1))
+        return before * F.lit(40_503) % F.lit(1_048_573) % F.lit(buckets)
+    before = (code >> np.uint64(8)) & np.uint64((1 << 8 * (TOP + 1)) - 1)
+    return (before * np.uint64(40_503) % np.uint64(1_048_573) % np.uint64(buckets)).astype(np.int64)
 
 
 @dataclass
 class ContextTree:
-    """States are kept contexts and, for each, its rest: ``child[state, byte before]`` leads a level down."""
+    """Counts of all codes as a table (``bucket``, ``code``, ``n``), and the paths to the gathered levels."""
 
     depth: int
-    child: np.ndarray
-    logs: np.ndarray
-
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each whole text with its end, and its bytes without."""
-        buffer, firsts, lengths = padded(texts, self.depth)
-        if not len(texts):
-            return np.zeros(0), np.zeros(0, np.int64)
-        state = np.zeros(len(buffer) - self.depth, np.int32)
-        flat = self.child.ravel()
-        for back in range(1, self.depth + 1):
-            before = buffer[self.depth - back: len(buffer) - back]
-            state = flat[state * np.int64(256) + before]
-        logs = self.logs[state, buffer[self.depth:]].astype(np.float64)
-        # Sums of each text on its own, so that a text's score is the same in any company.
-        begin = firsts - self.depth
-        scores = np.array([logs[s: s + n].sum() for s, n in zip(begin.tolist(), lengths.tolist())])
-        return scores, lengths - 1
-
-
-def weighted_tree(levels: list[dict[int, np.ndarray]], depth: int) -> ContextTree:
-    """The tree from the byte counts of kept contexts: ``levels[d]`` maps a context of d bytes to 256 counts.
-
-    Each kept context gets two states: itself, for a position whose longer context is not followed
-    further, and its rest, for one whose next byte leads to no kept child.
-    """
-    number, order = {}, []
-    for d, level in enumerate(levels):
-        for context in level:
-            number[d, context] = len(order)
-            order.append((d, context))
-    n = len(order)
-    counts = np.stack([levels[d][c] for d, c in order]).astype(np.int64)
-    parent = np.array([number[d - 1, c & ((1 << 8 * (d - 1)) - 1)] if d else -1 for d, c in order])
-    level_of = np.array([d for d, _ in order])
-    pooled = counts.copy()
-    np.subtract.at(pooled, parent[1:], counts[1:])
-    zeros, ones = bit_counts(counts)
-    rest_zeros, rest_ones = bit_counts(pooled)
-    own = kt_block(zeros, ones)
-    below = kt_block(rest_zeros, rest_ones)
-    weighted = own.copy()
-    for d in range(depth - 1, -1, -1):
-        at = np.flatnonzero(level_of == d)
-        under = np.flatnonzero(level_of == d + 1)
-        np.add.at(below, parent[under], weighted[under])
-        weighted[at] = np.logaddexp(own[at], below[at]) + math.log(0.5)
-    # How much a context's own estimate weighs against what lies below it; the deepest has nothing below.
-    weight = np.exp(own + math.log(0.5) - weighted)
-    weight[level_of == depth] = 1.0
-
-    kt = (ones + 0.5) / (zeros + ones + 1.0)
-    rest_kt = (rest_ones + 0.5) / (rest_zeros + rest_ones + 1.0)
-    # From the root down: the mixture over the path so far is path + left * (what the next context says).
-    path, left = np.zeros((n, 256)), np.ones((n, 256))
-    states = np.zeros((2 * n, 256), np.float32)
-    for d in range(depth + 1):
-        at = np.flatnonzero(level_of == d)
-        if d:
-            path[at], left[at] = path[parent[at]], left[parent[at]]
-        path[at] += left[at] * weight[at] * kt[at]
-        left[at] *= 1 - weight[at]
-        states[at] = byte_logs(path[at] if d == depth else path[at] + left[at] * rest_kt[at])
-        states[n + at] = byte_logs(path[at] + left[at] * rest_kt[at])
-    child = np.empty((2 * n, 256), np.int32)
-    child[:n] = (n + np.arange(n))[:, None]
-    child[n:] = (n + np.arange(n))[:, None]
-    for i in range(1, n):
-        d, context = order[i]
-        child[parent[i], context >> 8 * (d - 1)] = i
-    return ContextTree(depth, child, states)
-
-
-def train(docs: DataFrame, text: str, depth: int = DEPTH, min_share: float = MIN_SHARE) -> ContextTree:
+    buckets: int
+    counts: DataFrame
+    top: list[Path]
+
+
+def train(docs: DataFrame, text: str, depth: int = DEPTH, bucket_codes: int = BUCKET_CODES) -> ContextTree:
     """The weighted tree of all whole texts; no texts give a tree that holds all bytes equally likely.
 
-    Counts stay in the shared folder. Only those of kept contexts reach the driver: at most
-    ``1 / min_share`` contexts a depth, each with up to 256 counts.
+    Counts stay in the shared folder. The driver gets sums for the nodes of the first levels, whose number is
+    bounded by 256 ** TOP contexts.
     """
     grams = shared_table(context_counts(docs, text, depth), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    root = np.zeros(256, np.int64)
-    for byte, n in grams.groupBy(F.col("code").bitwiseAND(255)).agg(F.sum("n")).collect():
-        root[byte] = n
-    levels = [{0: root}]
-    for d in range(1, depth + 1):
-        context = F.shiftright("code", 8).bitwiseAND((1 << 8 * d) - 1).alias("context")
-        by_byte = grams.groupBy(context, F.col("code").bitwiseAND(255).alias("byte")).agg(F.sum("n").alias("n"))
-        kept = grams.groupBy(context).agg(F.sum("n").alias("all")).where(F.col("all") >= min_share * total)
-        level: dict[int, np.ndarray] = {}
-        if total:
-            for context_, byte, n in by_byte.join(F.broadcast(kept.select("context")), "context", "left_semi").collect():
-                level.setdefault(context_, np.zeros(256, np.int64))[byte] = n
-        levels.append(dict(sorted(level.items())))
-    return weighted_tree(levels, depth)
+    buckets = max(16, -(-grams.count() // bucket_codes))
+    counts = shared_table(grams.select(bucket_of(F.col("code"), buckets).alias("bucket"), "code", "n"), "buckets")
+    top_depth = min(TOP, depth - 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, code, n in bucket_rows(batches):
+            level = lower_levels(code, n, depth, top_depth + 1)[0]
+            keys, zeros, ones, below = level.up(top_depth)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, (zeros, ones, below))],
+                                             names=["key", "zeros", "ones", "below"])
+
+    dealt = counts.repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(sums, "key long, zeros double, ones double, below double").groupBy("key").agg(
+        *[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]
+    ).orderBy("key").toArrow()
+    top = tuple(as_numpy(found.column(c).combine_chunks()) for c in ("key", "zeros", "ones", "below"))
+    levels = upper_levels((top[0].view(np.uint64), *top[1:]), top_depth)
+    return ContextTree(depth, buckets, counts, paths_of(levels, 0))
+
+
+def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Codes and counts of each bucket, from rows sorted by bucket."""
+    here, held = None, []
+    for batch in batches:
+        buckets = as_numpy(batch.column("bucket"))
+        for begin, end in zip(*runs(buckets)):
+            if buckets[begin] != here:
+                if held:
+                    yield here, *(np.concatenate(x) for x in zip(*held))
+                here, held = int(buckets[begin]), []
+            held.append((as_numpy(batch.column("code"))[begin:end].view(np.uint64), as_numpy(batch.column("n"))[begin:end]))
+    if held:
+        yield here, *(np.concatenate(x) for x in zip(*held))
+
+
+def runs(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of equal values begin and end."""
+    begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
+    return begins.tolist(), np.append(begins[1:], len(values)).tolist() if len(values) else []
+
+
+def packed_chunk(texts: list[str], depth: int) -> tuple[bytes, int, np.ndarray]:
+    """The padded bytes of some texts, compressed; their number; the length of each text with its end."""
+    buffer, _, lengths = padded(texts, depth)
+    return pa.compress(buffer.tobytes(), "zstd", asbytes=True), len(buffer), lengths
+
+
+def unpacked(blob: bytes, size: int, lengths: np.ndarray, depth: int) -> np.ndarray:
+    """The codes of a packed part of a chunk, text after text."""
+    buffer = np.frombuffer(pa.decompress(blob, size, "zstd", asbytes=True), np.uint8)
+    firsts = depth + np.concatenate([[0], np.cumsum(lengths - 1 + depth)[:-1]])
+    return codes(buffer, firsts.astype(np.int64), lengths, depth)
+
+
+def distinct_codes(parts: Iterator[np.ndarray]) -> np.ndarray:
+    """The distinct codes of some parts, in order."""
+    held = np.zeros(0, np.uint64)
+    for part in parts:
+        few = as_numpy(pa.array(part.view(np.int64)).unique()).view(np.uint64)
+        held = np.unique(np.concatenate([held, few]))
+    return held
+
+
+def in_buckets(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered codes by bucket, then code, and the bucket of each."""
+    bucket = bucket_of(code, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return code[order], bucket[order]
+
+
+def tree_scores(chunks: DataFrame, tree: ContextTree) -> DataFrame:
+    """``row``, ``score`` and ``n_bytes`` of every text of ``chunks`` (``chunk``, ``first``, ``size``, ``lengths``, ``blob``)."""
+    depth, buckets = tree.depth, tree.buckets
+    top = chunks.sparkSession.sparkContext.broadcast(tree.top)
+    first_low = len(tree.top)
+
+    def held_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], list[np.ndarray]]]:
+        """The parts of each chunk and the answers to it, from rows sorted by chunk; holds one chunk, compressed."""
+        here, parts, answers = None, [], []
+        for batch in batches:
+            for chunk, kind, first, size, lengths, blob, logs in zip(
+                batch.column("chunk").to_pylist(), batch.column("kind").to_pylist(), batch.column("first").to_pylist(),
+                batch.column("size").to_pylist(), batch.column("lengths"), batch.column("blob"), batch.column("logs"),
+            ):
+                if chunk != here:
+                    if parts:
+                        yield here, parts, answers
+                    here, parts, answers = chunk, [], []
+                if kind == 0:
+                    answers.append(as_numpy(logs.values))
+                else:
+                    parts.append((first, size, as_numpy(lengths.values), blob.as_py()))
+        if parts:
+            yield here, parts, answers
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, parts, _ in held_chunks(batches):
+            code, bucket = in_buckets(distinct_codes(unpacked(b, z, n, depth) for _, z, n, b in parts), buckets)
+            begins, ends = runs(bucket)
+            bounds = pa.array(np.array([*begins, len(code)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[begins]), pa.array(np.full(len(begins), chunk)),
+                 pa.ListArray.from_arrays(bounds, pa.array(code.view(np.int64)))], names=["bucket", "chunk", "codes"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by bucket, counts before questions; a bucket's subtrees and the codes asked for are held."""
+        here, code, n, paths = None, [], [], None
+        known, known_logs = np.zeros(0, np.uint64), np.zeros(0)
+        for batch in batches:
+            bucket, kind = as_numpy(batch.column("bucket")), as_numpy(batch.column("kind"))
+            for begin, end in zip(*runs(bucket * 2 + kind)):
+                part = batch.slice(begin, end - begin)
+                if bucket[begin] != here:
+                    here, code, n, paths = bucket[begin], [], [], None
+                    known, known_logs = np.zeros(0, np.uint64), np.zeros(0)
+                if kind[begin] == 0:
+                    code.append(as_numpy(part.column("code")).view(np.uint64))
+                    n.append(as_numpy(part.column("n")))
+                    continue
+                if paths is None:
+                    paths = list(top.value)
+                    if code:
+                        levels = lower_levels(np.concatenate(code), np.concatenate(n), depth, first_low)
+                        paths += paths_of(levels, first_low, paths[-1])
+                lists = part.column("codes")
+                asked = as_numpy(lists.flatten()).view(np.uint64)
+                new = np.setdiff1d(asked, known)
+                if len(new):
+                    both = np.concatenate([known, new])
+                    order = np.argsort(both)
+                    known, known_logs = both[order], np.concatenate([known_logs, code_logs(new, paths)])[order]
+                logs = known_logs[np.searchsorted(known, asked)]
+                bounds = pa.array(np.concatenate([[0], np.cumsum(as_numpy(lists.value_lengths()))]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("chunk"), part.column("bucket"), pa.ListArray.from_arrays(bounds, pa.array(logs))],
+                    names=["chunk", "bucket", "logs"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts, answers in held_chunks(batches):
+            code, _ = in_buckets(distinct_codes(unpacked(b, z, n, depth) for _, z, n, b in parts), buckets)
+            order = np.argsort(code)
+            code, logs = code[order], np.concatenate(answers)[order]
+            for first, size, lengths, blob in parts:
+                values = logs[np.searchsorted(code, unpacked(blob, size, lengths, depth))]
+                ends = np.cumsum(lengths)
+                # Sums of each text on its own, so that a text's score is the same in any company.
+                sums = np.array([values[e - n: e].sum() for e, n in zip(ends.tolist(), lengths.tolist())])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(first, first + len(lengths))), pa.array(sums), pa.array(lengths.astype(np.int64) - 1)],
+                    names=["row", "score", "n_bytes"])
+
+    none = {"bucket": "long", "first": "long", "size": "long", "lengths": "array<int>", "blob": "binary", "logs": "array<double>"}
+    blank = {c: F.lit(None).cast(t).alias(c) for c, t in none.items()}
+    packed = chunks.select("chunk", F.lit(1).alias("kind"), blank["bucket"], "first", "size", "lengths", "blob", blank["logs"])
+    asked = packed.repartition("chunk").sortWithinPartitions("chunk", "first").mapInArrow(
+        ask, "bucket long, chunk long, codes array<long>"
+    )
+    together = tree.counts.select("bucket", F.lit(0).alias("kind"), "code", "n", F.lit(None).cast("long").alias("chunk"),
+                                  F.lit(None).cast("array<long>").alias("codes")).unionByName(
+        asked.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("code"),
+                     F.lit(None).cast("long").alias("n"), "chunk", "codes"))
+    answers = together.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
+        answer, "chunk long, bucket long, logs array<double>"
+    ).select("chunk", F.lit(0).alias("kind"), "bucket", blank["first"], blank["size"], blank["lengths"], blank["blob"], "logs")
+    return packed.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket", "first").mapInArrow(
+        score, "row long, score double, n_bytes long"
+    )
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -290,14 +469,15 @@ def token_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-# One table of what a pass over the texts gives: rows of documents and rows of rare tokens. A rare token's
+# One table of what a pass over the texts gives: rows of documents, of rare tokens and of parts of chunks. A rare token's
 # row lists its documents in the task by number, and how often it occurs in each.
 PASS_SCHEMA = ("row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, "
-               "score double, n_bytes long, token string, rows array<long>, times array<int>")
+               "token string, rows array<long>, times array<int>, "
+               "chunk long, first long, size long, lengths array<int>, blob binary")
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None,
-           depth: int = DEPTH, min_share: float = MIN_SHARE, hot_share: float = HOT_SHARE) -> DataFrame:
+           depth: int = DEPTH, hot_share: float = HOT_SHARE, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """A row per document: the unigram base, the context tree's log10 probability and code length per byte.
 
     Documents for which ``held_out`` is true are not learned from; all are scored whole, a null text as
@@ -310,8 +490,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     trusted = rows.where(~F.col("held_out"))
     spark = docs.sparkSession
-    model = train(trusted, "text", depth, min_share)
-    tree = spark.sparkContext.broadcast((model.depth, model.child, model.logs))
+    model = train(trusted, "text", depth)
     counts = shared_table(token_counts(trusted, "text"), "tokens")
     n_train, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     total = n_train + n_distinct + 1
@@ -320,20 +499,24 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     hot = spark.sparkContext.broadcast([tuple(r) for r in counts.where(is_hot).select("token", "c").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = dict(hot.value), ContextTree(*tree.value)
+        known = dict(hot.value)
         end_count = known.pop(END_TOKEN, 0)
         end_log = math.log10((end_count + 1) / total)
         hot_tokens = pa.array(list(known), pa.string())
         # A rare token adds nothing here: the last place is for those.
         hot_logs = np.append(np.log10((np.fromiter(known.values(), np.float64, len(known)) + 1) / total), 0.0)
         number = TaskContext.get().partitionId() << 40
+        chunk, in_chunk = number, 0
         for batch in batches:
             texts = batch.column("text")
             strings = texts.to_pylist()
             for s, e in text_groups(strings, TOKEN_CHARS):
                 n = e - s
-                parts = [model.score(strings[s + i: s + j]) for i, j in text_groups(strings[s:e], CHARS_AT_ONCE)]
-                scores, sizes = (np.concatenate(x) for x in zip(*parts))
+                if in_chunk >= chunk_chars:
+                    chunk, in_chunk = number, 0
+                in_chunk += sum(map(len, strings[s:e]))
+                blob, size, lengths = packed_chunk(strings[s:e], depth)
+                yield pass_rows(1, chunk=[chunk], first=[number], size=[size], lengths=[lengths], blob=[blob])
                 words, owner = words_of(texts.slice(s, n))
                 encoded = words.dictionary_encode()
                 distinct, at = encoded.dictionary, as_numpy(encoded.indices)
@@ -342,21 +525,16 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
                 n_tokens = np.bincount(owner, minlength=n) + 1
                 n_known = np.bincount(owner[common], minlength=n) + int(end_count > 0)
                 sums = np.bincount(owner, hot_logs[place], minlength=n) + end_log
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(number, number + n)), batch.column("doc_id").slice(s, n),
-                    batch.column("held_out").slice(s, n), pa.array(n_tokens), pa.array(n_known), pa.array(sums),
-                    pa.array(scores), pa.array(sizes), pa.nulls(n, pa.string()),
-                    pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())),
-                ], names=NAMES)
+                yield pass_rows(n, row=np.arange(number, number + n), doc_id=batch.column("doc_id").slice(s, n),
+                                held_out=batch.column("held_out").slice(s, n), n_tokens=n_tokens, hot_known=n_known,
+                                hot_sum=sums)
                 # Rare tokens, by token and document.
                 pairs, times = np.unique(at[~common].astype(np.int64) * n + owner[~common], return_counts=True)
                 begins = np.flatnonzero(np.diff(pairs // n, prepend=-1))
                 bounds = pa.array(np.append(begins, len(pairs)), pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    *[pa.nulls(len(begins), t) for t in TYPES], distinct.take(pa.array(pairs[begins] // n)),
-                    pa.ListArray.from_arrays(bounds, pa.array(number + pairs % n)),
-                    pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
-                ], names=NAMES)
+                yield pass_rows(len(begins), token=distinct.take(pa.array(pairs[begins] // n)),
+                                rows=pa.ListArray.from_arrays(bounds, pa.array(number + pairs % n)),
+                                times=pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))))
                 number += n
 
     table = shared_table(rows.mapInArrow(run, PASS_SCHEMA), "scored")
@@ -426,7 +604,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     rare_sums = parts.repartition("block").sortWithinPartitions("block").mapInArrow(
         gather, "row long, rare_sum double, rare_known long"
     )
-    out = table.where(F.col("token").isNull()).join(rare_sums, "row", "left")
+    chunks = table.where(F.col("chunk").isNotNull()).select("chunk", "first", "size", "lengths", "blob")
+    scores = tree_scores(chunks, model)
+    out = table.where(F.col("row").isNotNull()).select(
+        "row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum"
+    ).join(rare_sums, "row", "left").join(scores, "row")
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hot_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
@@ -437,6 +619,14 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     )
 
 
-NAMES = [field.split()[0] for field in PASS_SCHEMA.split(", ")]
-TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
+         "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+PASS_TYPES = {name: TYPES[kind] for name, kind in (field.split() for field in PASS_SCHEMA.split(", "))}
 SUMS = ["row", "rare_sum", "rare_known"]
+
+
+def pass_rows(n: int, **columns) -> pa.RecordBatch:
+    """``n`` rows of the pass with the given columns; the others are null."""
+    arrays = [pa.nulls(n, t) if c not in columns else columns[c] if isinstance(columns[c], pa.Array)
+              else pa.array(columns[c], t) for c, t in PASS_TYPES.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(PASS_TYPES))

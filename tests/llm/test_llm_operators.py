@@ -257,19 +257,33 @@ def tree_log2(train, text, depth):
     return total
 
 
-def test_context_tree_is_the_weighted_one(spark):
-    train = ["abab", "abba cab", "b"]
-    docs = spark.createDataFrame([(t,) for t in train], "text string")
-    tree = context_tree.train(docs, "text", depth=2, min_share=0.0)
-    scores, sizes = tree.score(["ab", "", "cabz"])
-    assert sizes.tolist() == [2, 0, 4]
-    assert scores.tolist() == pytest.approx([tree_log2(train, t, 2) for t in ("ab", "", "cabz")], rel=1e-5)
+@pytest.mark.parametrize("depth,chunk_chars", [(1, 1), (2, 10**6), (3, 40), (5, 10**6)])
+def test_context_tree_is_the_weighted_one(spark, depth, chunk_chars):
+    """Scores through the operator, held-out texts with unseen contexts and bytes among them."""
+    train, held = ["abab", "abba cab", "b", "", "caf\u00e9 cab", "abab"], ["ab", "", "cabz", "\u6f22\u00e9 abba"]
+    rows = [(i, t, i >= len(train)) for i, t in enumerate(train + held)] + [(None, None, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h boolean").repartition(3)
+    got = {r.doc_id: (r.score, r.n_bytes) for r in
+           context_tree.scored(docs, held_out=F.col("h"), depth=depth, chunk_chars=chunk_chars).collect()}
+    for i, t, _ in rows:
+        score, size = got[i]
+        assert score == pytest.approx(tree_log2(train, t or "", depth), rel=1e-9) and size == len((t or "").encode())
 
 
 def test_bytes_sum_to_one_after_any_context(spark):
     docs = spark.createDataFrame([("the cat sat on the mat " * 20,), ("dogs",)], "text string")
-    tree = context_tree.train(docs, "text", depth=3, min_share=0.01)
-    assert (10.0 ** tree.logs.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(tree.logs)), abs=1e-4)
+    tree = context_tree.train(docs, "text", depth=3, bucket_codes=1)
+    assert tree.buckets > 16
+    counts = [tuple(r) for r in tree.counts.collect()]
+    for before in (b"the", b"zzz", b"xhe", b"zxe", b"\xff\xff\xff"):
+        code = np.array([sum(b << 8 * (i + 1) for i, b in enumerate(before[::-1])) | b for b in range(256)], np.uint64)
+        bucket = int(context_tree.bucket_of(code[:1], tree.buckets)[0])
+        mine = [(c, n) for b, c, n in counts if b == bucket]
+        paths = list(tree.top)
+        if mine:
+            keys, times = (np.array(x) for x in zip(*mine))
+            paths += context_tree.paths_of(context_tree.lower_levels(keys.astype(np.uint64), times, 3, 3), 3, paths[-1])
+        assert (10.0 ** context_tree.code_logs(code, paths)).sum() == pytest.approx(1.0, abs=1e-12)
 
 
 def test_scores(docs, empty):
