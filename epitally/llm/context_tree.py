@@ -33,6 +33,7 @@ TOP = 2
 BUCKET_CODES = 500_000
 # Characters of a chunk. A chunk asks once for each of its codes.
 CHUNK_CHARS = 32_000_000
+SMALL_COUNT = 64
 # A byte that no UTF-8 text holds: it ends each text and stands before the next one's start.
 END = 0xFF
 CHARS_AT_ONCE = 500_000
@@ -44,8 +45,6 @@ END_TOKEN = " "
 # Tokens with at least this share of all are looked up in a broadcast table of at most 1 / share rows.
 HOT_SHARE = 1 / 65536
 MOST_COUNTED = 400_000
-# Documents whose sums travel in one row.
-BLOCK = 1 << 13
 
 
 def padded(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,10 +122,17 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural logarithm of Krichevsky-Trofimov's block probability of so many zeros and ones."""
-    out = np.zeros(zeros.shape)
-    some = (zeros + ones) > 0
-    a, b = zeros[some].astype(float), ones[some].astype(float)
-    out[some] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - math.log(math.pi) - log_gamma(a + b + 1)
+    def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return log_gamma(a + 0.5) + log_gamma(b + 0.5) - math.log(math.pi) - log_gamma(a + b + 1)
+
+    # Most nodes have few counts, which are looked up.
+    few = np.arange(SMALL_COUNT, dtype=float)
+    table = of(few[:, None], few[None, :])
+    table[0, 0] = 0.0
+    small = (zeros < SMALL_COUNT) & (ones < SMALL_COUNT)
+    out = np.empty(zeros.shape)
+    out[small] = table[zeros[small].astype(np.int64), ones[small].astype(np.int64)]
+    out[~small] = of(zeros[~small].astype(float), ones[~small].astype(float))
     return out
 
 
@@ -178,11 +184,18 @@ class Level:
 
 def lower_levels(code: np.ndarray, n: np.ndarray, depth: int, low: int) -> list[Level]:
     """The levels from ``low`` to ``depth`` over the codes of a bucket and how often they occur."""
+    order = np.argsort(code)
+    code, times = code[order], n[order].astype(float)
     nodes, bits = decisions(code)
-    keys, at = np.unique(node_keys(code, nodes, depth).ravel(), return_inverse=True)
-    times = np.repeat(n.astype(float), 8)
-    ones = np.bincount(at, times * bits.ravel(), len(keys))
-    levels = [Level.deepest(keys, np.bincount(at, times, len(keys)) - ones, ones)]
+    every = node_keys(code, nodes, depth)
+    parts = []
+    for step in range(8):
+        # Codes in order have the nodes of one step in order.
+        begins = np.flatnonzero(np.concatenate([[True], every[1:, step] != every[:-1, step]]))
+        parts.append((every[begins, step], np.add.reduceat(times, begins), np.add.reduceat(times * bits[:, step], begins)))
+    keys, all_, ones = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    levels = [Level.deepest(keys[order], (all_ - ones)[order], ones[order])]
     for d in range(depth - 1, low - 1, -1):
         levels.append(Level.above(*levels[-1].up(d)))
     return levels[::-1]
@@ -307,6 +320,13 @@ def packed_chunk(texts: list[str], depth: int) -> tuple[bytes, int, np.ndarray]:
     return pa.compress(buffer.tobytes(), "zstd", asbytes=True), len(buffer), lengths
 
 
+def raw_texts(blob: bytes, size: int, lengths: np.ndarray, depth: int) -> pa.Array:
+    """The texts of a packed part of a chunk."""
+    raw = pa.decompress(blob, size, "zstd", asbytes=True)
+    begins = depth + np.concatenate([[0], np.cumsum(lengths - 1 + depth)[:-1]])
+    return pa.array([raw[b: b + n - 1] for b, n in zip(begins.tolist(), lengths.tolist())], pa.binary()).cast(pa.string())
+
+
 def unpacked(blob: bytes, size: int, lengths: np.ndarray, depth: int) -> np.ndarray:
     """The codes of a packed part of a chunk, text after text."""
     buffer = np.frombuffer(pa.decompress(blob, size, "zstd", asbytes=True), np.uint8)
@@ -330,34 +350,34 @@ def in_buckets(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return code[order], bucket[order]
 
 
-def tree_scores(chunks: DataFrame, tree: ContextTree) -> DataFrame:
-    """``row``, ``score`` and ``n_bytes`` of every text of ``chunks`` (``chunk``, ``first``, ``size``, ``lengths``, ``blob``)."""
+def chunk_scores(chunks: DataFrame, tree: ContextTree, tokens: Tokens) -> DataFrame:
+    """A row per text of ``chunks`` with its token sums from ``tokens`` and its log10 probability from ``tree``."""
     depth, buckets = tree.depth, tree.buckets
     top = chunks.sparkSession.sparkContext.broadcast(tree.top)
     first_low = len(tree.top)
 
-    def held_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], list[np.ndarray]]]:
+    def held_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], list[np.ndarray], list[tuple]]]:
         """The parts of each chunk and the answers to it, from rows sorted by chunk; holds one chunk, compressed."""
-        here, parts, answers = None, [], []
+        here, parts, logs, counts = None, [], [], []
         for batch in batches:
-            for chunk, kind, first, size, lengths, blob, logs in zip(
-                batch.column("chunk").to_pylist(), batch.column("kind").to_pylist(), batch.column("first").to_pylist(),
-                batch.column("size").to_pylist(), batch.column("lengths"), batch.column("blob"), batch.column("logs"),
-            ):
+            for row in zip(*[batch.column(c) for c in HELD]):
+                chunk, kind = row[0].as_py(), row[1].as_py()
                 if chunk != here:
                     if parts:
-                        yield here, parts, answers
-                    here, parts, answers = chunk, [], []
-                if kind == 0:
-                    answers.append(as_numpy(logs.values))
+                        yield here, parts, logs, counts
+                    here, parts, logs, counts = chunk, [], [], []
+                if kind == LOGS:
+                    logs.append(as_numpy(row[2].values))
+                elif kind == COUNTS:
+                    counts.append((as_numpy(row[3].values), as_numpy(row[4].values)))
                 else:
-                    parts.append((first, size, as_numpy(lengths.values), blob.as_py()))
+                    parts.append((row[5].as_py(), as_numpy(row[6].values), row[7].as_py(), row[8].values, row[9].values))
         if parts:
-            yield here, parts, answers
+            yield here, parts, logs, counts
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, parts, _ in held_chunks(batches):
-            code, bucket = in_buckets(distinct_codes(unpacked(b, z, n, depth) for _, z, n, b in parts), buckets)
+        for chunk, parts, *_ in held_chunks(batches):
+            code, bucket = in_buckets(distinct_codes(unpacked(b, z, n, depth) for z, n, b, *_ in parts), buckets)
             begins, ends = runs(bucket)
             bounds = pa.array(np.array([*begins, len(code)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -397,36 +417,76 @@ def tree_scores(chunks: DataFrame, tree: ContextTree) -> DataFrame:
                     [part.column("chunk"), part.column("bucket"), pa.ListArray.from_arrays(bounds, pa.array(logs))],
                     names=["chunk", "bucket", "logs"])
 
+    def ask_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = tokens.lookup()[0]
+        for chunk, parts, *_ in held_chunks(batches):
+            rare = rare_words((raw_texts(b, z, n, depth) for z, n, b, *_ in parts), common)
+            for s in range(0, len(rare), MOST_COUNTED):
+                part = rare.slice(s, MOST_COUNTED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(np.arange(s, s + len(part))), part],
+                                                 names=["chunk", "place", "token"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by chunk as lists."""
+        for batch in batches:
+            begins, ends = runs(as_numpy(batch.column("chunk")))
+            bounds = pa.array(np.array([*begins, batch.num_rows] if begins else [0]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk").take(pa.array(begins, pa.int64())),
+                 *(pa.ListArray.from_arrays(bounds, batch.column(c)) for c in ("place", "c"))], names=["chunk", "places", "times"])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts, answers in held_chunks(batches):
-            code, _ = in_buckets(distinct_codes(unpacked(b, z, n, depth) for _, z, n, b in parts), buckets)
+        common, common_logs, end_log = tokens.lookup()
+        for _, parts, answers, counts in held_chunks(batches):
+            code, _ = in_buckets(distinct_codes(unpacked(b, z, n, depth) for z, n, b, *_ in parts), buckets)
             order = np.argsort(code)
             code, logs = code[order], np.concatenate(answers)[order]
-            for first, size, lengths, blob in parts:
+            rare = rare_words((raw_texts(b, z, n, depth) for z, n, b, *_ in parts), common)
+            seen = np.zeros(len(rare), np.int64)
+            for places, times in counts:
+                seen[places] = times
+            vocabulary = pa.concat_arrays([common, rare])
+            token_logs = np.concatenate([common_logs, np.log10((seen + 1) / tokens.total)])
+            is_known = np.concatenate([np.ones(len(common), bool), seen > 0])
+            for size, lengths, blob, ids, held in parts:
                 values = logs[np.searchsorted(code, unpacked(blob, size, lengths, depth))]
                 ends = np.cumsum(lengths)
                 # Sums of each text on its own, so that a text's score is the same in any company.
                 sums = np.array([values[e - n: e].sum() for e, n in zip(ends.tolist(), lengths.tolist())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(first, first + len(lengths))), pa.array(sums), pa.array(lengths.astype(np.int64) - 1)],
-                    names=["row", "score", "n_bytes"])
-
-    none = {"bucket": "long", "first": "long", "size": "long", "lengths": "array<int>", "blob": "binary", "logs": "array<double>"}
-    blank = {c: F.lit(None).cast(t).alias(c) for c, t in none.items()}
-    packed = chunks.select("chunk", F.lit(1).alias("kind"), blank["bucket"], "first", "size", "lengths", "blob", blank["logs"])
-    asked = packed.repartition("chunk").sortWithinPartitions("chunk", "first").mapInArrow(
-        ask, "bucket long, chunk long, codes array<long>"
-    )
+                words, owner = words_of(raw_texts(blob, size, lengths, depth))
+                encoded, n = words.dictionary_encode(), len(lengths)
+                at = as_numpy(pc.index_in(encoded.dictionary, vocabulary)).astype(np.int64)[as_numpy(encoded.indices)]
+                yield pa.RecordBatch.from_arrays([
+                    ids, held, pa.array(np.bincount(owner, minlength=n) + 1),
+                    pa.array(np.bincount(owner, is_known[at], minlength=n).astype(np.int64) + int(tokens.ends > 0)),
+                    pa.array(np.bincount(owner, token_logs[at], minlength=n) + end_log),
+                    pa.array(sums), pa.array(lengths.astype(np.int64) - 1)], names=SCORED)
+
+    blank = {c: F.lit(None).cast(t).alias(c) for c, t in HELD.items()}
+
+    def rows(df: DataFrame, kind: int, *named: str) -> DataFrame:
+        """Rows with all columns of HELD and the one they are sorted by."""
+        order = F.col("bucket") if kind == LOGS else F.col("first") if kind == TEXTS else F.lit(0)
+        cells = [F.lit(kind).alias("kind") if c == "kind" else F.col(c) if c in named else blank[c] for c in HELD]
+        return df.select(*cells, order.cast("long").alias("order"))
+
+    packed = rows(chunks, TEXTS, "chunk", "size", "lengths", "blob", "ids", "held")
+    by_chunk = packed.repartition("chunk").sortWithinPartitions("chunk", "order")
+    asked = by_chunk.mapInArrow(ask, "bucket long, chunk long, codes array<long>")
     together = tree.counts.select("bucket", F.lit(0).alias("kind"), "code", "n", F.lit(None).cast("long").alias("chunk"),
                                   F.lit(None).cast("array<long>").alias("codes")).unionByName(
         asked.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("code"),
                      F.lit(None).cast("long").alias("n"), "chunk", "codes"))
-    answers = together.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
+    logs = together.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
         answer, "chunk long, bucket long, logs array<double>"
-    ).select("chunk", F.lit(0).alias("kind"), "bucket", blank["first"], blank["size"], blank["lengths"], blank["blob"], "logs")
-    return packed.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket", "first").mapInArrow(
-        score, "row long, score double, n_bytes long"
     )
+    times = by_chunk.mapInArrow(ask_tokens, "chunk long, place long, token string").join(
+        tokens.rare, "token"
+    ).select("chunk", "place", "c").sortWithinPartitions("chunk").mapInArrow(
+        listed, "chunk long, places array<long>, times array<long>"
+    )
+    everything = packed.unionByName(rows(logs, LOGS, "chunk", "logs")).unionByName(rows(times, COUNTS, "chunk", "places", "times"))
+    return everything.repartition("chunk").sortWithinPartitions("chunk", "kind", "order").mapInArrow(score, SCORED_SCHEMA)
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -469,11 +529,33 @@ def token_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-# One table of what a pass over the texts gives: rows of documents, of rare tokens and of parts of chunks. A rare token's
-# row lists its documents in the task by number, and how often it occurs in each.
-PASS_SCHEMA = ("row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, "
-               "token string, rows array<long>, times array<int>, "
-               "chunk long, first long, size long, lengths array<int>, blob binary")
+@dataclass
+class Tokens:
+    """Counts of the training tokens: the common ones sent to all tasks, the others as a table."""
+
+    total: int
+    ends: int
+    common: object
+    rare: DataFrame
+
+    def lookup(self) -> tuple[pa.Array, np.ndarray, float]:
+        """The common tokens, their log10 probabilities and that of a text's end."""
+        known = dict(self.common.value)
+        counts = np.fromiter(known.values(), np.float64, len(known))
+        return pa.array(list(known), pa.string()), np.log10((counts + 1) / self.total), math.log10((self.ends + 1) / self.total)
+
+    def __getstate__(self):
+        # The table stays on the driver.
+        return {**self.__dict__, "rare": None}
+
+
+def rare_words(parts: Iterator[pa.Array], common: pa.Array) -> pa.Array:
+    """The distinct words of some texts that are not common, in the order in which they come."""
+    held = pa.array([], pa.string())
+    for texts in parts:
+        new = words_of(texts)[0].unique()
+        held = pa.concat_arrays([held, new.filter(pc.invert(pc.is_in(new, common)))]).unique()
+    return held
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None,
@@ -496,137 +578,41 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     total = n_train + n_distinct + 1
     # At most 1 / hot_share tokens hold that share of all; the end counts among them in any case.
     is_hot = (F.col("c") >= hot_share * n_train) | (F.col("token") == END_TOKEN)
-    hot = spark.sparkContext.broadcast([tuple(r) for r in counts.where(is_hot).select("token", "c").collect()])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(hot.value)
-        end_count = known.pop(END_TOKEN, 0)
-        end_log = math.log10((end_count + 1) / total)
-        hot_tokens = pa.array(list(known), pa.string())
-        # A rare token adds nothing here: the last place is for those.
-        hot_logs = np.append(np.log10((np.fromiter(known.values(), np.float64, len(known)) + 1) / total), 0.0)
-        number = TaskContext.get().partitionId() << 40
-        chunk, in_chunk = number, 0
-        for batch in batches:
-            texts = batch.column("text")
-            strings = texts.to_pylist()
-            for s, e in text_groups(strings, TOKEN_CHARS):
-                n = e - s
-                if in_chunk >= chunk_chars:
-                    chunk, in_chunk = number, 0
-                in_chunk += sum(map(len, strings[s:e]))
-                blob, size, lengths = packed_chunk(strings[s:e], depth)
-                yield pass_rows(1, chunk=[chunk], first=[number], size=[size], lengths=[lengths], blob=[blob])
-                words, owner = words_of(texts.slice(s, n))
-                encoded = words.dictionary_encode()
-                distinct, at = encoded.dictionary, as_numpy(encoded.indices)
-                place = as_numpy(pc.fill_null(pc.index_in(distinct, hot_tokens), len(known)))[at]
-                common = place < len(known)
-                n_tokens = np.bincount(owner, minlength=n) + 1
-                n_known = np.bincount(owner[common], minlength=n) + int(end_count > 0)
-                sums = np.bincount(owner, hot_logs[place], minlength=n) + end_log
-                yield pass_rows(n, row=np.arange(number, number + n), doc_id=batch.column("doc_id").slice(s, n),
-                                held_out=batch.column("held_out").slice(s, n), n_tokens=n_tokens, hot_known=n_known,
-                                hot_sum=sums)
-                # Rare tokens, by token and document.
-                pairs, times = np.unique(at[~common].astype(np.int64) * n + owner[~common], return_counts=True)
-                begins = np.flatnonzero(np.diff(pairs // n, prepend=-1))
-                bounds = pa.array(np.append(begins, len(pairs)), pa.int32())
-                yield pass_rows(len(begins), token=distinct.take(pa.array(pairs[begins] // n)),
-                                rows=pa.ListArray.from_arrays(bounds, pa.array(number + pairs % n)),
-                                times=pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))))
-                number += n
-
-    table = shared_table(rows.mapInArrow(run, PASS_SCHEMA), "scored")
-    rare = table.where(F.col("token").isNotNull()).select("token", "rows", "times").join(
-        counts.where(~is_hot), "token", "left"
-    )
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums per document over the tokens of a task, a row per block of documents."""
-        keys, sums, hits = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            blocks, begins = np.unique(keys // BLOCK, return_index=True)
-            bounds = pa.array(np.append(begins, len(keys)), pa.int32())
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (keys, sums, hits)]
-            return pa.RecordBatch.from_arrays([pa.array(blocks), *lists], names=["block", *SUMS])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column("rows")
-            sizes = as_numpy(lists.value_lengths())
-            c = np.nan_to_num(as_numpy(batch.column("c")).astype(float))
-            times = as_numpy(batch.column("times").flatten()).astype(np.int64)
-            both = np.concatenate([keys, as_numpy(lists.flatten())])
-            value = np.concatenate([sums, np.repeat(np.log10((c + 1) / total), sizes) * times])
-            seen = np.concatenate([hits, np.repeat(c > 0, sizes) * times])
-            order = np.argsort(both, kind="stable")
-            both = both[order]
-            firsts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-            keys = both[firsts]
-            sums, hits = np.add.reduceat(value[order], firsts), np.add.reduceat(seen[order], firsts)
-            if len(keys) > 4 * MOST_COUNTED:
-                yield out()
-                keys, sums, hits = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        if len(keys):
-            yield out()
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sums of each block from all tasks; rows come sorted by block, of which one is held."""
-        here, sums, hits = None, np.zeros(BLOCK), np.zeros(BLOCK, np.int64)
-        met = np.zeros(BLOCK, bool)
-
-        def out() -> pa.RecordBatch:
-            at = np.flatnonzero(met)
-            return pa.RecordBatch.from_arrays([pa.array(here * BLOCK + at), pa.array(sums[at]), pa.array(hits[at])],
-                                              names=SUMS)
+    tokens = Tokens(total, 0, None, counts.where(~is_hot))
+    known = dict(tuple(r) for r in counts.where(is_hot).select("token", "c").collect())
+    tokens.ends = known.pop(END_TOKEN, 0)
+    tokens.common = spark.sparkContext.broadcast(list(known.items()))
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, in_chunk, number = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            for i, block in enumerate(batch.column("block").to_pylist()):
-                if block != here:
-                    if here is not None:
-                        yield out()
-                    here = block
-                    sums[:], hits[:], met[:] = 0, 0, False
-                rows_, sums_, hits_ = (as_numpy(batch.column(n)[i].values) for n in SUMS)
-                at = rows_ - here * BLOCK
-                sums[at] += sums_
-                hits[at] += hits_
-                met[at] = True
-        if here is not None:
-            yield out()
-
-    parts = rare.select("rows", "times", "c").mapInArrow(
-        spread, "block long, row array<long>, rare_sum array<double>, rare_known array<long>"
-    )
-    rare_sums = parts.repartition("block").sortWithinPartitions("block").mapInArrow(
-        gather, "row long, rare_sum double, rare_known long"
-    )
-    chunks = table.where(F.col("chunk").isNotNull()).select("chunk", "first", "size", "lengths", "blob")
-    scores = tree_scores(chunks, model)
-    out = table.where(F.col("row").isNotNull()).select(
-        "row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum"
-    ).join(rare_sums, "row", "left").join(scores, "row")
-    return out.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("hot_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("hot_sum") + F.coalesce("rare_sum", F.lit(0.0))).alias("base_score"),
-        "score", "n_bytes",
-        F.when(F.col("n_bytes") > 0, -F.col("score") / F.col("n_bytes") / math.log10(2)).alias("bits_per_byte"),
+            texts = batch.column("text").to_pylist()
+            for s, e in text_groups(texts, TOKEN_CHARS):
+                if in_chunk >= chunk_chars:
+                    chunk, in_chunk = chunk + 1, 0
+                in_chunk += sum(map(len, texts[s:e]))
+                blob, size, lengths = packed_chunk(texts[s:e], depth)
+                bounds = pa.array([0, e - s], pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([chunk]), pa.array([number]), pa.array([size]), pa.array([lengths], pa.list_(pa.int64())),
+                    pa.array([blob], pa.binary()), pa.ListArray.from_arrays(bounds, batch.column("doc_id").slice(s, e - s)),
+                    pa.ListArray.from_arrays(bounds, batch.column("held_out").slice(s, e - s)),
+                ], names=["chunk", "first", "size", "lengths", "blob", "ids", "held"])
+                number += 1
+
+    chunks = shared_table(rows.mapInArrow(
+        pack, "chunk long, first long, size long, lengths array<long>, blob binary, ids array<long>, held array<boolean>"
+    ), "chunks")
+    return chunk_scores(chunks, model, tokens).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score",
+        "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("score") / F.col("n_bytes") / math.log10(2)).alias("bits_per_byte"),
     )
 
 
-TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
-         "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
-PASS_TYPES = {name: TYPES[kind] for name, kind in (field.split() for field in PASS_SCHEMA.split(", "))}
-SUMS = ["row", "rare_sum", "rare_known"]
-
-
-def pass_rows(n: int, **columns) -> pa.RecordBatch:
-    """``n`` rows of the pass with the given columns; the others are null."""
-    arrays = [pa.nulls(n, t) if c not in columns else columns[c] if isinstance(columns[c], pa.Array)
-              else pa.array(columns[c], t) for c, t in PASS_TYPES.items()]
-    return pa.RecordBatch.from_arrays(arrays, names=list(PASS_TYPES))
+# Rows that the scores of a chunk are made of: answers to its codes, to its tokens, then its texts.
+LOGS, COUNTS, TEXTS = 0, 1, 2
+HELD = {"chunk": "long", "kind": "int", "logs": "array<double>", "places": "array<long>", "times": "array<long>", "size": "long",
+        "lengths": "array<long>", "blob": "binary", "ids": "array<long>", "held": "array<boolean>"}
+SCORED_SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
+                 "n_bytes long")
+SCORED = [field.split()[0] for field in SCORED_SCHEMA.split(", ")]
