@@ -32,7 +32,7 @@ DEPTH = 5
 TOP = 2
 BUCKET_CODES = 500_000
 # Characters of a chunk. A chunk asks once for each of its codes.
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 16_000_000
 SMALL_COUNT = 64
 # A byte that no UTF-8 text holds: it ends each text and stands before the next one's start.
 END = 0xFF
@@ -406,7 +406,8 @@ def chunk_scores(chunks: DataFrame, tree: ContextTree, tokens: Tokens) -> DataFr
                         paths += paths_of(levels, first_low, paths[-1])
                 lists = part.column("codes")
                 asked = as_numpy(lists.flatten()).view(np.uint64)
-                new = np.setdiff1d(asked, known)
+                at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+                new = np.unique(asked[known[at] != asked]) if len(known) else np.unique(asked)
                 if len(new):
                     both = np.concatenate([known, new])
                     order = np.argsort(both)
@@ -438,7 +439,12 @@ def chunk_scores(chunks: DataFrame, tree: ContextTree, tokens: Tokens) -> DataFr
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, common_logs, end_log = tokens.lookup()
         for _, parts, answers, counts in held_chunks(batches):
-            code, _ = in_buckets(distinct_codes(unpacked(b, z, n, depth) for z, n, b, *_ in parts), buckets)
+            # Each part as places in its own distinct codes, whose probabilities are looked up once.
+            encoded_codes = [pa.array(unpacked(b, z, n, depth).view(np.int64)).dictionary_encode() for z, n, b, *_ in parts]
+            own = [as_numpy(x.dictionary).view(np.uint64) for x in encoded_codes]
+            places_of = [as_numpy(x.indices) for x in encoded_codes]
+            del encoded_codes
+            code, _ = in_buckets(np.unique(np.concatenate(own)), buckets)
             order = np.argsort(code)
             code, logs = code[order], np.concatenate(answers)[order]
             rare = rare_words((raw_texts(b, z, n, depth) for z, n, b, *_ in parts), common)
@@ -448,8 +454,8 @@ def chunk_scores(chunks: DataFrame, tree: ContextTree, tokens: Tokens) -> DataFr
             vocabulary = pa.concat_arrays([common, rare])
             token_logs = np.concatenate([common_logs, np.log10((seen + 1) / tokens.total)])
             is_known = np.concatenate([np.ones(len(common), bool), seen > 0])
-            for size, lengths, blob, ids, held in parts:
-                values = logs[np.searchsorted(code, unpacked(blob, size, lengths, depth))]
+            for mine, place, (size, lengths, blob, ids, held) in zip(own, places_of, parts):
+                values = logs[np.searchsorted(code, mine)][place]
                 ends = np.cumsum(lengths)
                 # Sums of each text on its own, so that a text's score is the same in any company.
                 sums = np.array([values[e - n: e].sum() for e, n in zip(ends.tolist(), lengths.tolist())])
