@@ -11,11 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dates import EPOCH_DEC31
-from ..functions.labels import HOSPITAL_REGIONS, recode
+from ..functions.labels import HOSPITAL_REGIONS, RESIDENCE_REGIONS, recode
 from ..operators.aggregates import ordered_text
 from ..operators.filters import in_regions
 from ..session import materialize
 from ..sources import schemas
+from ..sources.publish import publish
 from ..sources.readers import read_archive, read_calibration_files, read_columns, read_newest_model_tables
 from ..sources.writers import append_run, write_by, write_table, write_wide_text
 from . import calibration, inputs, scenarios, validation
@@ -58,6 +59,22 @@ def imputed_job(spark: SparkSession, cases_path: str, out: str, names: dict[str,
     write_by(national.drop("day", "values_bracketed"), f"{out}/national", ["series"])
 
 
+def residence_job(spark: SparkSession, cases_path: str, out: str, names: dict[str, str] = RESIDENCE_REGIONS,
+                  epoch: dt.date = EPOCH_DEC31, lower: int = calibration.FIRST_DAY) -> None:
+    """Onsets and deaths by day of the line list by residence: ``daily`` for the nation by series, ``regional`` by series
+    and region, whose raw ``names`` become those of the files, and ``confirmed`` cases. They are published together."""
+    raw = read_columns(spark, cases_path, schemas.CASES_RESIDENCE)
+    cases = inputs.cases_by_residence(raw)
+    dates = {"notifications": "onset", "deaths": "died"}
+    regional = calibration.regional_daily_text(cases, dates, list(names), epoch)
+    recoded = regional.withColumn("region", recode("region", names))
+    publish(spark, out, {
+        "daily": lambda path: write_wide_text(calibration.daily_text(cases, dates, epoch, lower), path, ["series"]),
+        "regional": lambda path: write_wide_text(recoded, path, SERIES_KEYS),
+        "confirmed": lambda path: write_table(calibration.confirmed_daily(cases, "report", epoch), path),
+    })
+
+
 def icu_job(spark: SparkSession, hospital_path: str, out: str, names: dict[str, str] = HOSPITAL_REGIONS,
             epoch: dt.date = EPOCH_DEC31) -> None:
     """``out/regional`` by region and ``out/national``."""

@@ -12,7 +12,7 @@ from ..functions.dates import EPOCH_DEC31, offset_date, weeks_after
 from ..functions.labels import METRICS
 from ..functions.numbers import number_from_text
 from ..operators.aggregates import adjusted_r2
-from ..operators.joins import merge_series
+from ..operators.joins import join_null_safe, merge_series
 from ..operators.reshape import type_quantile_wide
 from ..session import materialize
 from ..sources.versions import read_versions
@@ -72,18 +72,16 @@ def backfill_runs(runs: DataFrame, metrics: Sequence[str] = ("notifications", "i
     kept = runs if scenario is None else runs.where(F.col("scenario") == scenario)
 
     older = F.col("model_run_date") < latest
-    stale = kept.join(cutoff, by, "left").withColumn(
+    stale = join_null_safe(kept, cutoff, by).withColumn(
         "data_acquired_date",
         F.when(older & (F.col("date") >= F.col("_cutoff")), latest).otherwise(F.col("data_acquired_date")),
     ).drop("_cutoff")
     newest = kept.where(F.col("model_run_date") == latest)
     brought = newest.select(
-        F.col("region").alias("_region"), "date", "scenario", *[F.col(c).alias(f"new_{c}") for c in local]
-    )
-    # The latest run's own rows meet none.
-    joined = stale.withColumn("_region", F.when(older, F.col("region"))).join(
-        brought, ["_region", "date", "scenario"], "left"
+        F.lit(True).alias("_older"), "region", "date", "scenario", *[F.col(c).alias(f"new_{c}") for c in local]
     )
+    # The latest run's own rows meet none; a missing region meets a missing one.
+    joined = join_null_safe(stale.withColumn("_older", older), brought, ["_older", "region", "date", "scenario"])
     fill = {
         c: F.when(F.col(c).isNull() & (F.col("data_acquired_date") == latest) & older, F.col(f"new_{c}"))
         .otherwise(F.col(c))
@@ -93,9 +91,8 @@ def backfill_runs(runs: DataFrame, metrics: Sequence[str] = ("notifications", "i
 
     keys = ["model_run_date", "region", "date", "scenario"]
     dates = cutoff.where(older).agg(F.collect_set("model_run_date")).scalar()
-    added = newest.select(F.explode(dates).alias("model_run_date"), *keys[1:]).join(
-        kept.where(older).select(*keys), keys, "left_anti"
-    )
+    every = newest.select(F.explode(dates).alias("model_run_date"), *keys[1:])
+    added = join_null_safe(every, kept.where(older).select(*keys), keys, "left_anti")
     return filled.unionByName(added, allowMissingColumns=True)
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import EPOCH_DEC31, offset_date
-from ..functions.labels import HOSPITAL_REGIONS, LINE_LIST_REGIONS, recode
+from ..functions.labels import HOSPITAL_REGIONS, LINE_LIST_REGIONS, RESIDENCE_REGIONS, recode
 from ..plans import jobs, validation
 from ..plans.calibration import long_text
 from ..plans.scenarios import processed_series
 from ..session import scratch_path
+from ..sources.publish import published
 from ..sources.readers import read_columns, read_table
 from ..sources.writers import write_by, write_table
 from . import report_queries as reports
@@ -154,3 +155,44 @@ def validation_job(spark, folder):
     keys = ["model_run_date", "region", "metric"]
     rows = split.select(*keys, "date", "reported", "q50", "model").join(validation.fit(split), keys, "left")
     return rounded(rows, "q50", "adj_r2")
+
+
+# Raw names of the residence line list, by code of the line list.
+RESIDENCES = dict(zip(["NCR", "4A", "5", "7"], RESIDENCE_REGIONS))
+RESIDENCE_CASE = "CASE region " + " ".join(f"WHEN '{c}' THEN '{RESIDENCE_REGIONS[n]}'" for c, n in RESIDENCES.items()) + " END"
+
+
+@query("residence_job", f"""
+SELECT 'regional' AS output, series, {RESIDENCE_CASE} AS region,
+  string_agg(CAST(t AS VARCHAR), ', ' ORDER BY t) AS line FROM (
+  SELECT 'notifications' AS series, region, onset - DATE '1994-12-31' AS t FROM line_list WHERE onset IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'deaths', region, died - DATE '1994-12-31' FROM line_list WHERE died IS NOT NULL GROUP BY ALL)
+WHERE region IN ('NCR', '4A', '5', '7') GROUP BY ALL
+UNION ALL SELECT 'daily', series, NULL, string_agg(CAST(t AS VARCHAR), ', ' ORDER BY t) FROM (
+  SELECT 'notifications' AS series, onset - DATE '1994-12-31' AS t FROM line_list WHERE onset IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'deaths', died - DATE '1994-12-31' FROM line_list WHERE died IS NOT NULL GROUP BY ALL)
+WHERE t > 40 GROUP BY ALL
+UNION ALL SELECT 'confirmed', NULL, NULL, CAST(report - DATE '1994-12-31' AS VARCHAR) || ':' || CAST(count(*) AS VARCHAR)
+FROM line_list WHERE report IS NOT NULL GROUP BY report""", ["line_list"])
+def residence_job(spark, folder):
+    """From the raw layout to published files; of each text file its line of times."""
+    cases, out = scratch_path(spark, "residence"), scratch_path(spark, "published")
+    raw = views.line_list(spark, folder).selectExpr(
+        "region AS RegionRes", "CAST(report AS STRING) AS DateRepConf", "CAST(onset AS STRING) AS DateOnset",
+        "CAST(died AS STRING) AS DateDied",
+    )
+    write_table(raw.withColumn("RegionRes", recode("RegionRes", RESIDENCES)), cases)
+    jobs.residence_job(spark, cases, out, epoch=views.ORDERS_EPOCH, lower=40)
+    paths = published(spark, out)
+
+    def lines(name, *keys):
+        rows = spark.read.schema(", ".join(["value string", *[f"{k} string" for k in keys]])).text(paths[name], wholetext=True)
+        region = F.col("region") if "region" in keys else F.lit(None).cast("string")
+        return rows.select(F.lit(name).alias("output"), "series", region.alias("region"),
+                           F.substring_index("value", "\n", 1).alias("line"))
+
+    confirmed = read_columns(spark, paths["confirmed"], "times int, values long").select(
+        F.lit("confirmed").alias("output"), F.lit(None).cast("string").alias("series"),
+        F.lit(None).cast("string").alias("region"), F.concat_ws(":", "times", "values").alias("line"),
+    )
+    return lines("regional", "series", "region").union(lines("daily", "series")).union(confirmed)

@@ -21,6 +21,7 @@ from ..operators.aggregates import (
 from ..operators.filters import area, complete_rows, in_regions, offset_between, rows_at_max, trim_tail
 from ..operators.joins import join_null_safe, merge_series
 from ..operators.quantiles import bounded_quantiles, exact_quantiles
+from ..operators.regression import least_squares
 from ..operators.reshape import quantile_wide, to_long, type_quantile_wide
 from ..operators.sampling import sample_rows
 from ..operators.series import carry_forward, fill_days, last_observed, rolling, weekly
@@ -276,6 +277,23 @@ def regression_fit(spark, folder):
     return rounded(out, "adj_r2", "r2")
 
 
+@query("regression_two", """
+WITH m AS (SELECT l_returnflag AS flag, count(*) AS n, covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_discount, l_discount) AS bb,
+  covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS by_,
+  var_pop(l_extendedprice) AS yy, avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_extendedprice) AS y FROM lineitem GROUP BY ALL),
+s AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS p, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM m),
+r AS (SELECT *, (p * ay + q * by_) / yy AS r2 FROM s)
+SELECT flag, n, round(y - p * a - q * b, 3) AS intercept, round(p, 3) AS slope_quantity, round(q, 3) AS slope_discount,
+  round(r2, 9) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 9) AS adj_r2 FROM r""")
+def regression_two(spark, folder):
+    """Two regressors, by group, from merged sums."""
+    rows = views.table(spark, folder, "lineitem").selectExpr(
+        "l_returnflag AS flag", "l_extendedprice AS price", "l_quantity AS quantity", "l_discount AS discount"
+    )
+    out = least_squares(rows, ["flag"], "price", ["quantity", "discount"])
+    return rounded(rounded(out, "intercept", "slope_quantity", "slope_discount", digits=3), "r2", "adj_r2", digits=9)
+
+
 @query("column_extremes", """
 SELECT region, max(admitted) AS last, count(DISTINCT admitted) AS days, count(*) AS rows FROM line_list GROUP BY ALL""",
        ["line_list"])
