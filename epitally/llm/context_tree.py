@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import as_numpy, shared_table, text_groups
 
+# At most 7, as a code has eight bytes.
 DEPTH = 5
 # Levels of the tree that are gathered; deeper nodes lie in buckets of about so many codes.
 TOP = 2
 BUCKET_CODES = 500_000
 # Characters of a chunk. A chunk asks once for each of its codes.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 32_000_000
 SMALL_COUNT = 64
 # A byte that no UTF-8 text holds: it ends each text and stands before the next one's start.
 END = 0xFF
@@ -59,14 +60,15 @@ def padded(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def codes(buffer: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
     """A code per scored byte: the byte in the lowest eight bits, the bytes before it above, nearest lowest."""
-    code = buffer.astype(np.uint64)
-    for back in range(1, depth + 1):
-        code[back:] |= buffer[:-back].astype(np.uint64) << np.uint64(8 * back)
+    # The eight bytes up to each place, read as one number whose lowest byte is the last.
+    behind = np.concatenate([np.zeros(7, np.uint8), buffer])
+    code = np.ndarray(len(buffer), ">u8", behind, strides=(1,)).astype(np.uint64)
+    code &= np.uint64((1 << 8 * (depth + 1)) - 1)
     # The end byte is scored once per text; the other bytes between texts are not.
-    steps = np.zeros(len(buffer) + 1, np.int8)
-    np.add.at(steps, firsts, 1)
-    np.add.at(steps, firsts + lengths, -1)
-    scored = np.cumsum(steps[:-1]).astype(bool)
+    scored = np.ones(len(buffer), bool)
+    scored[:depth] = False
+    gaps = (firsts + lengths)[:, None] + np.arange(depth - 1)
+    scored[gaps.ravel()] = False
     return code[scored]
 
 
