@@ -34,6 +34,8 @@ TOP = 2
 BUCKET_CODES = 500_000
 # Characters of a chunk. A chunk asks once for each of its codes.
 CHUNK_CHARS = 32_000_000
+# Characters of the parts that a chunk is packed and worked on in.
+PART_CHARS = 1_000_000
 SMALL_COUNT = 64
 # A byte that no UTF-8 text holds: it ends each text and stands before the next one's start.
 END = 0xFF
@@ -595,7 +597,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
         chunk, in_chunk, number = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for s, e in text_groups(texts, TOKEN_CHARS):
+            for s, e in text_groups(texts, PART_CHARS):
                 if in_chunk >= chunk_chars:
                     chunk, in_chunk = chunk + 1, 0
                 in_chunk += sum(map(len, texts[s:e]))
