@@ -37,6 +37,8 @@ CHUNK_CHARS = 32_000_000
 # Characters of the parts that a chunk is packed and worked on in.
 PART_CHARS = 1_000_000
 SMALL_COUNT = 64
+# Codes or words of several parts that are held before their repeats go.
+MOST_HELD = 4_000_000
 # A byte that no UTF-8 text holds: it ends each text and stands before the next one's start.
 END = 0xFF
 CHARS_AT_ONCE = 500_000
@@ -340,11 +342,13 @@ def unpacked(blob: bytes, size: int, lengths: np.ndarray, depth: int) -> np.ndar
 
 def distinct_codes(parts: Iterator[np.ndarray]) -> np.ndarray:
     """The distinct codes of some parts, in order."""
-    held = np.zeros(0, np.uint64)
+    held, size = [np.zeros(0, np.uint64)], 0
     for part in parts:
-        few = as_numpy(pa.array(part.view(np.int64)).unique()).view(np.uint64)
-        held = np.unique(np.concatenate([held, few]))
-    return held
+        held.append(as_numpy(pa.array(part.view(np.int64)).unique()).view(np.uint64))
+        size += len(held[-1])
+        if size > MOST_HELD:
+            held, size = [np.unique(np.concatenate(held))], 0
+    return np.unique(np.concatenate(held))
 
 
 def in_buckets(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -561,11 +565,14 @@ class Tokens:
 
 def rare_words(parts: Iterator[pa.Array], common: pa.Array) -> pa.Array:
     """The distinct words of some texts that are not common, in the order in which they come."""
-    held = pa.array([], pa.string())
+    held, size = [pa.array([], pa.string())], 0
     for texts in parts:
         new = words_of(texts)[0].unique()
-        held = pa.concat_arrays([held, new.filter(pc.invert(pc.is_in(new, common)))]).unique()
-    return held
+        held.append(new.filter(pc.invert(pc.is_in(new, common))))
+        size += len(held[-1])
+        if size > MOST_HELD:
+            held, size = [pa.concat_arrays(held).unique()], 0
+    return pa.concat_arrays(held).unique()
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None,
