@@ -388,6 +388,31 @@ def test_passages_of_hot_hashes(docs, monkeypatch):
     assert sorted(map(str, compact_windows.shared_passages(docs).collect())) == plain
 
 
+def test_longer_passages_under_a_common_phrase(spark):
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, want = [], []
+    for lead in (0, 8, 16) * 4:
+        phrase, rest = fresh(44), fresh(16)
+        pair = {len(rows) + int(i) for i in rng.choice(60, 2, replace=False)}
+        want.append(pair)
+        for _ in range(60):
+            middle = rest[:lead] + phrase + rest[lead:] if len(rows) in pair else phrase
+            rows.append((len(rows), " ".join(fresh(80) + middle + fresh(80))))
+    found = compact_windows.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.partner_id) for r in found if r.end_word - r.start_word >= 60}
+    assert got == {(a, b) for pair in want for a in pair for b in pair - {a}}
+
+
+def test_runs_by_content_stand_for_all():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        left, right = (rng.integers(0, 9, 24) for _ in range(2))
+        found = compact_windows.longest_of_all(left, right, 5, 0.8)
+        want = brute_passages(left.tolist(), right.tolist(), 5, 0.8)
+        assert (found[1] - found[0] if found else 0) == want
+
+
 def brute_passages(left, right, shortest, similarity):
     """The longest run of ``left`` alike enough to one of ``right``, both with shared ends, by trying all pairs of runs."""
     every = lambda x: [(x[i], x[j - 1], j - i, set(x[i:j])) for i in range(len(x)) for j in range(i + shortest, len(x) + 1)]
