@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +28,16 @@ def read_table(spark: SparkSession, path: str | list[str], schema: str, missing:
 def read_columns(spark: SparkSession, path: str | list[str], schema: str, missing: str = "NA") -> DataFrame:
     """The columns of the schema out of files that have more of them, found by name.
 
-    Only the header line is read to find them. A value that does not fit its type is null.
+    Only the header line is read to find them. A value that does not fit its type is null. A folder without files, which
+    a partitioned write of no rows leaves, has no rows; a missing one is an error.
     """
-    whole = (
-        spark.read.option("header", True).option("nullValue", missing).option("enforceSchema", False).csv(path)
-    )
     wanted = T.StructType.fromDDL(schema)
+    try:
+        whole = spark.read.option("header", True).option("nullValue", missing).option("enforceSchema", False).csv(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.createDataFrame([], wanted)
     return whole.select(*[_fitted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in wanted])
 
 

@@ -36,6 +36,17 @@ def test_tables_round_trip(spark, folder, rows):
     ]
 
 
+def test_columns_of_a_write_without_rows(spark, folder):
+    none = spark.createDataFrame([], "region string, v int")
+    writers.write_by(none, f"{folder}/by", ["region"])
+    writers.write_table(none, f"{folder}/table")
+    for name in ("by", "table"):
+        df = readers.read_columns(spark, f"{folder}/{name}", "region string, v int")
+        assert df.dtypes == [("region", "string"), ("v", "int")] and df.collect() == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_columns(spark, f"{folder}/nowhere", "region string, v int")
+
+
 def test_only_the_named_drops_are_read(spark, folder, plan):
     df = spark.createDataFrame([("2020-06-28", "a", 1), ("2020-06-29", "b", 2)], "upload_date string, k string, v int")
     writers.write_by(df, f"{folder}/drops", ["upload_date"])
