@@ -330,6 +330,22 @@ def test_quality(spark, docs, empty):
     assert kneser_ney.kept(empty, trusted).count() == 0
 
 
+@pytest.mark.parametrize("most_grams", [kneser_ney.MOST_GRAMS, 40])
+def test_all_trusted_texts_train(spark, monkeypatch, most_grams):
+    """Half of 13,000 trusted documents, whether the model is sent whole or asked for what is rare."""
+    monkeypatch.setattr(kneser_ney, "MOST_GRAMS", most_grams)
+    rng = random.Random(10)
+    rows = [(i, sentence(rng, 4), "en") for i in range(13_000)] + [(None, "é %% \u6f22", "de"), (20_000, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    trusted = table.where("doc_id < 13000").select("doc_id")
+    learnt = table.join(trusted, "doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    assert learnt.count() > 6_000
+    logs, sizes = kneser_ney.score_texts(kneser_ney.train(learnt), [t or "" for _, t, _ in rows])
+    got = {r.doc_id: r for r in kneser_ney.classified(table, trusted).collect()}
+    for (i, _, _), log, size in zip(rows, logs.tolist(), sizes.tolist()):
+        assert got[i].n_symbols == size and got[i].log10_prob == pytest.approx(log, rel=1e-9)
+
+
 # Decontamination
 
 def test_contained_items(spark, docs, empty, texts):
