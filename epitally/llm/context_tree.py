@@ -38,7 +38,7 @@ CHUNK_CHARS = 32_000_000
 PART_CHARS = 1_000_000
 SMALL_COUNT = 64
 # Codes or words of several parts that are held before their repeats go.
-MOST_HELD = 4_000_000
+MOST_HELD = 1_000_000
 # A byte that no UTF-8 text holds: it ends each text and stands before the next one's start.
 END = 0xFF
 CHARS_AT_ONCE = 500_000
@@ -184,10 +184,26 @@ class Level:
 
     def up(self, depth: int) -> tuple[np.ndarray, ...]:
         """Sums over children: keys, zeros, ones and the log-probabilities of the level of ``depth`` bytes."""
-        keys, at = np.unique(parent_keys(self.keys, depth), return_inverse=True)
+        keys, at = grouped(parent_keys(self.keys, depth))
         return (keys, *(np.bincount(at, x, len(keys)) for x in (self.zeros, self.ones, self.weighted)))
 
 
+def in_order(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    found = pa.array(values.view(np.int64)).dictionary_encode()
+    distinct = as_numpy(found.dictionary).view(np.uint64)
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[as_numpy(found.indices)]
+
+
 def lower_levels(code: np.ndarray, n: np.ndarray, depth: int, low: int) -> list[Level]:
     """The levels from ``low`` to ``depth`` over the codes of a bucket and how often they occur."""
     order = np.argsort(code)
@@ -347,15 +363,33 @@ def distinct_codes(parts: Iterator[np.ndarray]) -> np.ndarray:
         held.append(as_numpy(pa.array(part.view(np.int64)).unique()).view(np.uint64))
         size += len(held[-1])
         if size > MOST_HELD:
-            held, size = [np.unique(np.concatenate(held))], 0
-    return np.unique(np.concatenate(held))
+            held, size = [in_order(np.concatenate(held))], 0
+    return in_order(np.concatenate(held))
 
 
 def in_buckets(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ordered codes by bucket, then code, and the bucket of each."""
+    """What puts ordered codes by bucket, then code, and the buckets in that order."""
     bucket = bucket_of(code, buckets)
     order = np.argsort(bucket, kind="stable")
-    return code[order], bucket[order]
+    return order, bucket[order]
+
+
+def looked_up(code: np.ndarray, values: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The values of a part's codes, each distinct one sought once; ``code`` is in order and holds all of them."""
+    own, at = grouped(part)
+    return values[np.searchsorted(code, own)][at]
+
+
+def encoded_words(parts: Iterator[pa.Array]) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct words of some parts in the order in which they come; and per part the place of each of its words among
+    them and the number of its text."""
+    found, owners = [], []
+    for texts in parts:
+        words, owner = words_of(texts)
+        found.append(words.dictionary_encode())
+        owners.append(owner.astype(np.int32))
+    every = pa.chunked_array(found).unify_dictionaries()
+    return every.chunk(0).dictionary, [(as_numpy(x.indices), owner) for x, owner in zip(every.chunks, owners)]
 
 
 def chunk_scores(chunks: DataFrame, tree: ContextTree, tokens: Tokens) -> DataFrame:
@@ -385,12 +419,17 @@ def chunk_scores(chunks: DataFrame, tree: ContextTree, tokens: Tokens) -> DataFr
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, parts, *_ in held_chunks(batches):
-            code, bucket = in_buckets(distinct_codes(unpacked(b, z, n, depth) for z, n, b, *_ in parts), buckets)
-            begins, ends = runs(bucket)
-            bounds = pa.array(np.array([*begins, len(code)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[begins]), pa.array(np.full(len(begins), chunk)),
-                 pa.ListArray.from_arrays(bounds, pa.array(code.view(np.int64)))], names=["bucket", "chunk", "codes"])
+            yield questions(chunk, parts)
+            pa.default_memory_pool().release_unused()
+
+    def questions(chunk: int, parts: list[tuple]) -> pa.RecordBatch:
+        code = distinct_codes(unpacked(b, z, n, depth) for z, n, b, *_ in parts)
+        order, bucket = in_buckets(code, buckets)
+        begins, _ = runs(bucket)
+        bounds = pa.array(np.array([*begins, len(code)]), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[begins]), pa.array(np.full(len(begins), chunk)),
+             pa.ListArray.from_arrays(bounds, pa.array(code[order].view(np.int64)))], names=["bucket", "chunk", "codes"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by bucket, counts before questions; a bucket's subtrees and the codes asked for are held."""
@@ -415,7 +454,7 @@ def chunk_scores(chunks: DataFrame, tree: ContextTree, tokens: Tokens) -> DataFr
                 lists = part.column("codes")
                 asked = as_numpy(lists.flatten()).view(np.uint64)
                 at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
-                new = np.unique(asked[known[at] != asked]) if len(known) else np.unique(asked)
+                new = in_order(asked[known[at] != asked] if len(known) else asked)
                 if len(new):
                     both = np.concatenate([known, new])
                     order = np.argsort(both)
@@ -445,36 +484,47 @@ def chunk_scores(chunks: DataFrame, tree: ContextTree, tokens: Tokens) -> DataFr
                  *(pa.ListArray.from_arrays(bounds, batch.column(c)) for c in ("place", "c"))], names=["chunk", "places", "times"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, common_logs, end_log = tokens.lookup()
+        common = tokens.lookup()
         for _, parts, answers, counts in held_chunks(batches):
-            # Each part as places in its own distinct codes, whose probabilities are looked up once.
-            encoded_codes = [pa.array(unpacked(b, z, n, depth).view(np.int64)).dictionary_encode() for z, n, b, *_ in parts]
-            own = [as_numpy(x.dictionary).view(np.uint64) for x in encoded_codes]
-            places_of = [as_numpy(x.indices) for x in encoded_codes]
-            del encoded_codes
-            code, _ = in_buckets(np.unique(np.concatenate(own)), buckets)
-            order = np.argsort(code)
-            code, logs = code[order], np.concatenate(answers)[order]
-            rare = rare_words((raw_texts(b, z, n, depth) for z, n, b, *_ in parts), common)
-            seen = np.zeros(len(rare), np.int64)
-            for places, times in counts:
-                seen[places] = times
-            vocabulary = pa.concat_arrays([common, rare])
-            token_logs = np.concatenate([common_logs, np.log10((seen + 1) / tokens.total)])
-            is_known = np.concatenate([np.ones(len(common), bool), seen > 0])
-            for mine, place, (size, lengths, blob, ids, held) in zip(own, places_of, parts):
-                values = logs[np.searchsorted(code, mine)][place]
-                ends = np.cumsum(lengths)
-                # Sums of each text on its own, so that a text's score is the same in any company.
-                sums = np.array([values[e - n: e].sum() for e, n in zip(ends.tolist(), lengths.tolist())])
-                words, owner = words_of(raw_texts(blob, size, lengths, depth))
-                encoded, n = words.dictionary_encode(), len(lengths)
-                at = as_numpy(pc.index_in(encoded.dictionary, vocabulary)).astype(np.int64)[as_numpy(encoded.indices)]
-                yield pa.RecordBatch.from_arrays([
-                    ids, held, pa.array(np.bincount(owner, minlength=n) + 1),
-                    pa.array(np.bincount(owner, is_known[at], minlength=n).astype(np.int64) + int(tokens.ends > 0)),
-                    pa.array(np.bincount(owner, token_logs[at], minlength=n) + end_log),
-                    pa.array(sums), pa.array(lengths.astype(np.int64) - 1)], names=SCORED)
+            # What a chunk needs goes with the call, before the next one is held.
+            yield from chunk_rows(parts, answers, counts, *common)
+            pa.default_memory_pool().release_unused()
+
+    def chunk_rows(parts: list[tuple], answers: list[np.ndarray], counts: list[tuple], common: pa.Array, common_logs: np.ndarray,
+                   end_log: float) -> Iterator[pa.RecordBatch]:
+        by_token = token_columns(parts, counts, common, common_logs, end_log)
+        # The codes are made again from each part: the places of all would take four bytes per character.
+        code = distinct_codes(unpacked(b, z, n, depth) for z, n, b, *_ in parts)
+        logs = np.empty(len(code))
+        logs[in_buckets(code, buckets)[0]] = np.concatenate(answers)
+        for columns, (size, lengths, blob, ids, held) in zip(by_token, parts):
+            values = looked_up(code, logs, unpacked(blob, size, lengths, depth))
+            ends = np.cumsum(lengths)
+            # Sums of each text on its own, so that a text's score is the same in any company.
+            sums = np.array([values[e - n: e].sum() for e, n in zip(ends.tolist(), lengths.tolist())])
+            yield pa.RecordBatch.from_arrays([ids, held, *columns, pa.array(sums), pa.array(lengths.astype(np.int64) - 1)],
+                                             names=SCORED)
+
+    def token_columns(parts: list[tuple], counts: list[tuple], common: pa.Array, common_logs: np.ndarray,
+                      end_log: float) -> list[list[pa.Array]]:
+        """Per part, for each of its texts: all tokens, the known ones and the sum of their logarithms."""
+        words, words_in = encoded_words(raw_texts(b, z, n, depth) for z, n, b, *_ in parts)
+        at_common = pc.index_in(words, common)
+        is_rare = as_numpy(pc.is_null(at_common))
+        # The rare ones come in the order in which they were asked for.
+        seen = np.zeros(int(is_rare.sum()), np.int64)
+        for places, times in counts:
+            seen[places] = times
+        logs, is_known = np.empty(len(words)), np.ones(len(words), bool)
+        logs[~is_rare] = common_logs[as_numpy(at_common.drop_null())]
+        logs[is_rare], is_known[is_rare] = np.log10((seen + 1) / tokens.total), seen > 0
+        out = []
+        for (at, owner), (_, lengths, *_) in zip(words_in, parts):
+            n = len(lengths)
+            out.append([pa.array(np.bincount(owner, minlength=n) + 1),
+                        pa.array(np.bincount(owner, is_known[at], minlength=n).astype(np.int64) + int(tokens.ends > 0)),
+                        pa.array(np.bincount(owner, logs[at], minlength=n) + end_log)])
+        return out
 
     blank = {c: F.lit(None).cast(t).alias(c) for c, t in HELD.items()}
 

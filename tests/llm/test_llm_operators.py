@@ -7,11 +7,13 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import zipfile
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
@@ -270,6 +272,33 @@ def test_context_tree_is_the_weighted_one(spark, depth, chunk_chars):
         assert score == pytest.approx(tree_log2(train, t or "", depth), rel=1e-9) and size == len((t or "").encode())
 
 
+def test_repeats_among_a_chunks_parts_are_not_held():
+    """Twelve parts with the same codes take little more room than one; all twelve at once are 29 MB and as much to sort."""
+    part = np.random.default_rng(3).permutation(300_000).astype(np.uint64)
+    tracemalloc.start()
+    found = context_tree.distinct_codes(part for _ in range(12))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(found, np.arange(300_000)) and peak < 40e6
+
+
+def test_a_chunks_codes_and_words_are_placed_in_all_of_it():
+    texts = [pa.array(["b a b", ""]), pa.array([""]), pa.array(["c A", "d b a"])]
+    parts = [context_tree.codes(*context_tree.padded(t.to_pylist(), 3), 3) for t in texts]
+    every = context_tree.distinct_codes(iter(parts))
+    assert np.array_equal(every, np.unique(np.concatenate(parts)))
+    values = np.arange(len(every)) / 7
+    assert all(np.array_equal(context_tree.looked_up(every, values, part), [values[list(every).index(c)] for c in part])
+               for part in parts)
+    order, _ = context_tree.in_buckets(every, 16)
+    assert np.array_equal(every[order], sorted(every, key=lambda c: (context_tree.bucket_of(np.array([c]), 16)[0], c)))
+    found, words_in = context_tree.encoded_words(texts)
+    common = pa.array(["a"])
+    assert found.filter(pc.invert(pc.is_in(found, common))).equals(context_tree.rare_words(texts, common))
+    assert [(found.take(pa.array(at)).to_pylist(), owner.tolist()) for at, owner in words_in] == [
+        (["b", "a", "b"], [0, 0, 0]), ([], []), (["c", "a", "d", "b", "a"], [0, 0, 1, 1, 1])]
+
+
 def test_bytes_sum_to_one_after_any_context(spark):
     docs = spark.createDataFrame([("the cat sat on the mat " * 20,), ("dogs",)], "text string")
     tree = context_tree.train(docs, "text", depth=3, bucket_codes=1)
