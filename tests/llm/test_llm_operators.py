@@ -449,6 +449,42 @@ def test_longer_passages_under_a_common_phrase(spark):
     assert got == {(a, b) for pair in want for a in pair for b in pair - {a}}
 
 
+def test_every_pair_that_meets_is_linked(spark):
+    """All texts share a passage between other words, and some of them a second one in two words apart."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage, rows = fresh(60), []
+    for i in range(40):
+        near = passage[:20 + i] + fresh(1) + passage[21 + i:] if i % 2 else passage
+        rows.append((i, " ".join(fresh(70) + near + fresh(70))))
+    rows.append((40, rows[0][1]))
+    got = collections.Counter()
+    for r in compact_windows.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if (r.start_word, r.end_word) != (0, 200):
+            got[r.doc_id] += r.n_links
+    grams = [words(t) for _, t in rows[:40]]
+
+    def alike(a, b):
+        return bool(compact_windows.verified(*(compact_windows.tokens(" ".join(x), 5, compact_windows.WordHashes()) for x in (a, b)),
+                                             46, 0.8))
+
+    want = [sum(alike(a, b) for b in grams if b is not a) for a in grams]
+    assert [got[i] for i in range(40)] == want and got[40] == want[0] and min(want[::2]) >= 19
+
+
+def test_pairs_under_common_crossings(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    phrases = [fresh(70) for _ in range(3)]
+    rows = [(i, " ".join(sum((phrases[k][:30 + i % 7 * 5] + fresh(1) + phrases[k][31 + i % 7 * 5:] + fresh(30) for k in {i % 3, i % 2}), [])))
+            for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(str, compact_windows.shared_passages(docs).collect()))
+    for name, value in (("MANY_RUNS", 3), ("TILE", 5), ("MATRIX", 64), ("CHUNK_PAIRS", 50), ("CHUNK_CHARS", 2000), ("BUCKET_CHARS", 500)):
+        monkeypatch.setattr(compact_windows, name, value)
+    assert sorted(map(str, compact_windows.shared_passages(docs).collect())) == plain and len(plain) >= 60
+
+
 def test_runs_by_content_stand_for_all():
     rng = np.random.default_rng(12)
     for _ in range(60):
