@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_numpy, shared_table, text_groups
+from .common import as_numpy, batches_or_none, shared_table, text_groups
 
 # At most 7, as a code has eight bytes.
 DEPTH = 5
@@ -50,6 +50,8 @@ END_TOKEN = " "
 # Tokens with at least this share of all are looked up in a broadcast table of at most 1 / share rows.
 HOT_SHARE = 1 / 65536
 MOST_COUNTED = 400_000
+# Counted codes that are put by bucket at once.
+PACKED = 500_000
 
 
 def padded(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,6 +87,7 @@ def context_counts(docs: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
 
         def combined() -> tuple[np.ndarray, np.ndarray]:
             keys, sums = (np.concatenate(x) for x in zip(*parts))
+            # The parts are in order each, which makes a stable sort a merge.
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -97,11 +100,9 @@ def context_counts(docs: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for s, e in text_groups(texts, CHARS_AT_ONCE):
-                found = pa.array(codes(*padded(texts[s:e], depth), depth).view(np.int64)).value_counts()
-                if not len(found):
-                    continue
-                parts.append((as_numpy(found.field("values")).view(np.uint64), as_numpy(found.field("counts"))))
-                held += len(found)
+                found = counted(codes(*padded(texts[s:e], depth), depth))
+                parts.append(found)
+                held += len(found[0])
                 if held > 2 * MOST_COUNTED:
                     parts = [combined()]
                     held = len(parts[0][0])
@@ -194,6 +195,13 @@ def in_order(values: np.ndarray) -> np.ndarray:
     return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
 
 
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs."""
+    ordered = np.sort(values)
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+    return ordered[begins], np.diff(np.append(begins, len(ordered)))
+
+
 def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values in order, and the place of each value among them."""
     found = pa.array(values.view(np.int64)).dictionary_encode()
@@ -306,7 +314,7 @@ def train(docs: DataFrame, text: str, depth: int = DEPTH, bucket_codes: int = BU
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, (zeros, ones, below))],
                                              names=["key", "zeros", "ones", "below"])
 
-    dealt = counts.repartition("bucket").sortWithinPartitions("bucket")
+    dealt = bucket_lists(counts).repartition("bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(sums, "key long, zeros double, ones double, below double").groupBy("key").agg(
         *[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]
     ).orderBy("key").toArrow()
@@ -315,17 +323,39 @@ def train(docs: DataFrame, text: str, depth: int = DEPTH, bucket_codes: int = BU
     return ContextTree(depth, buckets, counts, paths_of(levels, 0))
 
 
+def bucket_lists(counts: DataFrame) -> DataFrame:
+    """``bucket`` with its ``codes`` and ``times`` as lists, a row for a bucket's share of some PACKED rows: few rows are dealt."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches_or_none(batches):
+            if batch:
+                held.append([as_numpy(batch.column(c)) for c in ("bucket", "code", "n")])
+                size += batch.num_rows
+            if size and (size >= PACKED or batch is None):
+                bucket, code, n = (np.concatenate(x) for x in zip(*held))
+                order = np.lexsort((code, bucket))
+                bucket = bucket[order]
+                begins, _ = runs(bucket)
+                bounds = pa.array(np.array([*begins, len(bucket)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[begins]), *(pa.ListArray.from_arrays(bounds, pa.array(x[order])) for x in (code, n))],
+                    names=["bucket", "codes", "times"])
+                held, size = [], 0
+
+    return counts.select("bucket", "code", "n").mapInArrow(pack, "bucket long, codes array<long>, times array<long>")
+
+
 def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Codes and counts of each bucket, from rows sorted by bucket."""
     here, held = None, []
     for batch in batches:
-        buckets = as_numpy(batch.column("bucket"))
-        for begin, end in zip(*runs(buckets)):
-            if buckets[begin] != here:
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if bucket != here:
                 if held:
                     yield here, *(np.concatenate(x) for x in zip(*held))
-                here, held = int(buckets[begin]), []
-            held.append((as_numpy(batch.column("code"))[begin:end].view(np.uint64), as_numpy(batch.column("n"))[begin:end]))
+                here, held = bucket, []
+            held.append((as_numpy(batch.column("codes")[i].values).view(np.uint64), as_numpy(batch.column("times")[i].values)))
     if held:
         yield here, *(np.concatenate(x) for x in zip(*held))
 
@@ -360,7 +390,7 @@ def distinct_codes(parts: Iterator[np.ndarray]) -> np.ndarray:
     """The distinct codes of some parts, in order."""
     held, size = [np.zeros(0, np.uint64)], 0
     for part in parts:
-        held.append(as_numpy(pa.array(part.view(np.int64)).unique()).view(np.uint64))
+        held.append(in_order(part))
         size += len(held[-1])
         if size > MOST_HELD:
             held, size = [in_order(np.concatenate(held))], 0
@@ -443,8 +473,8 @@ def chunk_scores(chunks: DataFrame, tree: ContextTree, tokens: Tokens) -> DataFr
                     here, code, n, paths = bucket[begin], [], [], None
                     known, known_logs = np.zeros(0, np.uint64), np.zeros(0)
                 if kind[begin] == 0:
-                    code.append(as_numpy(part.column("code")).view(np.uint64))
-                    n.append(as_numpy(part.column("n")))
+                    code.append(as_numpy(part.column("codes").flatten()).view(np.uint64))
+                    n.append(as_numpy(part.column("times").flatten()))
                     continue
                 if paths is None:
                     paths = list(top.value)
@@ -537,10 +567,9 @@ def chunk_scores(chunks: DataFrame, tree: ContextTree, tokens: Tokens) -> DataFr
     packed = rows(chunks, TEXTS, "chunk", "size", "lengths", "blob", "ids", "held")
     by_chunk = packed.repartition("chunk").sortWithinPartitions("chunk", "order")
     asked = by_chunk.mapInArrow(ask, "bucket long, chunk long, codes array<long>")
-    together = tree.counts.select("bucket", F.lit(0).alias("kind"), "code", "n", F.lit(None).cast("long").alias("chunk"),
-                                  F.lit(None).cast("array<long>").alias("codes")).unionByName(
-        asked.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("code"),
-                     F.lit(None).cast("long").alias("n"), "chunk", "codes"))
+    together = bucket_lists(tree.counts).select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), "codes",
+                                                "times").unionByName(
+        asked.select("bucket", F.lit(1).alias("kind"), "chunk", "codes", F.lit(None).cast("array<long>").alias("times")))
     logs = together.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
         answer, "chunk long, bucket long, logs array<double>"
     )

@@ -299,6 +299,16 @@ def test_a_chunks_codes_and_words_are_placed_in_all_of_it():
         (["b", "a", "b"], [0, 0, 0]), ([], []), (["c", "a", "d", "b", "a"], [0, 0, 1, 1, 1])]
 
 
+def test_few_rows_are_dealt_to_buckets(spark, monkeypatch):
+    counts = spark.createDataFrame([(i % 3, 100 - i, i) for i in range(100)], "bucket long, code long, n long").coalesce(1)
+    every = [(i % 3, 100 - i, i) for i in range(100)]
+    for packed, most in ((500_000, 3), (1, 100)):
+        monkeypatch.setattr(context_tree, "PACKED", packed)
+        rows = context_tree.bucket_lists(counts).collect()
+        assert len(rows) <= most and all(r.codes == sorted(r.codes) for r in rows)
+        assert sorted((r.bucket, c, n) for r in rows for c, n in zip(r.codes, r.times)) == sorted(every)
+
+
 def test_bytes_sum_to_one_after_any_context(spark):
     docs = spark.createDataFrame([("the cat sat on the mat " * 20,), ("dogs",)], "text string")
     tree = context_tree.train(docs, "text", depth=3, bucket_codes=1)
