@@ -495,6 +495,23 @@ def test_pairs_under_common_crossings(spark, monkeypatch):
     assert sorted(map(str, compact_windows.shared_passages(docs).collect())) == plain and len(plain) >= 60
 
 
+def test_tiles_hold_a_runs_crossings_once_a_chunk(spark, monkeypatch):
+    """All runs have the same crossings; what is dealt grows with their number, not with its square."""
+    crossed = spark.createDataFrame([(i, list(range(120))) for i in range(40)], "run long, crossings array<long>")
+    dealt, real = [], type(crossed).mapInArrow
+
+    def counted(df, func, *args):
+        if func.__name__ == "tile":
+            lists = F.col(next(f.name for f in df.schema if f.dataType.typeName() == "array"))
+            dealt.append(df.agg(F.sum(F.when(lists.isNotNull(), F.size(lists)))).first()[0])
+        return real(df, func, *args)
+
+    monkeypatch.setattr(type(crossed), "mapInArrow", counted)
+    found = sorted((r.a, r.b) for r in compact_windows.run_pairs(crossed).collect())
+    assert found == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    assert len(dealt) == 1 and dealt[0] <= 16 * 40 * 120
+
+
 def test_runs_by_content_stand_for_all():
     rng = np.random.default_rng(12)
     for _ in range(60):
