@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
@@ -495,6 +496,33 @@ def test_pairs_under_common_crossings(spark, monkeypatch):
     assert sorted(map(str, compact_windows.shared_passages(docs).collect())) == plain and len(plain) >= 60
 
 
+def test_pairs_are_verified_in_the_jvm_as_plainly(spark):
+    """Texts with few words, with edits, repeats and parts in another order; no pair goes through Python."""
+    rng = np.random.default_rng(14)
+    base, texts = [f"w{x}" for x in rng.integers(0, 60, 150)], []
+    for i in range(45):
+        t = [w if rng.random() > 0.01 * (i % 6) else f"W{rng.integers(0, 10**(1 + i % 4))}" for w in base]
+        x, y, z = sorted(rng.integers(0, 150, 3).tolist())
+        texts.append([t, t[x:] + t[:x], t[:y] + t[x:z] + t[y:], t[x:z + 20] * 2, t[:x] + t[z:]][i % 5])
+    named = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "version long, text string")
+    pairs = spark.createDataFrame([(a, b, a % 3) for a in range(45) for b in range(a + 1, 45)], "a long, b long, first long")
+    for n_words, shortest, functions, min_shared, similarity in ((2, 9, 5, 2, 0.8), (1, 12, 3, 2, 0.6), (3, 20, 2, 1, 0.8)):
+        meeting = compact_windows.all_windows(named, n_words, shortest + n_words - 1, functions)
+        crossed = compact_windows.crossings(functions, min_shared, shortest, meeting)
+        runs = named.select(F.col("version").alias("run"), F.col("text").alias("words")).join(crossed.drop("crossings"), "run")
+        links = compact_windows.run_links(runs, pairs, n_words, functions, min_shared, shortest, similarity)
+        assert "InArrow" not in links._jdf.queryExecution().executedPlan().toString()
+        plain = {r.run: compact_windows.Run(r.words, n_words, compact_windows.WordHashes(), np.frombuffer(r.keys, np.int64),
+                                            np.frombuffer(r.places, np.int32)) for r in runs.collect()}
+        want = []
+        for a, b in itertools.combinations(sorted(plain), 2):
+            for a1, a2, b1, b2, alike in plain[a].passages(plain[b], functions, min_shared, shortest, similarity):
+                want += [(a, a1, a2, b, alike), (b, b1, b2, a, alike)]
+        asked = pairs.join(runs.select(F.col("run").alias("a")), "a").join(runs.select(F.col("run").alias("b")), "b")
+        links = compact_windows.run_links(runs, asked, n_words, functions, min_shared, shortest, similarity)
+        assert sorted(map(tuple, links.collect())) == sorted(want) and len(want) > 500
+
+
 def test_tiles_hold_a_runs_crossings_once_a_chunk(spark, monkeypatch):
     """All runs have the same crossings; what is dealt grows with their number, not with its square."""
     crossed = spark.createDataFrame([(i, list(range(120))) for i in range(40)], "run long, crossings array<long>")
